@@ -76,3 +76,76 @@ QUERIES = {
     "snk2_manifests": snk2_manifests,
     "r4_refresh_plan": r4_refresh_plan,
 }
+
+
+# ---- history (WIN-2/3/5/6, AGG-10, S-11) ---------------------------------------
+from quire.functions import text as tx  # noqa: E402
+from quire.operators import citations, history, responses  # noqa: E402
+from quire.plans.answer_report import answer_report  # noqa: E402
+from quire.sources.tables import read_table  # noqa: E402
+
+
+def _epochs(spark, sf):
+    return history.epochs(fx.summaries(spark, sf))
+
+
+def win3_qa_pairs(spark, sf):
+    return history.qa_pairs(read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
+def s11_qa_line(spark, sf):
+    qa = win3_qa_pairs(spark, sf)
+    return qa.select("conv_id", "turn", tx.qa_line(F.col("question"), F.col("answer")).alias("qa_line"))
+
+
+def win5_epochs(spark, sf):
+    return _epochs(spark, sf).select("session_id", "turn", "ticker", "epoch")
+
+
+def win2_last_n(spark, sf):
+    return history.last_n(_epochs(spark, sf)).select("session_id", "epoch", "turn", "pos")
+
+
+def win6_visible(spark, sf):
+    return history.visible(_epochs(spark, sf)).select("session_id", "epoch", "turn", "idx", "summary")
+
+
+def agg10_history_block(spark, sf):
+    e = _epochs(spark, sf)
+    return history.render_block(e, history.visible(e))
+
+
+# ---- citations / responses (FLT-8, WIN-1, AGG-7, AGG-8, R-6) --------------------
+def flt8_annotation_routing(spark, sf):
+    return citations.classify(fx.response_events(spark, sf)).select("response_id", "seq", "kind")
+
+
+def win1_dedupe_files(spark, sf):
+    return citations.dedupe_files(citations.classify(fx.response_events(spark, sf)))
+
+
+def agg8_reference_block(spark, sf):
+    return citations.render_block(citations.classify(fx.response_events(spark, sf)))
+
+
+def agg7_assemble(spark, sf):
+    return responses.assemble(fx.response_events(spark, sf))
+
+
+def r6_answer_report(spark, sf):
+    return answer_report(fx.response_events(spark, sf))
+
+
+QUERIES.update({
+    "win3_qa_pairs": win3_qa_pairs,
+    "s11_qa_line": s11_qa_line,
+    "win5_epochs": win5_epochs,
+    "win2_last_n": win2_last_n,
+    "win6_visible": win6_visible,
+    "agg10_history_block": agg10_history_block,
+    "flt8_annotation_routing": flt8_annotation_routing,
+    "win1_dedupe_files": win1_dedupe_files,
+    "agg8_reference_block": agg8_reference_block,
+    "agg7_assemble": agg7_assemble,
+    "r6_answer_report": r6_answer_report,
+})

@@ -99,3 +99,118 @@ SELECT c.request_id, c.session_id, c.ticker, c.query_hash, c.reason,
   cast(ceil((SELECT count(*) FROM ledger l WHERE l.request_id = c.request_id) / {MAX_KEYS}) AS bigint) AS n_manifests
 FROM changed c""", "announcements", "requests", extra=MARKED + "," + LEDGER),
 }
+
+
+# ---- history ---------------------------------------------------------------------
+EPOCHS = """
+epochs AS (
+  SELECT session_id, turn, ticker, summary,
+    cast(sum(sw) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS epoch
+  FROM (SELECT *, CASE WHEN ticker IS NOT DISTINCT FROM lag(ticker) OVER (PARTITION BY session_id ORDER BY turn) THEN 0 ELSE 1 END AS sw
+        FROM summaries)
+)"""
+VISIBLE = """
+numbered AS (
+  SELECT *, idx - has AS c FROM (
+    SELECT *, CASE WHEN summary IS NOT NULL THEN 1 ELSE 0 END AS has,
+      cast(sum(CASE WHEN summary IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, epoch ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS idx
+    FROM epochs)
+), visible AS (
+  SELECT p.session_id, p.epoch, p.turn, s.idx, s.summary FROM numbered p JOIN numbered s
+    ON s.session_id = p.session_id AND s.epoch = p.epoch AND s.summary IS NOT NULL AND s.idx BETWEEN greatest(1, p.c - 4) AND p.c
+  WHERE p.c > 0
+)"""
+QA = """
+qa AS (
+  SELECT conv_id, turn, question, answer FROM (
+    SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS next_role, lead(text) OVER w AS answer
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant'
+)"""
+
+SQL.update({
+    "win3_qa_pairs": "WITH " + QA.strip() + "\nSELECT * FROM qa",
+    "s11_qa_line": "WITH " + QA.strip() + "\nSELECT conv_id, turn, 'User: ' || question || ' | Assistant: ' || answer AS qa_line FROM qa",
+    "win5_epochs": _q("SELECT session_id, turn, ticker, epoch FROM epochs", "summaries", extra=EPOCHS),
+    "win2_last_n": _q("""
+SELECT session_id, epoch, turn, pos FROM (
+  SELECT *, cast(row_number() OVER (PARTITION BY session_id, epoch ORDER BY turn DESC) AS bigint) AS pos
+  FROM epochs WHERE summary IS NOT NULL) WHERE pos <= 5""", "summaries", extra=EPOCHS),
+    "win6_visible": _q("SELECT session_id, epoch, turn, idx, summary FROM visible", "summaries", extra=EPOCHS + "," + VISIBLE),
+    "agg10_history_block": _q("""
+SELECT e.session_id, e.turn,
+  coalesce(chr(10) || chr(10) || '## Conversation History Summary:' || chr(10) || string_agg('- ' || v.summary, chr(10) ORDER BY v.idx), '') AS history
+FROM epochs e LEFT JOIN visible v ON v.session_id = e.session_id AND v.turn = e.turn
+GROUP BY e.session_id, e.turn""", "summaries", extra=EPOCHS + "," + VISIBLE),
+})
+
+# ---- citations / responses ------------------------------------------------------------
+BASE_URL = "https://files.example.invalid/file/"
+ANN = """
+ann AS (
+  SELECT response_id, seq, filename, url, title,
+    CASE WHEN ann_type IS NULL THEN (CASE WHEN filename IS NOT NULL THEN 'file' WHEN url IS NOT NULL THEN 'web' END)
+         WHEN ann_type = 'file_citation' AND filename IS NOT NULL THEN 'file'
+         WHEN ann_type = 'web_citation' AND url IS NOT NULL THEN 'web' END AS kind
+  FROM response_events WHERE type = 'response.output_text.annotation.added'
+), files AS (
+  SELECT response_id, filename, min(seq) AS first_seq FROM ann WHERE kind = 'file' GROUP BY 1, 2
+)"""
+_FID = (r"regexp_replace(CASE WHEN len(string_split(filename, '_')) >= 3 THEN regexp_extract(filename, '^[^_]*_[^_]*_(.*)$', 1) END, "
+        r"'\.[^.]*$', '')")
+BLOCK = f"""
+flines AS (
+  SELECT response_id, string_agg('- [File Link](' || '{BASE_URL}' || fid || ')' || chr(10), '' ORDER BY first_seq) AS fl,
+    count(*) AS nf
+  FROM (SELECT *, {_FID} AS fid FROM files) WHERE fid IS NOT NULL GROUP BY 1
+), wlines AS (
+  SELECT response_id, string_agg('- [' || coalesce(title, 'Web Source') || '](' || url || ')' || chr(10), '' ORDER BY seq) AS wl,
+    count(*) AS nw
+  FROM ann WHERE kind = 'web' GROUP BY 1
+), blocks AS (
+  SELECT a.response_id,
+    (CASE WHEN f.fl IS NOT NULL THEN '🔗 Referenced Files:' || chr(10) || f.fl ELSE '' END) ||
+    (CASE WHEN w.wl IS NOT NULL THEN (CASE WHEN a.has_file THEN chr(10) ELSE '' END) || '🌐 Web Sources:' || chr(10) || w.wl ELSE '' END)
+      AS citations,
+    cast(coalesce(f.nf, 0) AS bigint) AS n_file_links, cast(coalesce(w.nw, 0) AS bigint) AS n_web_links
+  FROM (SELECT response_id, bool_or(kind = 'file') AS has_file FROM ann GROUP BY 1) a
+  LEFT JOIN flines f USING (response_id) LEFT JOIN wlines w USING (response_id)
+)"""
+ASSEMBLE = r"""
+stops AS (
+  SELECT response_id, min(seq) AS stop_seq, arg_min(type, seq) AS stop_type FROM response_events
+  WHERE type IN ('response.failed', 'response.cancelled') GROUP BY 1
+), live AS (
+  SELECT e.*, s.stop_type, s.stop_seq FROM response_events e LEFT JOIN stops s USING (response_id)
+  WHERE s.stop_seq IS NULL OR e.seq <= s.stop_seq
+), answers AS (
+  SELECT response_id, coalesce(string_agg(piece, '' ORDER BY seq), '') AS answer,
+    CASE WHEN any_value(stop_type) = 'response.failed' THEN 'failed'
+         WHEN any_value(stop_type) = 'response.cancelled' THEN 'cancelled'
+         WHEN bool_or(type = 'response.incomplete') THEN 'incomplete'
+         WHEN bool_or(type = 'response.completed') THEN 'completed' ELSE 'open' END AS status
+  FROM (SELECT *, CASE
+      WHEN type = 'response.output_text.delta' THEN replace(regexp_replace(delta, '\*\*(.*?)\*\*', '`\1`', 'g'), '$', '\$')
+      WHEN type = 'response.incomplete' THEN 'Response was incomplete. Please try again.'
+      WHEN type = 'response.failed' THEN 'Response failed. Please try again.'
+      WHEN type = 'response.cancelled' THEN 'Response was cancelled' END AS piece FROM live)
+  GROUP BY response_id
+)"""
+CONF = r"""CASE WHEN regexp_extract(answer, '(?s).*Confidence Score:\s*([0-9]+(?:\.[0-9]+)?)', 1) = '' THEN NULL
+  ELSE try_cast(regexp_extract(answer, '(?s).*Confidence Score:\s*([0-9]+(?:\.[0-9]+)?)', 1) AS double) END"""
+
+SQL.update({
+    "flt8_annotation_routing": _q("SELECT response_id, seq, kind FROM ann", "response_events", extra=ANN),
+    "win1_dedupe_files": _q("SELECT response_id, filename, first_seq FROM files", "response_events", extra=ANN),
+    "agg8_reference_block": _q("SELECT * FROM blocks", "response_events", extra=ANN + "," + BLOCK),
+    "agg7_assemble": _q("SELECT response_id, answer, status FROM answers", "response_events", extra=ASSEMBLE),
+    "r6_answer_report": _q(f"""
+SELECT response_id, status, answer, CASE WHEN status IN ('failed', 'cancelled') THEN NULL ELSE coalesce(citations, '') END AS citations,
+  confidence,
+  CASE WHEN confidence IS NULL THEN NULL WHEN confidence >= 1.0 THEN 'direct quote' WHEN confidence >= 0.8 THEN 'reliable company document'
+       WHEN confidence >= 0.7 THEN 'reputable web source' WHEN confidence >= 0.5 THEN 'indirect or older' ELSE 'uncertain' END AS confidence_band,
+  confidence < 0.7 AS search_web
+FROM (SELECT a.*, b.citations, {CONF} AS confidence FROM answers a LEFT JOIN blocks b USING (response_id))""",
+                           "response_events", extra=ANN + "," + BLOCK + "," + ASSEMBLE),
+})

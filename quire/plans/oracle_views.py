@@ -55,7 +55,7 @@ SELECT doc_id % 20 AS query_id, doc_id, concat(cast(doc_id AS varchar), '_', sou
   cast((doc_id * 37) % 101 AS double) / 100 AS score, text FROM documents""",
     "summaries": """
 SELECT conv_id AS session_id, turn, concat('T', lpad(cast((conv_id + cast(floor(turn / 3) AS bigint)) % 25 AS varchar), 2, '0')) AS ticker,
-  concat('User asked about ', text) AS summary FROM conversations""",
+  CASE WHEN role = 'user' THEN concat('User asked about ', text) END AS summary FROM conversations""",
     "text_queries": """
 SELECT item_id AS query_id, text AS query FROM benchmark""",
     "store_activity": """

@@ -142,11 +142,12 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One summary per conversation turn; the selected ticker switches every three turns."""
-    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    """Per turn: the selected ticker (switches every three turns) and, for user
+    turns only, a summary (other turns add none, like search prompts)."""
+    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     t = (F.col("conv_id") + F.floor(F.col("turn") / 3).cast("bigint")) % 25
     return c.select(F.col("conv_id").alias("session_id"), F.col("turn"), _code("T", t).alias("ticker"),
-                    F.concat(F.lit("User asked about "), F.col("text")).alias("summary"))
+                    F.when(F.col("role") == "user", F.concat(F.lit("User asked about "), F.col("text"))).alias("summary"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
