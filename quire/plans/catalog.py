@@ -149,3 +149,74 @@ QUERIES.update({
     "agg7_assemble": agg7_assemble,
     "r6_answer_report": r6_answer_report,
 })
+
+
+# ---- index / search (R-1, R-2, TOP-1/2/4, ORD-2/3, AGG-9, JN-5, R-5) ---------------------
+from quire.operators import index as ix, search  # noqa: E402
+from quire.plans.search_report import search_hits, search_report  # noqa: E402
+
+BASE_URL = "https://files.example.invalid/file/"
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents", ["doc_id", "text", "source"])
+
+
+def r1_chunks(spark, sf):
+    return ix.chunk(_docs(spark, sf))
+
+
+def r2_term_df(spark, sf):
+    return ix.build(_docs(spark, sf)).df.select("term", "df")
+
+
+def top2_text_topk(spark, sf):
+    idx = ix.build(_docs(spark, sf))
+    return search.text_topk(fx.text_queries(spark, sf), idx, 10).select("query_id", "rank", "doc_id", "chunk_no", "score")
+
+
+def ord3_canned_queries(spark, sf):
+    idx = ix.build(_docs(spark, sf))
+    return search.text_topk(search.canned_queries(spark), idx, 10).select("query_id", "rank", "doc_id", "chunk_no", "score")
+
+
+def top1_vector_topk(spark, sf):
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    return search.vector_topk(e.withColumnRenamed("vec_id", "query_id"), e, 10, exclude_self=True)
+
+
+def top4_lsh_topk(spark, sf):
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    return search.lsh_topk(e, 10)
+
+
+def ord2_rank_evidence(spark, sf):
+    a = fx.announcements(spark, sf).withColumn("priority", F.when(F.col("is_price_sensitive"), 0).otherwise(1))
+    return search.rank_evidence(a, ["ticker"], 10).select("ticker", "rank", "key")
+
+
+def agg9_result_cards(spark, sf):
+    return search.render_cards(fx.hits(spark, sf), BASE_URL, 10, order=[F.col("score").desc(), F.col("doc_id").asc()])
+
+
+def jn5_attach_source(spark, sf):
+    meta = read_table(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars"])
+    return citations.attach_source(fx.hits(spark, sf).select("query_id", "doc_id", "filename", "score"), meta)
+
+
+def r5_search_report(spark, sf):
+    return search_report(fx.text_queries(spark, sf), _docs(spark, sf), 10, BASE_URL)
+
+
+QUERIES.update({
+    "r1_chunks": r1_chunks,
+    "r2_term_df": r2_term_df,
+    "top2_text_topk": top2_text_topk,
+    "ord3_canned_queries": ord3_canned_queries,
+    "top1_vector_topk": top1_vector_topk,
+    "top4_lsh_topk": top4_lsh_topk,
+    "ord2_rank_evidence": ord2_rank_evidence,
+    "agg9_result_cards": agg9_result_cards,
+    "jn5_attach_source": jn5_attach_source,
+    "r5_search_report": r5_search_report,
+})

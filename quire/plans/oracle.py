@@ -64,10 +64,14 @@ pairs AS (
 
 
 def _q(body: str, *views: str, extra: str = "") -> str:
-    sql = with_views("SELECT 1", *views)
-    head = sql[: sql.rindex("SELECT 1")].rstrip()
+    """``WITH <views>, <extra CTEs> <body>``."""
+    parts = []
+    if views:
+        sql = with_views("SELECT 1", *views)
+        parts.append(sql[len("WITH "): sql.rindex("SELECT 1")].strip())
     if extra:
-        head = head + "," + extra
+        parts.append(extra.strip())
+    head = ("WITH " + ",\n".join(parts)) if parts else ""
     return head + "\n" + body.strip()
 
 
@@ -214,3 +218,101 @@ SELECT response_id, status, answer, CASE WHEN status IN ('failed', 'cancelled')
 FROM (SELECT a.*, b.citations, {CONF} AS confidence FROM answers a LEFT JOIN blocks b USING (response_id))""",
                            "response_events", extra=ANN + "," + BLOCK + "," + ASSEMBLE),
 })
+
+
+# ---- index / search ---------------------------------------------------------------------
+def _segs(src: str, id_cols: str) -> str:
+    return (f"SELECT {id_cols}, s[pos] AS seg, pos, len(s) AS n FROM (SELECT {id_cols}, "
+            rf"regexp_extract_all(text, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS s FROM {src}) d, "
+            f"unnest(range(1, len(s) + 1)) AS g(pos)")
+
+
+_TERM = r"lower(regexp_replace(seg, '[^\p{L}\p{N}]+$', ''))"
+INDEX = f"""
+toks AS (
+  SELECT *, {_TERM} AS term, CASE WHEN n <= 200 THEN 1 ELSE 2 + (n - 201) // 150 END AS nch
+  FROM ({_segs('documents', 'doc_id, source')})
+), assigned AS (
+  SELECT t.*, c AS chunk_no, least(c * 150 + 200, n) - c * 150 AS dl
+  FROM toks t, unnest(range(greatest(0, cast(ceil((pos - 200) / 150.0) AS bigint)), least((pos - 1) // 150, nch - 1) + 1)) AS g(c)
+), tf AS (
+  SELECT term, doc_id, chunk_no, count(*) AS tf, any_value(dl) AS dl FROM assigned GROUP BY 1, 2, 3
+), stats AS (
+  SELECT count(*) AS n_chunks, avg(dl) AS avgdl FROM (
+    SELECT least(c * 150 + 200, n) - c * 150 AS dl FROM (SELECT DISTINCT doc_id, n, nch FROM toks) d, unnest(range(0, nch)) AS g(c))
+), dfreq AS (
+  SELECT term, count(*) AS df,
+    ln(1 + (cast((SELECT n_chunks FROM stats) AS double) - count(*) + cast(0.5 AS double)) / (count(*) + cast(0.5 AS double))) AS idf
+  FROM tf GROUP BY 1
+), post AS (
+  SELECT tf.*, cast(tf AS double) * cast({1.2 + 1} AS double)
+    / (cast(tf AS double) + cast(1.2 AS double) * (cast(0.25 AS double) + cast(0.75 AS double) * dl / (SELECT avgdl FROM stats))) AS w
+  FROM tf
+)"""
+
+
+def _bm25(queries_sql: str) -> str:
+    return f"""
+qterms AS (
+  SELECT DISTINCT query_id, {_TERM} AS term FROM ({_segs('(' + queries_sql + ')', 'query_id')})
+), scores AS (
+  SELECT q.query_id, p.doc_id, p.chunk_no, round(sum(d.idf * p.w), 6) AS score
+  FROM qterms q JOIN dfreq d ON d.term = q.term JOIN post p ON p.term = q.term GROUP BY 1, 2, 3
+), ranked AS (
+  SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS bigint) AS rank FROM scores
+)"""
+
+
+_CANNED = "SELECT * FROM (VALUES " + ", ".join(
+    f"(cast({i} AS bigint), {_sq(q)})" for i, q in enumerate([
+        "Details of main asset", "Summary of financial situation", "Details of last capital raise",
+        "Most recent announcement", "Company's next announcement", "Progress in last 6 months"])) + ") AS t(query_id, text)"
+_STRIP = (r"regexp_replace(regexp_replace({x}, '(?m)^#{{1,6}}[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', '', 'g'), "
+          r"'\*\*(.*?)\*\*', '\1', 'g')")
+_PREVIEW = "CASE WHEN length({x}) > 300 THEN substring({x}, 1, 300) || '...' ELSE {x} END"
+
+
+def _cards(hits: str, order: str) -> str:
+    stripped = _STRIP.format(x="text")
+    prev = _PREVIEW.format(x=stripped)
+    url = rf"'{BASE_URL}' || regexp_replace(split_part(filename, '_', 1), '\.[^.]*$', '')"
+    card = (f"chr(10) || '📄 **File:** ' || {url} || ' ' || chr(10) || chr(10) || ' 🔢**Relevance Score:** `' || "
+            f"cast(round(score, 2) AS varchar) || '` ' || chr(10) || chr(10) || '✏️**Preview:**' || chr(10) || chr(10) || "
+            f"{prev} || ' ' || chr(10) || chr(10)")
+    return (f"SELECT query_id, cast(count(*) AS bigint) AS n_hits, "
+            f"'Here are the search results: ' || chr(10) || ' ' || string_agg({card}, '' ORDER BY {order}) AS report "
+            f"FROM {hits} GROUP BY query_id")
+
+
+SQL.update({
+    "r1_chunks": _q("SELECT doc_id, chunk_no, min(pos) AS first_pos, any_value(dl) AS n_tokens, "
+                    "string_agg(seg, '' ORDER BY pos) AS text FROM assigned GROUP BY 1, 2", extra=INDEX),
+    "r2_term_df": _q("SELECT term, df FROM dfreq", extra=INDEX),
+    "top2_text_topk": _q("SELECT query_id, rank, doc_id, chunk_no, score FROM ranked WHERE rank <= 10",
+                         extra=INDEX + "," + _bm25("SELECT item_id AS query_id, text FROM benchmark")),
+    "ord3_canned_queries": _q("SELECT query_id, rank, doc_id, chunk_no, score FROM ranked WHERE rank <= 10",
+                              extra=INDEX + "," + _bm25(_CANNED)),
+    "top1_vector_topk": """
+WITH e AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+    round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id
+)
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS bigint) AS rank FROM s) WHERE rank <= 10""",
+    "ord2_rank_evidence": _q("""
+SELECT ticker, rank, key FROM (
+  SELECT ticker, key, cast(row_number() OVER (PARTITION BY ticker ORDER BY CASE WHEN is_price_sensitive THEN 0 ELSE 1 END,
+    date DESC, key) AS bigint) AS rank FROM announcements) WHERE rank <= 10""", "announcements"),
+    "agg9_result_cards": _q(_cards("(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank "
+                                   "FROM hits) WHERE rank <= 10", "rank"), "hits"),
+    "jn5_attach_source": _q("SELECT h.query_id, h.doc_id, h.filename, h.score, d.lang, d.source, d.n_chars "
+                            "FROM hits h LEFT JOIN documents d USING (doc_id)", "hits"),
+    "r5_search_report": _q(_cards("""(
+  SELECT r.query_id, r.rank, r.score, cast(r.doc_id AS varchar) || '_' || any_value(a.source) || '.md' AS filename,
+    string_agg(a.seg, '' ORDER BY a.pos) AS text
+  FROM ranked r JOIN assigned a ON a.doc_id = r.doc_id AND a.chunk_no = r.chunk_no
+  WHERE r.rank <= 10 GROUP BY r.query_id, r.rank, r.score, r.doc_id, r.chunk_no)""", "rank"),
+                           extra=INDEX + "," + _bm25("SELECT item_id AS query_id, text FROM benchmark")),
+})
