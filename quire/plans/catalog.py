@@ -220,3 +220,131 @@ QUERIES.update({
     "jn5_attach_source": jn5_attach_source,
     "r5_search_report": r5_search_report,
 })
+
+
+# ---- companies, taxonomy, filters, scalars (AGG-3..6, JN-1, JN-3, JN-4, FLT-4/6/7, S-*) ----
+from quire.functions import taxonomy as tax  # noqa: E402
+from quire.operators import companies, evidence  # noqa: E402
+
+CUTOFF = "2024-01-15 00:00:00"
+AS_OF = "1999-06-30"
+
+
+def agg4_distinct_companies(spark, sf):
+    return companies.distinct_pairs(fx.companies(spark, sf))
+
+
+def agg5_company_lookup(spark, sf):
+    return companies.build_lookup(fx.companies(spark, sf))
+
+
+def jn1_resolve_company(spark, sf):
+    c = fx.companies(spark, sf)
+    labels = c.select(tx.company_label(F.col("company_name"), F.col("ticker")).alias("label"))
+    return companies.resolve(labels, companies.build_lookup(c)).select("label", "company_name", "shown_ticker", "ticker")
+
+
+def jn4_taxonomy_labels(spark, sf):
+    a = fx.announcements(spark, sf)
+    return a.select("key", F.array_join(tax.labels_array(F.col("announcement_types")), "|").alias("labels"))
+
+
+def jn4_taxonomy_join(spark, sf):
+    a = fx.announcements(spark, sf).select("key", "announcement_types")
+    t = F.broadcast(tax.taxonomy_frame(spark))      # fixed 5-row table: bounded broadcast
+    return a.join(t, F.expr("announcement_types rlike concat('(?iu)', pattern)")).select("key", "label")
+
+
+def flt4_type_flags(spark, sf):
+    a = fx.announcements(spark, sf)
+    names = ["is_cashflow", "is_mining", "is_placement", "is_shares", "is_presentation"]
+    return a.select("key", *[tax.label_matches(F.col("announcement_types"), lab).alias(n)
+                             for lab, n in zip(tax.LABELS, names)])
+
+
+def agg3_label_counts(spark, sf):
+    return stats.label_counts(fx.announcements(spark, sf))
+
+
+def flt6_normalise_window(spark, sf):
+    r = fx.requests(spark, sf)
+    click = F.col("event_type") == "click"           # clicks carry no dates: defaults apply
+    r = (r.withColumn("date_from", F.when(click, F.lit(None).cast("date")).otherwise(F.col("date_from")))
+          .withColumn("date_to", F.when(click, F.lit(None).cast("date")).otherwise(F.col("date_to"))))
+    n = filters.normalise_window(r, AS_OF)
+    return n.select("request_id", "date_from", "date_to",
+                    tx.date_range_days(F.col("date_from"), F.col("date_to")).cast("bigint").alias("date_range"))
+
+
+def flt7_classify(spark, sf):
+    r = fx.requests(spark, sf)
+    mode = (F.when(F.col("event_type").isin("view", "signup"), F.lit("Generate"))
+            .when(F.col("event_type") == "click", F.lit("Search"))
+            .when(F.col("event_type") == "purchase", F.lit("Summarise")))
+    return filters.classify(r.withColumn("mode", mode)).select("request_id", "status")
+
+
+def agg6_key_lists(spark, sf):
+    """The slice's filter without its ticker, as one sorted key list per ticker."""
+    a = fx.announcements(spark, sf)
+    spec = SLICE
+    cond = (F.col("date").between(F.lit(spec.date_from).cast("date"), F.lit(spec.date_to).cast("date"))
+            & (F.col("is_price_sensitive") == F.lit(True)) & tax.type_predicate(F.col("announcement_types"), spec.types))
+    m = a.where(cond)
+    return filters.select_keys(m, by=("ticker",), as_list=True).select("ticker", F.to_json("keys").alias("keys"))
+
+
+def jn3_incremental_keys(spark, sf):
+    r = fx.requests(spark, sf)
+    a = fx.announcements(spark, sf)
+    cut = F.lit(CUTOFF).cast("timestamp_ntz")
+    loaded = ingest.load_ledger(r.where(F.col("ts") < cut), a)
+    new = filters.match_requests(r.where(F.col("ts") >= cut), a)
+    return ingest.incremental_keys(new, loaded).select("request_id", "session_id", "ticker", "key")
+
+
+def s_hit_functions(spark, sf):
+    h = fx.hits(spark, sf)
+    return h.select(
+        "query_id", "doc_id",
+        tx.hit_file_id(F.col("filename")).alias("hit_file_id"),
+        tx.citation_file_id(F.col("filename")).alias("citation_file_id"),
+        tx.document_url(BASE_URL, tx.hit_file_id(F.col("filename"))).alias("url"),
+        tx.round_score(F.col("score")).alias("score2"),
+        tx.preview(tx.strip_markdown(F.col("text"))).alias("preview"),
+        tx.clean_chunk(F.col("text")).alias("cleaned"),
+        tx.result_id(F.col("query_id"), F.col("doc_id")).alias("result_id"))
+
+
+def s_request_functions(spark, sf):
+    r = fx.requests(spark, sf)
+    return r.select(
+        "request_id",
+        tx.store_name(F.col("ticker")).alias("store_name"),
+        tx.list_cell(tx.selected_types(F.col("types"))).alias("types_json"),
+        tx.markdown_link(F.when(F.size("types") > 0, F.get(F.col("types"), 0)), F.concat(F.lit("https://example.invalid/"),
+                         F.col("request_id").cast("string"))).alias("link"))
+
+
+def s20_conflicts(spark, sf):
+    e = read_table(spark, sf, "events", ["user_id", "event_type", "ts", "props"])
+    v = e.select("user_id", "event_type", "ts", F.get_json_object("props", "$.k").cast("bigint").alias("v"))
+    return evidence.conflicts(v, "user_id", "event_type", "v", "ts")
+
+
+QUERIES.update({
+    "agg4_distinct_companies": agg4_distinct_companies,
+    "agg5_company_lookup": agg5_company_lookup,
+    "jn1_resolve_company": jn1_resolve_company,
+    "jn4_taxonomy_labels": jn4_taxonomy_labels,
+    "jn4_taxonomy_join": jn4_taxonomy_join,
+    "flt4_type_flags": flt4_type_flags,
+    "agg3_label_counts": agg3_label_counts,
+    "flt6_normalise_window": flt6_normalise_window,
+    "flt7_classify": flt7_classify,
+    "agg6_key_lists": agg6_key_lists,
+    "jn3_incremental_keys": jn3_incremental_keys,
+    "s_hit_functions": s_hit_functions,
+    "s_request_functions": s_request_functions,
+    "s20_conflicts": s20_conflicts,
+})

@@ -38,6 +38,10 @@ SLICE_WHERE = ("ticker = 'T07' AND date BETWEEN DATE '1996-01-01' AND DATE '1998
                "AND (coalesce(regexp_matches(announcement_types, 'Placement|Renounceable|Security Purchase|Trading Halt', 'i'), false) "
                "OR coalesce(regexp_matches(announcement_types, 'presentation', 'i'), false))")
 
+def _marked(src: str = "requests") -> str:
+    return MARKED.replace("FROM requests r", f"FROM {src} r", 1)
+
+
 MARKED = f"""
 marked AS (
   SELECT r.*, {_hash('r.')} AS query_hash FROM requests r
@@ -316,3 +320,74 @@ SELECT ticker, rank, key FROM (
   WHERE r.rank <= 10 GROUP BY r.query_id, r.rank, r.score, r.doc_id, r.chunk_no)""", "rank"),
                            extra=INDEX + "," + _bm25("SELECT item_id AS query_id, text FROM benchmark")),
 })
+
+
+# ---- companies, taxonomy, filters, scalars --------------------------------------------------
+_LABEL_RE = r"'^(.*) \(([^()]*)\)$'"
+_TAX_VALUES = "(VALUES " + ", ".join(f"({_sq(lab)}, {_sq(pat)})" for lab, pat in TAXONOMY) + ") AS t(label, pattern)"
+_LABELS_LIST = ("list_filter([" + ", ".join(
+    f"CASE WHEN coalesce(regexp_matches(announcement_types, {_sq(pat)}, 'i'), false) THEN {_sq(lab)} END"
+    for lab, pat in TAXONOMY) + "], lambda x: x IS NOT NULL)")
+_FLAG_NAMES = ["is_cashflow", "is_mining", "is_placement", "is_shares", "is_presentation"]
+_SLICE_NO_TICKER = SLICE_WHERE.replace("ticker = 'T07' AND ", "")
+_CUT = "TIMESTAMP '2024-01-15 00:00:00'"
+_ASOF = "DATE '1999-06-30'"
+_CLAMP = f"least(greatest({{x}}, {_ASOF} - 365), {_ASOF})"
+
+SQL.update({
+    "agg4_distinct_companies": _q("SELECT DISTINCT company_name, ticker FROM companies", "companies"),
+    "agg5_company_lookup": _q("SELECT company_name, arg_max(ticker, load_seq) AS ticker FROM companies GROUP BY 1", "companies"),
+    "jn1_resolve_company": _q(f"""
+SELECT b.label, b.company_name, b.shown_ticker, l.ticker FROM (
+  SELECT label,
+    CASE WHEN regexp_matches(label, {_LABEL_RE}) THEN regexp_extract(label, {_LABEL_RE}, 1) END AS company_name,
+    CASE WHEN regexp_matches(label, {_LABEL_RE}) THEN regexp_extract(label, {_LABEL_RE}, 2) END AS shown_ticker
+  FROM (SELECT company_name || ' (' || ticker || ')' AS label FROM companies)) b
+LEFT JOIN (SELECT company_name, arg_max(ticker, load_seq) AS ticker FROM companies GROUP BY 1) l USING (company_name)""",
+                              "companies"),
+    "jn4_taxonomy_labels": _q(f"SELECT key, array_to_string({_LABELS_LIST}, '|') AS labels FROM announcements", "announcements"),
+    "jn4_taxonomy_join": _q(f"SELECT a.key, t.label FROM announcements a JOIN {_TAX_VALUES} "
+                            f"ON regexp_matches(a.announcement_types, t.pattern, 'i')", "announcements"),
+    "flt4_type_flags": _q("SELECT key, " + ", ".join(
+        f"coalesce(regexp_matches(announcement_types, {_sq(pat)}, 'i'), false) AS {n}"
+        for (lab, pat), n in zip(TAXONOMY, _FLAG_NAMES)) + " FROM announcements", "announcements"),
+    "agg3_label_counts": _q(f"SELECT ticker, label, count(*) AS n FROM (SELECT ticker, unnest({_LABELS_LIST}) AS label "
+                            f"FROM announcements) GROUP BY 1, 2", "announcements"),
+    "flt6_normalise_window": _q(f"""
+SELECT request_id, date_from, date_to, cast(date_to - date_from AS bigint) AS date_range FROM (
+  SELECT request_id,
+    {_CLAMP.format(x=f"coalesce(CASE WHEN event_type = 'click' THEN NULL ELSE date_from END, {_ASOF} - 180)")} AS date_from,
+    {_CLAMP.format(x=f"coalesce(CASE WHEN event_type = 'click' THEN NULL ELSE date_to END, {_ASOF})")} AS date_to
+  FROM requests)""", "requests"),
+    "flt7_classify": _q("""
+SELECT request_id, CASE WHEN ticker IS NULL OR ticker = '' OR mode IS NULL OR mode = '' THEN 'disabled'
+  WHEN mode = 'Generate' THEN 'generate' WHEN mode = 'Search' THEN 'search' ELSE 'invalid' END AS status
+FROM (SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 'Generate' WHEN event_type = 'click' THEN 'Search'
+  WHEN event_type = 'purchase' THEN 'Summarise' END AS mode FROM requests)""", "requests"),
+    "agg6_key_lists": _q(f"SELECT ticker, to_json(list(key ORDER BY key)) AS keys FROM announcements WHERE {_SLICE_NO_TICKER} "
+                         f"GROUP BY ticker", "announcements"),
+    "jn3_incremental_keys": _q(f"""
+SELECT n.request_id, n.session_id, n.ticker, n.key FROM (
+  SELECT r.request_id, r.session_id, r.ticker, a.key FROM requests r JOIN announcements a ON {MATCH_COND} WHERE r.ts >= {_CUT}) n
+WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.session_id = n.session_id AND l.ticker = n.ticker AND l.key = n.key)""",
+                               "announcements", "requests",
+                               extra=f"pre AS (SELECT * FROM requests WHERE ts < {_CUT})," + _marked("pre") + "," + LEDGER),
+    "s_hit_functions": _q(rf"""
+SELECT query_id, doc_id,
+  regexp_replace(split_part(filename, '_', 1), '\.[^.]*$', '') AS hit_file_id,
+  {_FID} AS citation_file_id,
+  '{BASE_URL}' || regexp_replace(split_part(filename, '_', 1), '\.[^.]*$', '') AS url,
+  round(score, 2) AS score2,
+  {_PREVIEW.format(x=_STRIP.format(x="text"))} AS preview,
+  replace(regexp_replace(text, '\*\*(.*?)\*\*', '`\1`', 'g'), '$', '\$') AS cleaned,
+  sha256(concat_ws(chr(31), cast(query_id AS varchar), cast(doc_id AS varchar))) AS result_id
+FROM hits""", "hits"),
+    "s_request_functions": _q("""
+SELECT request_id, ticker || '_vs' AS store_name, to_json(list_filter(types, lambda x: x IS NOT NULL)) AS types_json,
+  '- [' || coalesce(CASE WHEN len(types) > 0 THEN types[1] END, 'Web Source') || '](' || 'https://example.invalid/' ||
+  cast(request_id AS varchar) || ')' || chr(10) AS link
+FROM requests""", "requests"),
+    "s20_conflicts": """
+SELECT user_id, event_type, count(DISTINCT v) > 1 AS conflicting, arg_max(v, ts) AS latest_value, count(*) AS n_reports
+FROM (SELECT user_id, event_type, ts, cast(json_extract_string(props, '$.k') AS bigint) AS v FROM events) GROUP BY 1, 2""",
+})
