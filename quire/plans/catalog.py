@@ -348,3 +348,59 @@ QUERIES.update({
     "s_request_functions": s_request_functions,
     "s20_conflicts": s20_conflicts,
 })
+
+
+# ---- sources, sinks, prompts (SRC-1..4, SNK-1, R-3) -----------------------------------------
+from quire.operators import prompts  # noqa: E402
+from quire.session import scratch_path  # noqa: E402
+from quire.sources import readers, sinks  # noqa: E402
+
+
+def src1_companies_csv(spark, sf):
+    path = readers.write_companies_csv(fx.companies(spark, sf), scratch_path(spark, "companies-csv"))
+    return readers.read_companies(spark, path, "csv")
+
+
+def src2_announcements_layout(spark, sf):
+    path = readers.write_announcements(fx.announcements(spark, sf), scratch_path(spark, "announcements"))
+    ann = readers.prune_by_month(readers.read_announcements(spark, path), SLICE.date_from, SLICE.date_to)
+    return filters.select_announcements(ann, SLICE)
+
+
+def src3_documents_by_key(spark, sf):
+    d = read_table(spark, sf, "documents", ["doc_id", "source", "n_chars"])
+    docs = d.withColumn("key", F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("source"), F.lit(".md")))
+    wanted = fx.hits(spark, sf).where(F.col("score") >= 0.9).select(F.col("filename").alias("key"))
+    return readers.read_documents(docs, wanted).select("doc_id", "key", "n_chars")
+
+
+def src4_response_events(spark, sf):
+    path = scratch_path(spark, "response-events")
+    fx.response_events(spark, sf).write.mode("overwrite").json(path)
+    return readers.read_response_events(spark, path, "json")
+
+
+def snk1_conversation_log(spark, sf):
+    path = scratch_path(spark, "conversation-log")
+    sinks.append_conversation_log(fx.conversation_records(spark, sf), path, "parquet")
+    return sinks.read_conversation_log(spark, path)
+
+
+def r3_prompt_records(spark, sf):
+    e = _epochs(spark, sf)
+    hist = history.render_block(e, history.visible(e))
+    conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
+    p = (conv.select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("question"))
+         .join(e.select("session_id", "turn", "ticker"), ["session_id", "turn"]))
+    names = prompts.company_names(companies.build_lookup(fx.companies(spark, sf)))
+    return prompts.assemble(p, names, hist)
+
+
+QUERIES.update({
+    "src1_companies_csv": src1_companies_csv,
+    "src2_announcements_layout": src2_announcements_layout,
+    "src3_documents_by_key": src3_documents_by_key,
+    "src4_response_events": src4_response_events,
+    "snk1_conversation_log": snk1_conversation_log,
+    "r3_prompt_records": r3_prompt_records,
+})

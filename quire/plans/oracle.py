@@ -391,3 +391,44 @@ FROM requests""", "requests"),
 SELECT user_id, event_type, count(DISTINCT v) > 1 AS conflicting, arg_max(v, ts) AS latest_value, count(*) AS n_reports
 FROM (SELECT user_id, event_type, ts, cast(json_extract_string(props, '$.k') AS bigint) AS v FROM events) GROUP BY 1, 2""",
 })
+
+
+# ---- sources, sinks, prompts -----------------------------------------------------------------
+def _template_sql(company: str, ticker: str) -> str:
+    from quire.operators.prompts import DEFAULT_TEMPLATE, template_pieces
+    vals = {"company": f"coalesce({company}, '')", "ticker": f"coalesce({ticker}, '')", "threshold": "'0.7'"}
+    return " || ".join(_sq(v) if k == "lit" else vals[v] for k, v in template_pieces(DEFAULT_TEMPLATE))
+
+
+_TCODE = "concat('T', lpad(cast((conv_id + cast(floor(turn / 3) AS bigint)) % 25 AS varchar), 2, '0'))"
+
+SQL.update({
+    "src1_companies_csv": _q("SELECT company_name, ticker, load_seq FROM companies", "companies"),
+    "src2_announcements_layout": SQL["flt_select_announcements"],
+    "src3_documents_by_key": _q("""
+SELECT doc_id, cast(doc_id AS varchar) || '_' || source || '.md' AS key, n_chars FROM documents
+WHERE cast(doc_id AS varchar) || '_' || source || '.md' IN (SELECT filename FROM hits WHERE score >= 0.9)""", "hits"),
+    "src4_response_events": _q("SELECT * FROM response_events", "response_events"),
+    "snk1_conversation_log": "WITH " + QA.strip() + f"""
+SELECT 's' || conv_id AS session_id, conv_id AS user_id, 'user' || conv_id || '@example.invalid' AS user_email,
+  {_TCODE} || '_vs' AS vector_store_id, turn AS num_of_docs, to_json([{_TCODE} || '_' || conv_id || '.md']) AS s3_keys,
+  {_TCODE} AS ticker, CASE WHEN turn % 2 = 0 THEN '["Placements"]' ELSE '[]' END AS announcement_types,
+  turn % 2 = 1 AS price_sensitive, DATE '1998-01-01' AS date_from, DATE '2001-12-31' AS date_to,
+  cast(DATE '2001-12-31' - DATE '1998-01-01' AS bigint) AS date_range, question AS message_text, answer AS assistant_response,
+  '2024-01-01 00:00:' || lpad(cast(turn AS varchar), 2, '0') AS message_timestamp, 'model-a' AS chat_model,
+  'Generate' AS chat_mode, cast(length(answer) AS bigint) AS tokens_used
+FROM qa""",
+    "r3_prompt_records": _q(f"""
+SELECT e.session_id, e.turn, e.ticker, n.company,
+  {_template_sql('n.company', 'e.ticker')} || h.history AS instructions, c.text AS input
+FROM conversations c JOIN epochs e ON e.session_id = c.conv_id AND e.turn = c.turn
+JOIN hist h ON h.session_id = e.session_id AND h.turn = e.turn
+LEFT JOIN (SELECT ticker, min(company_name) AS company FROM (
+  SELECT company_name, arg_max(ticker, load_seq) AS ticker FROM companies GROUP BY 1) GROUP BY 1) n ON n.ticker = e.ticker
+WHERE c.role = 'user'""", "summaries", "companies", extra=EPOCHS + "," + VISIBLE + """,
+hist AS (
+  SELECT e.session_id, e.turn,
+    coalesce(chr(10) || chr(10) || '## Conversation History Summary:' || chr(10) || string_agg('- ' || v.summary, chr(10) ORDER BY v.idx), '') AS history
+  FROM epochs e LEFT JOIN visible v ON v.session_id = e.session_id AND v.turn = e.turn GROUP BY e.session_id, e.turn
+)"""),
+})
