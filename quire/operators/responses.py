@@ -9,7 +9,7 @@ is bounded by the response length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import clean_chunk
@@ -41,14 +41,20 @@ def live_events(events: DataFrame) -> DataFrame:
             .where(F.col("stop_seq").isNull() | (F.col("seq") <= F.col("stop_seq"))))
 
 
+def piece_col() -> Column:
+    """The text an event appends to the answer (NULL for events that append nothing)."""
+    t = F.col("type")
+    return (F.when(t == DELTA, clean_chunk(F.col("delta")))
+            .when(t == INCOMPLETE, F.lit(INCOMPLETE_MSG))
+            .when(t == FAILED, F.lit(FAILED_MSG))
+            .when(t == CANCELLED, F.lit(CANCELLED_MSG)))
+
+
 def assemble(events: DataFrame) -> DataFrame:
     """AGG-7 + ST-1: answer text and status per response."""
     live = live_events(events)
     t = F.col("type")
-    piece = (F.when(t == DELTA, clean_chunk(F.col("delta")))
-             .when(t == INCOMPLETE, F.lit(INCOMPLETE_MSG))
-             .when(t == FAILED, F.lit(FAILED_MSG))
-             .when(t == CANCELLED, F.lit(CANCELLED_MSG)))
+    piece = piece_col()
     parts = F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct(F.col("seq"), piece.alias("p")))))
     status = (F.when(F.first("stop_type", ignorenulls=True) == FAILED, F.lit("failed"))
               .when(F.first("stop_type", ignorenulls=True) == CANCELLED, F.lit("cancelled"))

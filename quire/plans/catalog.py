@@ -404,3 +404,87 @@ QUERIES.update({
     "snk1_conversation_log": snk1_conversation_log,
     "r3_prompt_records": r3_prompt_records,
 })
+
+
+# ---- streams (ST-1 .. ST-6), each checked against its batch twin ----------------------------
+from quire.streaming import harness, stateful, windows  # noqa: E402
+
+
+def _run_stream(spark, df, order, name, build, sink_mode="append"):
+    base = scratch_path(spark, name)
+    src = harness.stage_files(df, f"{base}/in", order)
+    return _run_stream_from(spark, src, df.schema, name, build, sink_mode)
+
+
+def _run_stream_from(spark, src, schema, name, build, sink_mode="append"):
+    base = scratch_path(spark, name)
+    out = build(harness.read_staged(spark, src, schema))
+    w = (out.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck")
+         .option("path", f"{base}/out").outputMode(sink_mode))
+    harness.run_available_now(w)
+    return spark.read.parquet(f"{base}/out")
+
+
+def st1_assemble_stream(spark, sf):
+    ev = fx.response_events(spark, sf)
+    out = _run_stream(spark, ev, F.col("seq"), "st1", stateful.assemble_responses)
+    return stateful.latest(out, ["response_id"])
+
+
+def st2_incremental_intake(spark, sf):
+    r = ingest.detect_change(fx.requests(spark, sf)).where(F.col("needs_update"))
+    pairs = filters.match_requests(r, fx.announcements(spark, sf)).select("session_id", "ticker", "key", "ts", "request_id")
+    base = scratch_path(spark, "st2")
+    src = harness.stage_files(pairs, f"{base}/in", F.unix_micros(F.col("ts").cast("timestamp")))
+    ledger = f"{base}/ledger"
+    w = (harness.read_staged(spark, src, pairs.schema).writeStream
+         .foreachBatch(windows.intake_batch(spark, ledger)).option("checkpointLocation", f"{base}/ck"))
+    harness.run_available_now(w)
+    return spark.read.parquet(ledger).select("session_id", "ticker", "key", "request_id")
+
+
+def st3_rolling_history(spark, sf):
+    return _run_stream(spark, fx.summaries(spark, sf), F.col("turn"), "st3", stateful.rolling_history)
+
+
+def st4_detect_change(spark, sf):
+    r = fx.requests(spark, sf).drop("event_type")
+    return _run_stream(spark, r, F.unix_micros(F.col("ts").cast("timestamp")), "st4", stateful.detect_change)
+
+
+def st5_store_lifetimes(spark, sf):
+    """Append-mode session windows emit a lifetime once the watermark passes its end; a final
+    end-of-stream marker row (far in the future, own store name) closes every real lifetime."""
+    import datetime as _dt
+    act = fx.store_activity(spark, sf)
+    base = scratch_path(spark, "st5")
+    src = harness.stage_files(act, f"{base}/in", F.unix_micros(F.col("ts").cast("timestamp")))
+    spark.createDataFrame([(windows.END_MARKER, _dt.datetime(2999, 12, 31))], act.schema).write.mode("append").parquet(src)
+    out = _run_stream_from(spark, src, act.schema, "st5", windows.store_lifetimes)
+    return out.where(F.col("ticker") != windows.END_MARKER)
+
+
+def st5_batch_lifetimes(spark, sf):
+    return windows.store_lifetimes(fx.store_activity(spark, sf))
+
+
+def st6_conversation_log(spark, sf):
+    rec = fx.conversation_records(spark, sf)
+    base = scratch_path(spark, "st6")
+    src = harness.stage_files(rec, f"{base}/in", F.col("vector_store.num_of_docs"))
+    log = f"{base}/log"
+    w = (harness.read_staged(spark, src, rec.schema).writeStream
+         .foreachBatch(windows.log_batch(log)).option("checkpointLocation", f"{base}/ck"))
+    harness.run_available_now(w)
+    return sinks.read_conversation_log(spark, log)
+
+
+QUERIES.update({
+    "st1_assemble_stream": st1_assemble_stream,
+    "st2_incremental_intake": st2_incremental_intake,
+    "st3_rolling_history": st3_rolling_history,
+    "st4_detect_change": st4_detect_change,
+    "st5_store_lifetimes": st5_store_lifetimes,
+    "st5_batch_lifetimes": st5_batch_lifetimes,
+    "st6_conversation_log": st6_conversation_log,
+})

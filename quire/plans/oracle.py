@@ -432,3 +432,23 @@ hist AS (
   FROM epochs e LEFT JOIN visible v ON v.session_id = e.session_id AND v.turn = e.turn GROUP BY e.session_id, e.turn
 )"""),
 })
+
+
+# ---- streams: the batch twins' SQL ----------------------------------------------------------------
+_LIFETIMES = """
+SELECT ticker, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start_ts,
+  strftime(max(ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%f') AS end_ts, count(*) AS n
+FROM (SELECT *, sum(brk) OVER (PARTITION BY ticker ORDER BY ts, brk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
+      FROM (SELECT ticker, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS brk
+            FROM store_activity WINDOW w AS (PARTITION BY ticker ORDER BY ts)))
+GROUP BY ticker, sid"""
+
+SQL.update({
+    "st1_assemble_stream": SQL["agg7_assemble"],
+    "st2_incremental_intake": SQL["win7_ledger_grow"],
+    "st3_rolling_history": SQL["agg10_history_block"],
+    "st4_detect_change": SQL["win4_detect_change"],
+    "st5_store_lifetimes": _q(_LIFETIMES, "store_activity"),
+    "st5_batch_lifetimes": _q(_LIFETIMES, "store_activity"),
+    "st6_conversation_log": SQL["snk1_conversation_log"],
+})
