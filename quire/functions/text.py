@@ -135,10 +135,17 @@ def below_threshold(score: Column, threshold: float = CONFIDENCE_THRESHOLD) -> C
     return score < F.lit(threshold)
 
 
+CONFIDENCE_RE = r"Confidence Score:\s*([0-9]+(?:\.[0-9]+)?)"
+
+
 def parse_confidence(answer: Column) -> Column:
-    """S-19: the number after ``Confidence Score:`` (last occurrence), as double."""
-    raw = F.regexp_extract(answer, r"(?s).*Confidence Score:\s*([0-9]+(?:\.[0-9]+)?)", 1)
-    return F.when(raw == "", F.lit(None).cast("double")).otherwise(raw.try_cast("double"))
+    """S-19: the number after the last ``Confidence Score:``, as double (NULL if none).
+
+    Linear in the text: all matches are extracted and the last one kept (a
+    leading ``.*`` would make ``find()`` quadratic on answers without a score).
+    """
+    raw = F.try_element_at(F.regexp_extract_all(answer, F.lit(CONFIDENCE_RE), F.lit(1)), F.lit(-1))
+    return raw.try_cast("double")
 
 
 def parse_sources(answer: Column) -> Column:

@@ -165,6 +165,14 @@ class MatchPlan:
 
 
 def plan_matches(requests: DataFrame, ann: DataFrame) -> MatchPlan:
+    """Build the shared class tables.
+
+    ``specs`` and ``spec_class`` are bounded by distinct specs x calendar
+    segments (not by row counts).  They feed several consumers and are
+    recomputed per consumer; measured at sf0.1 that is cheaper than
+    persisting them (5.1 s vs 7.4 s for R-4), since the recomputed inputs are
+    column-pruned scans.
+    """
     req = with_spec(requests)
     specs = _spec_table(req)
     ann_c = classify_announcements(ann, specs)

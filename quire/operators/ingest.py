@@ -161,15 +161,22 @@ def doc_counts(requests: DataFrame, ann: DataFrame, scope: str = "session",
 
 
 def build_manifests(ledger: DataFrame, bucket: str = "documents", max_keys: int = 1000,
-                    split_rows: int = 1_000_000) -> DataFrame:
+                    split_rows: int = 1_000_000, counts: DataFrame | None = None) -> DataFrame:
     """SNK-2: JSON ingest manifests, one per (request, part, batch), at most ``max_keys`` keys.
 
     Keys of a request are numbered in key order and cut into batches of
     ``max_keys``.  A request with more than ``split_rows`` keys is first spread
     over ``ceil(n / split_rows)`` hash parts so no single window task holds an
-    unbounded group; ``part`` is 0 otherwise.
+    unbounded group; ``part`` is 0 otherwise.  ``counts`` (request_id, n_new)
+    may be passed in when known (e.g. from the class-level ledger) so the
+    ledger is not aggregated twice.  The ledger is shuffled once, by
+    request_id; the count join, the window and the grouping reuse that
+    partitioning.
     """
-    counts = ledger.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = ledger.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = counts.select("request_id", F.col("n_new").alias("_n"))
     nparts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(split_rows))).cast("bigint")
     keyed = (ledger.join(counts, "request_id")
              .withColumn("part", F.when(F.col("_n") > split_rows,

@@ -51,16 +51,29 @@ def piece_col() -> Column:
 
 
 def assemble(events: DataFrame) -> DataFrame:
-    """AGG-7 + ST-1: answer text and status per response."""
-    live = live_events(events)
+    """AGG-7 + ST-1: answer text and status per response, in one aggregation.
+
+    One shuffle by response: the first stop, the first incomplete/completed
+    event and the ordered (seq, piece) pairs are aggregated together; pieces
+    after the stop are filtered out of the array afterwards.
+    """
     t = F.col("type")
+    stop_ev = F.when(t.isin(FAILED, CANCELLED), F.struct(F.col("seq"), t.alias("type")))
     piece = piece_col()
-    parts = F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct(F.col("seq"), piece.alias("p")))))
-    status = (F.when(F.first("stop_type", ignorenulls=True) == FAILED, F.lit("failed"))
-              .when(F.first("stop_type", ignorenulls=True) == CANCELLED, F.lit("cancelled"))
-              .when(F.max((t == INCOMPLETE).cast("int")) == 1, F.lit("incomplete"))
-              .when(F.max((t == COMPLETED).cast("int")) == 1, F.lit("completed"))
+    g = events.groupBy("response_id").agg(
+        F.min(stop_ev).alias("stop"),
+        F.min(F.when(t == INCOMPLETE, F.col("seq"))).alias("first_inc"),
+        F.min(F.when(t == COMPLETED, F.col("seq"))).alias("first_done"),
+        F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct(F.col("seq"), piece.alias("p"))))).alias("parts"))
+    stop_seq = F.col("stop.seq")
+
+    def live(c):
+        return stop_seq.isNull() | (c <= stop_seq)
+
+    answer = F.array_join(F.transform(F.filter("parts", lambda x: live(x["seq"])), lambda x: x["p"]), "")
+    status = (F.when(F.col("stop.type") == FAILED, F.lit("failed"))
+              .when(F.col("stop.type") == CANCELLED, F.lit("cancelled"))
+              .when(F.col("first_inc").isNotNull() & live(F.col("first_inc")), F.lit("incomplete"))
+              .when(F.col("first_done").isNotNull() & live(F.col("first_done")), F.lit("completed"))
               .otherwise(F.lit("open")))
-    return live.groupBy("response_id").agg(
-        F.array_join(F.transform(parts, lambda x: x["p"]), "").alias("answer"),
-        status.alias("status"))
+    return g.select("response_id", answer.alias("answer"), status.alias("status"))

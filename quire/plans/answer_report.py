@@ -20,11 +20,11 @@ def answer_report(events: DataFrame, base_url: str = DEFAULT_BASE_URL, threshold
     answers = assemble(events)
     blocks = render_block(classify(events), base_url)
     stopped = F.col("status").isin("failed", "cancelled")
-    conf = parse_confidence(F.col("answer"))
+    conf = F.col("confidence")
     return (answers.join(blocks, "response_id", "left")
             .select("response_id", "status", "answer",
                     F.when(stopped, F.lit(None).cast("string")).otherwise(F.coalesce(F.col("citations"), F.lit("")))
                     .alias("citations"),
-                    conf.alias("confidence"),
-                    confidence_band(conf).alias("confidence_band"),
+                    parse_confidence(F.col("answer")).alias("confidence"))
+            .select("*", confidence_band(conf).alias("confidence_band"),
                     below_threshold(conf, threshold).alias("search_web")))

@@ -205,8 +205,7 @@ stops AS (
       WHEN type = 'response.cancelled' THEN 'Response was cancelled' END AS piece FROM live)
   GROUP BY response_id
 )"""
-CONF = r"""CASE WHEN regexp_extract(answer, '(?s).*Confidence Score:\s*([0-9]+(?:\.[0-9]+)?)', 1) = '' THEN NULL
-  ELSE try_cast(regexp_extract(answer, '(?s).*Confidence Score:\s*([0-9]+(?:\.[0-9]+)?)', 1) AS double) END"""
+CONF = r"""try_cast(regexp_extract_all(answer, 'Confidence Score:\s*([0-9]+(?:\.[0-9]+)?)', 1)[-1] AS double)"""
 
 SQL.update({
     "flt8_annotation_routing": _q("SELECT response_id, seq, kind FROM ann", "response_events", extra=ANN),
