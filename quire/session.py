@@ -59,3 +59,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def ensure_parallel(df, min_partitions: int | None = None):
+    """Spread ``df`` when it arrives in fewer partitions than the cluster can run.
+
+    A single large file (e.g. one parquet file of long texts) is scanned as one
+    split, so every downstream narrow operator runs in one task.  When the
+    planned partition count is below ``min_partitions`` (default: the default
+    parallelism) the rows are round-robin repartitioned; on a real cluster with
+    many input splits this is a no-op.  Call it on scans: on a plan that
+    already holds a shuffle, adaptive execution would run that shuffle just to
+    count partitions.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
