@@ -148,9 +148,12 @@ def parse_confidence(answer: Column) -> Column:
     return raw.try_cast("double")
 
 
+SOURCE_RE = r"(?md)^[ \t]*-?[ \t]*Source:[ \t]*([^\n]*)"
+
+
 def parse_sources(answer: Column) -> Column:
-    """S-19: every ``Source: ...`` line (text after the colon, trimmed), in order."""
-    return F.regexp_extract_all(answer, F.lit(r"(?m)^\s*-?\s*Source:\s*(.*?)\s*$"), F.lit(1))
+    """S-19: the rest of every ``Source:`` line (optionally bulleted), in order."""
+    return F.regexp_extract_all(answer, F.lit(SOURCE_RE), F.lit(1))
 
 
 def selected_types(col: Column) -> Column:

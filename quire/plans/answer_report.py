@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import below_threshold, confidence_band, parse_confidence
+from quire.functions.text import below_threshold, confidence_band, parse_confidence, parse_sources
 from quire.operators.citations import DEFAULT_BASE_URL, classify, render_block
 from quire.operators.responses import assemble
 
@@ -25,6 +25,7 @@ def answer_report(events: DataFrame, base_url: str = DEFAULT_BASE_URL, threshold
             .select("response_id", "status", "answer",
                     F.when(stopped, F.lit(None).cast("string")).otherwise(F.coalesce(F.col("citations"), F.lit("")))
                     .alias("citations"),
-                    parse_confidence(F.col("answer")).alias("confidence"))
+                    parse_confidence(F.col("answer")).alias("confidence"),
+                    F.array_join(parse_sources(F.col("answer")), " | ").alias("sources"))
             .select("*", confidence_band(conf).alias("confidence_band"),
                     below_threshold(conf, threshold).alias("search_web")))

@@ -322,6 +322,7 @@ def s_request_functions(spark, sf):
         "request_id",
         tx.store_name(F.col("ticker")).alias("store_name"),
         tx.list_cell(tx.selected_types(F.col("types"))).alias("types_json"),
+        tx.json_or_empty(F.when(F.col("ticker").isNotNull(), F.struct("ticker", "types"))).alias("payload"),
         tx.markdown_link(F.when(F.size("types") > 0, F.get(F.col("types"), 0)), F.concat(F.lit("https://example.invalid/"),
                          F.col("request_id").cast("string"))).alias("link"))
 

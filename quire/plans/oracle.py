@@ -217,8 +217,10 @@ SELECT response_id, status, answer, CASE WHEN status IN ('failed', 'cancelled')
   confidence,
   CASE WHEN confidence IS NULL THEN NULL WHEN confidence >= 1.0 THEN 'direct quote' WHEN confidence >= 0.8 THEN 'reliable company document'
        WHEN confidence >= 0.7 THEN 'reputable web source' WHEN confidence >= 0.5 THEN 'indirect or older' ELSE 'uncertain' END AS confidence_band,
-  confidence < 0.7 AS search_web
-FROM (SELECT a.*, b.citations, {CONF} AS confidence FROM answers a LEFT JOIN blocks b USING (response_id))""",
+  confidence < 0.7 AS search_web, sources
+FROM (SELECT a.*, b.citations, {CONF} AS confidence,
+        array_to_string(regexp_extract_all(answer, '(?m)^[ \t]*-?[ \t]*Source:[ \t]*([^\n]*)', 1), ' | ') AS sources
+      FROM answers a LEFT JOIN blocks b USING (response_id))""",
                            "response_events", extra=ANN + "," + BLOCK + "," + ASSEMBLE),
 })
 
@@ -383,6 +385,7 @@ SELECT query_id, doc_id,
 FROM hits""", "hits"),
     "s_request_functions": _q("""
 SELECT request_id, ticker || '_vs' AS store_name, to_json(list_filter(types, lambda x: x IS NOT NULL)) AS types_json,
+  coalesce(CASE WHEN ticker IS NOT NULL THEN to_json({'ticker': ticker, 'types': types}) END, '{}') AS payload,
   '- [' || coalesce(CASE WHEN len(types) > 0 THEN types[1] END, 'Web Source') || '](' || 'https://example.invalid/' ||
   cast(request_id AS varchar) || ')' || chr(10) AS link
 FROM requests""", "requests"),

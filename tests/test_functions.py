@@ -87,3 +87,15 @@ def test_date_range_and_store(spark):
     df = spark.createDataFrame([(dt.date(2025, 1, 1), dt.date(2025, 6, 30), "BHP")], "a date, b date, t string")
     r = df.select(tx.date_range_days(F.col("a"), F.col("b")), tx.store_name(F.col("t"))).first()
     assert tuple(r) == (180, "BHP_vs")
+
+
+def test_parse_sources(spark):
+    ans = "Acme grew.\n- Source: Annual report, 2024-06-30\nSource: web page\nno Source here"
+    df = spark.createDataFrame([(ans,)], "x string")
+    assert df.select(tx.parse_sources(F.col("x"))).first()[0] == ["Annual report, 2024-06-30", "web page"]
+
+
+def test_json_or_empty(spark):
+    df = spark.createDataFrame([("T", ["a"]), (None, [])], "t string, types array<string>")
+    got = [r[0] for r in df.select(tx.json_or_empty(F.when(F.col("t").isNotNull(), F.struct("t", "types")))).collect()]
+    assert got == ['{"t":"T","types":["a"]}', "{}"]
