@@ -160,29 +160,40 @@ def doc_counts(requests: DataFrame, ann: DataFrame, scope: str = "session",
             .select("request_id", F.coalesce(F.col("n_new"), F.lit(0)).cast("bigint").alias("n_new")))
 
 
+def bounded_batches(df: DataFrame, by: list, order_col: str = "key", max_items: int = 1000,
+                    split_rows: int = 1_000_000, counts: DataFrame | None = None) -> DataFrame:
+    """Number the rows of each ``by`` group in ``order_col`` order and cut them into
+    batches of at most ``max_items``: adds ``part`` and ``batch_no``.
+
+    A group with more than ``split_rows`` rows is first spread over
+    ``ceil(n / split_rows)`` hash parts, so no window task holds an unbounded
+    group; ``part`` is 0 otherwise.  ``counts`` (by..., ``_n``) may be passed
+    when already known.
+    """
+    if counts is None:
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    nparts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(split_rows))).cast("bigint")
+    keyed = (df.join(counts, list(by))
+             .withColumn("part", F.when(F.col("_n") > split_rows,
+                                         F.pmod(F.xxhash64(order_col), nparts)).otherwise(F.lit(0)).cast("bigint")))
+    w = Window.partitionBy(*by, "part").orderBy(order_col)
+    return (keyed.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / F.lit(max_items)).cast("bigint"))
+            .drop("_n"))
+
+
 def build_manifests(ledger: DataFrame, bucket: str = "documents", max_keys: int = 1000,
                     split_rows: int = 1_000_000, counts: DataFrame | None = None) -> DataFrame:
     """SNK-2: JSON ingest manifests, one per (request, part, batch), at most ``max_keys`` keys.
 
     Keys of a request are numbered in key order and cut into batches of
-    ``max_keys``.  A request with more than ``split_rows`` keys is first spread
-    over ``ceil(n / split_rows)`` hash parts so no single window task holds an
-    unbounded group; ``part`` is 0 otherwise.  ``counts`` (request_id, n_new)
-    may be passed in when known (e.g. from the class-level ledger) so the
-    ledger is not aggregated twice.  The ledger is shuffled once, by
-    request_id; the count join, the window and the grouping reuse that
-    partitioning.
+    ``max_keys`` (:func:`bounded_batches`).  ``counts`` (request_id, n_new) may
+    be passed in when known (e.g. from the class-level ledger) so the ledger is
+    not aggregated twice.  The ledger is shuffled once, by request_id; the
+    count join, the window and the grouping reuse that partitioning.
     """
-    if counts is None:
-        counts = ledger.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-    else:
+    if counts is not None:
         counts = counts.select("request_id", F.col("n_new").alias("_n"))
-    nparts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(split_rows))).cast("bigint")
-    keyed = (ledger.join(counts, "request_id")
-             .withColumn("part", F.when(F.col("_n") > split_rows,
-                                         F.pmod(F.xxhash64("key"), nparts)).otherwise(F.lit(0)).cast("bigint")))
-    w = Window.partitionBy("request_id", "part").orderBy("key")
-    batched = keyed.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / F.lit(max_keys)).cast("bigint"))
+    batched = bounded_batches(ledger, ["request_id"], "key", max_keys, split_rows, counts)
     vs_id = store_name(F.col("ticker"))
     grouped = (batched.groupBy("session_id", "ticker", "request_id", "part", "batch_no")
                .agg(F.sort_array(F.collect_list("key")).alias("keys")))

@@ -291,7 +291,8 @@ def agg6_key_lists(spark, sf):
     cond = (F.col("date").between(F.lit(spec.date_from).cast("date"), F.lit(spec.date_to).cast("date"))
             & (F.col("is_price_sensitive") == F.lit(True)) & tax.type_predicate(F.col("announcement_types"), spec.types))
     m = a.where(cond)
-    return filters.select_keys(m, by=("ticker",), as_list=True).select("ticker", F.to_json("keys").alias("keys"))
+    return filters.select_keys(m, by=("ticker",), as_list=True, max_keys=MAX_KEYS).select(
+        "ticker", "part", "batch_no", F.to_json("keys").alias("keys"))
 
 
 def jn3_incremental_keys(spark, sf):

@@ -365,8 +365,11 @@ SELECT request_id, CASE WHEN ticker IS NULL OR ticker = '' OR mode IS NULL OR mo
   WHEN mode = 'Generate' THEN 'generate' WHEN mode = 'Search' THEN 'search' ELSE 'invalid' END AS status
 FROM (SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 'Generate' WHEN event_type = 'click' THEN 'Search'
   WHEN event_type = 'purchase' THEN 'Summarise' END AS mode FROM requests)""", "requests"),
-    "agg6_key_lists": _q(f"SELECT ticker, to_json(list(key ORDER BY key)) AS keys FROM announcements WHERE {_SLICE_NO_TICKER} "
-                         f"GROUP BY ticker", "announcements"),
+    "agg6_key_lists": _q(f"""
+SELECT ticker, cast(0 AS bigint) AS part, batch_no, to_json(list(key ORDER BY key)) AS keys FROM (
+  SELECT ticker, key, cast((row_number() OVER (PARTITION BY ticker ORDER BY key) - 1) // {MAX_KEYS} AS bigint) AS batch_no
+  FROM announcements WHERE {_SLICE_NO_TICKER})
+GROUP BY ticker, batch_no""", "announcements"),
     "jn3_incremental_keys": _q(f"""
 SELECT n.request_id, n.session_id, n.ticker, n.key FROM (
   SELECT r.request_id, r.session_id, r.ticker, a.key FROM requests r JOIN announcements a ON {MATCH_COND} WHERE r.ts >= {_CUT}) n
