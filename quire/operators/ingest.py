@@ -81,7 +81,7 @@ def class_first_loads(requests: DataFrame, ann: DataFrame, scope: str = "session
 
 
 def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope: str = "session",
-                plan: MatchPlan | None = None) -> DataFrame:
+                plan: MatchPlan | None = None, ack_col: str | None = None) -> DataFrame:
     """WIN-7: which request ships each document.
 
     ``grow`` (default, relational): a key is shipped once, by the first changed
@@ -89,9 +89,16 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
     order-dependent fold (an empty increment re-ships the whole matched set and
     *replaces* the loaded set), run per group in pandas over class ids only.
 
+    ``ack_col`` (grow mode, fixes Q5): a boolean column saying whether the
+    request's upload was acknowledged.  Unacknowledged shipments do not count
+    as loaded, so a key is shipped by every matching request up to and
+    including the first *acknowledged* one (all of them if none is).
+
     Output: group columns, ``key``, ``request_id``, ``ts``.
     """
     g = _group_cols(scope)
+    if mode == "grow" and ack_col:
+        return _acked_ledger(requests, ann, g, plan, ack_col)
     if mode == "grow":
         changed = _changed(requests)
         p = plan or plan_matches(changed, ann)
@@ -104,6 +111,23 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
     raise ValueError("mode must be 'grow' or 'faithful'")
 
 
+def _acked_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPlan | None, ack_col: str) -> DataFrame:
+    changed = with_spec(_changed(requests))
+    p = plan or plan_matches(changed, ann)
+    rest_spec = [c for c in SPEC if c not in g]
+    rest_cls = [c for c in CLASS if c not in g]
+    acked = (changed.where(F.coalesce(F.col(ack_col), F.lit(False)))
+             .groupBy(*g, *rest_spec).agg(F.min(F.struct(*_ORDER)).alias("fa")))
+    class_acked = (acked.join(p.spec_class.select(*SPEC, *CLASS), SPEC)
+                   .groupBy(*g, *rest_cls).agg(F.min("fa").alias("fa")))
+    # requests x matched classes: bounded by requests x classes, never by documents
+    req_cls = changed.select(*g, *rest_spec, *_ORDER).join(p.spec_class.select(*SPEC, *CLASS), SPEC)
+    attempts = (req_cls.join(class_acked, g + rest_cls, "left")
+                .where(F.col("fa").isNull() | (F.struct(*_ORDER) <= F.col("fa"))))
+    return (attempts.join(p.ann.select(*CLASS, "key"), CLASS)
+            .select(*g, "key", "request_id", "ts"))
+
+
 def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sequential ledger fold for one group; rows are (request, matched class)."""
     out = []

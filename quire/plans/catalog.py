@@ -51,6 +51,13 @@ def win7_ledger_grow(spark: SparkSession, sf: str) -> DataFrame:
         "session_id", "ticker", "key", "request_id")
 
 
+def win7_ledger_ack(spark: SparkSession, sf: str) -> DataFrame:
+    """Grow ledger where uploads of requests raised by error events are not acknowledged (Q5)."""
+    r = fx.requests(spark, sf).withColumn("ack", F.col("event_type") != "error")
+    return ingest.load_ledger(r, fx.announcements(spark, sf), mode="grow", ack_col="ack").select(
+        "session_id", "ticker", "key", "request_id")
+
+
 def win7_ledger_faithful(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.load_ledger(fx.requests(spark, sf), fx.announcements(spark, sf), mode="faithful").select(
         "session_id", "ticker", "key", "request_id")
@@ -73,6 +80,7 @@ QUERIES = {
     "agg2_doc_counts": agg2_doc_counts,
     "win7_ledger_grow": win7_ledger_grow,
     "win7_ledger_faithful": win7_ledger_faithful,
+    "win7_ledger_ack": win7_ledger_ack,
     "snk2_manifests": snk2_manifests,
     "r4_refresh_plan": r4_refresh_plan,
 }

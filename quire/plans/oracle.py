@@ -457,3 +457,17 @@ SQL.update({
     "st5_batch_lifetimes": _q(_LIFETIMES, "store_activity"),
     "st6_conversation_log": SQL["snk1_conversation_log"],
 })
+
+
+SQL["win7_ledger_ack"] = _q(f"""
+SELECT p.session_id, p.ticker, p.key, p.request_id FROM pairs p
+LEFT JOIN (SELECT session_id, ticker, key, ts AS ats, request_id AS arid FROM (
+    SELECT *, row_number() OVER (PARTITION BY session_id, ticker, key ORDER BY ts, request_id) AS rn
+    FROM pairs WHERE ack) WHERE rn = 1) a
+  ON a.session_id = p.session_id AND a.ticker = p.ticker AND a.key = p.key
+WHERE a.ats IS NULL OR p.ts < a.ats OR (p.ts = a.ats AND p.request_id <= a.arid)""",
+                            "announcements", "requests", extra=MARKED + """,
+pairs AS (
+  SELECT r.request_id, r.session_id, r.ticker, r.ts, a.key, r.event_type <> 'error' AS ack
+  FROM changed r JOIN announcements a ON """ + MATCH_COND + """
+)""")

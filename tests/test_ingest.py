@@ -114,3 +114,14 @@ def test_manifests_split_path(spark):
     for r in m:
         got |= set(json.loads(r.payload)["Records"][0]["s3"]["object"]["keys"])
     assert got == {k[2] for k in keys}
+
+
+def test_ledger_ack_golden(spark):
+    """Unacknowledged shipments stay unloaded: N1={1,2,3} (not acked), N2={1} (acked), N3={1,2}."""
+    d = dt.date
+    w = [(d(2020, 1, 1), d(2020, 12, 31)), (d(2020, 1, 1), d(2020, 1, 15)), (d(2020, 1, 1), d(2020, 2, 15))]
+    req = _req(spark, w).withColumn("ack", F.col("request_id") != 1)
+    out = {}
+    for r in ingest.load_ledger(req, _ann(spark), mode="grow", ack_col="ack").collect():
+        out.setdefault(r.request_id, set()).add(r.key)
+    assert out == {1: {"1", "2", "3"}, 2: {"1"}, 3: {"2"}}
