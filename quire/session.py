@@ -81,3 +81,15 @@ def ensure_parallel(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    For an intermediate that several consumers read (each would otherwise
+    re-run its shuffles); also cuts the lineage, so a lost executor re-reads
+    the files instead of recomputing upstream stages.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
