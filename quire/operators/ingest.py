@@ -16,29 +16,32 @@ from pyspark.sql import functions as F
 from quire.functions.hashing import query_hash
 from quire.functions.text import store_name
 from quire.operators.filters import CLASS, SPEC, MatchPlan, plan_matches, with_spec
+from quire.operators.scan import ordered_scan
 
 INITIAL, CHANGED, SAME, NO_TICKER = "Initial setup", "Query changed", "No changes", "No ticker selected"
 _ORDER = ["ts", "request_id"]
 
 
-def detect_change(requests: DataFrame) -> DataFrame:
+def detect_change(requests: DataFrame, split="auto") -> DataFrame:
     """WIN-4: add ``query_hash``, ``reason`` and ``needs_update``.
 
     The previous fingerprint is the one of the previous request of the same
     (session, ticker), ordered by (ts, request_id); A -> B -> A is two changes.
-    Scale: partitioned by (session, ticker); one long session is one task.
+    Scale: an ordered scan per (session, ticker); a hot group is split into
+    range pieces (:func:`quire.operators.scan.ordered_scan`).
     """
     h = query_hash(F.col("ticker"), F.col("date_from"), F.col("date_to"), F.col("types"),
                    F.col("price_sensitive"))
-    w = Window.partitionBy("session_id", "ticker").orderBy(*_ORDER)
     out = requests.withColumn("query_hash", F.when(F.col("ticker").isNotNull(), h))
-    prev = F.lag("query_hash").over(w)
+    out = ordered_scan(out, ["session_id", "ticker"], _ORDER, prev={"_prev_hash": "query_hash"}, split=split)
+    prev = F.col("_prev_hash")
     reason = (F.when(F.col("ticker").isNull(), F.lit(NO_TICKER))
               .when(prev.isNull(), F.lit(INITIAL))
               .when(F.col("query_hash") != prev, F.lit(CHANGED))
               .otherwise(F.lit(SAME)))
     return (out.withColumn("reason", reason)
-            .withColumn("needs_update", F.col("reason").isin(INITIAL, CHANGED)))
+            .withColumn("needs_update", F.col("reason").isin(INITIAL, CHANGED))
+            .drop("_prev_hash"))
 
 
 def incremental_keys(new: DataFrame, loaded: DataFrame, on=("session_id", "ticker", "key")) -> DataFrame:
