@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.hashing import query_hash
 from quire.functions.text import store_name
-from quire.operators.filters import CLASS, SPEC, MatchPlan, plan_matches, with_spec
+from quire.operators.filters import CLASS, SPEC, MatchPlan, expand_classes, plan_matches, with_spec
 from quire.operators.scan import ordered_scan
 
 INITIAL, CHANGED, SAME, NO_TICKER = "Initial setup", "Query changed", "No changes", "No ticker selected"
@@ -107,7 +107,7 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
         p = plan or plan_matches(changed, ann)
         cf = class_first_loads(changed, ann, scope, p)
         keys = p.ann.select(*CLASS, "key")
-        return (cf.join(keys, CLASS)
+        return (expand_classes(cf, keys, p.spec_class)
                 .select(*g, "key", F.col("first.request_id").alias("request_id"), F.col("first.ts").alias("ts")))
     if mode == "faithful":
         return _faithful_ledger(requests, ann, g, plan)
@@ -127,7 +127,7 @@ def _acked_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPlan
     req_cls = changed.select(*g, *rest_spec, *_ORDER).join(p.spec_class.select(*SPEC, *CLASS), SPEC)
     attempts = (req_cls.join(class_acked, g + rest_cls, "left")
                 .where(F.col("fa").isNull() | (F.struct(*_ORDER) <= F.col("fa"))))
-    return (attempts.join(p.ann.select(*CLASS, "key"), CLASS)
+    return (expand_classes(attempts, p.ann.select(*CLASS, "key"), p.spec_class)
             .select(*g, "key", "request_id", "ts"))
 
 

@@ -18,10 +18,13 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "quire") -> SparkSession:
-    """Session for tests and the bench: AQE on, UI off, UTC clock."""
+                  app_name: str = "quire", extra_conf: dict | None = None) -> SparkSession:
+    """Session for tests and the bench: AQE on, UI off, UTC clock (``extra_conf`` e.g. an event log)."""
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

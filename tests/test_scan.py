@@ -58,3 +58,11 @@ def test_history_and_change_split_equal(spark):
     _same(history.qa_pairs(conv, split=False), history.qa_pairs(conv, split=True))
     r = fx.requests(spark, SF)
     _same(ingest.detect_change(r, split=False), ingest.detect_change(r, split=True))
+
+
+def test_assemble_blocks_equal_single_block(spark):
+    from quire.operators import responses
+    ev = fx.response_events(spark, SF)
+    one = responses.assemble(ev, block_seq=1 << 40)           # every response in one block
+    for bs in (7, 64, 1000):                                  # stops land inside and at block edges
+        _same(one, responses.assemble(ev, block_seq=bs))
