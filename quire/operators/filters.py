@@ -198,7 +198,7 @@ def plan_matches(requests: DataFrame, ann: DataFrame, write: bool = True) -> Mat
 
 
 def expand_classes(rows: DataFrame, members: DataFrame, sizes: DataFrame,
-                   target_rows: int = 1_000_000) -> DataFrame:
+                   target_rows: int = 1_000_000, on: list = CLASS) -> DataFrame:
     """Join class-level ``rows`` to the announcements (``members``, with ``key``) of their class.
 
     This is the one join whose output (rows of a class x members of the
@@ -209,17 +209,19 @@ def expand_classes(rows: DataFrame, members: DataFrame, sizes: DataFrame,
     ``sizes``, at most the shuffle-partition count): a member goes to one
     bucket by key hash, a class row is copied to each bucket.  Both sides are
     repartitioned explicitly to the configured shuffle partitions, which
-    adaptive execution keeps, so the expansion runs on every core.
+    adaptive execution keeps, so the expansion runs on every core.  ``on``
+    names the class columns (default :data:`CLASS`).
     """
+    on = list(on)
     nparts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per = rows.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("_r"))
-    salts = (per.join(sizes.select(*CLASS, "n").dropDuplicates(CLASS), CLASS)
-             .select(*CLASS, F.least(F.lit(nparts), F.greatest(F.lit(1), F.ceil(
+    per = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_r"))
+    salts = (per.join(sizes.select(*on, "n").dropDuplicates(on), on)
+             .select(*on, F.least(F.lit(nparts), F.greatest(F.lit(1), F.ceil(
                  F.col("_r") * F.col("n") / F.lit(target_rows)))).cast("int").alias("_s")))
-    keys = [*CLASS, "_salt"]
-    r = (rows.join(salts, CLASS).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    keys = [*on, "_salt"]
+    r = (rows.join(salts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
          .drop("_s"))
-    m = (members.join(salts, CLASS).withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("_s")).cast("int"))
+    m = (members.join(salts, on).withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("_s")).cast("int"))
          .drop("_s"))
     return r.repartition(nparts, *keys).join(m.repartition(nparts, *keys), keys).drop("_salt")
 

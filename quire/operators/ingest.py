@@ -167,8 +167,9 @@ def _faithful_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPl
                .applyInPandas(lambda key, pdf: _fold_group(pdf).assign(**dict(zip(g, key)))[["request_id", "cls", *g]],
                               f"{schema}, " + ", ".join(f"{c} {t}" for c, t in _group_types(req_cls, g))))
     ann_k = p.ann.withColumn("cls", cls).select("ticker", "cls", "key")
+    sizes = p.spec_class.withColumn("cls", cls).select("ticker", "cls", "n")
     req_ts = changed.select("request_id", "ts")
-    return (shipped.join(ann_k, ["ticker", "cls"]).join(req_ts, "request_id")
+    return (expand_classes(shipped, ann_k, sizes, on=["ticker", "cls"]).join(req_ts, "request_id")
             .select(*g, "key", "request_id", "ts"))
 
 
