@@ -9,6 +9,7 @@ SNK-2  build_manifests   bounded JSON manifests of keys per shipping request
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from quire.functions.hashing import query_hash
 from quire.functions.text import store_name
 from quire.operators.filters import CLASS, SPEC, MatchPlan, expand_classes, plan_matches, with_spec
 from quire.operators.scan import ordered_scan
+from quire.session import materialize
 
 INITIAL, CHANGED, SAME, NO_TICKER = "Initial setup", "Query changed", "No changes", "No ticker selected"
 _ORDER = ["ts", "request_id"]
@@ -132,26 +134,36 @@ def _acked_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPlan
 
 
 def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential ledger fold for one group; rows are (request, matched class)."""
-    out = []
-    loaded: list = []
+    """Sequential ledger fold for one group; rows are (request, matched class).
+
+    One stable sort by (ts, request_id), then a single linear pass: rows of
+    one request are adjacent, so each request's matched classes are read
+    off a run of rows (no per-request pandas grouping).
+    """
+    order = np.lexsort((pdf["request_id"].to_numpy(), pdf["ts"].to_numpy()))
+    rids = pdf["request_id"].to_numpy()[order]
+    clss = pdf["cls"].to_numpy()[order]
+    out_r, out_c = [], []
     loaded_set: set = set()
-    for (ts, rid), part in pdf.sort_values(["ts", "request_id"]).groupby(["ts", "request_id"], sort=True):
-        matched = list(dict.fromkeys(c for c in part["cls"] if c is not None))
+    i, n = 0, len(rids)
+    while i < n:
+        j = i
+        while j < n and rids[j] == rids[i]:
+            j += 1
+        matched = list(dict.fromkeys(c for c in clss[i:j] if c is not None))
         inc = [c for c in matched if c not in loaded_set]
         if inc:
             ship = inc
-            loaded.extend(inc)
             loaded_set.update(inc)
         elif matched:
             ship = matched
-            loaded = list(matched)
             loaded_set = set(matched)
         else:
             ship = []
-        for c in ship:
-            out.append((rid, c))
-    return pd.DataFrame(out, columns=["request_id", "cls"])
+        out_r.extend([rids[i]] * len(ship))
+        out_c.extend(ship)
+        i = j
+    return pd.DataFrame({"request_id": pd.array(out_r, dtype="int64"), "cls": pd.array(out_c, dtype=object)})
 
 
 def _faithful_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPlan | None) -> DataFrame:
@@ -163,9 +175,18 @@ def _faithful_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPl
                .join(p.spec_class.select(*SPEC, *CLASS).withColumn("cls", cls), SPEC, "left")
                .select(*g, "ts", "request_id", "cls"))
     schema = "request_id bigint, cls string"
-    shipped = (req_cls.groupBy(*g)
-               .applyInPandas(lambda key, pdf: _fold_group(pdf).assign(**dict(zip(g, key)))[["request_id", "cls", *g]],
+    # the fold's input is small in bytes but heavy in Python work.  Left to
+    # itself the grouping reuses the change-detection shuffle, which adaptive
+    # execution coalesces into one task.  An explicit repartition on a bucket
+    # column ``_h`` (a function of the group keys, so grouping by (_h, group)
+    # keeps the groups whole) is kept as is and spreads groups over all cores.
+    nparts = int(changed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = req_cls.withColumn("_h", F.pmod(F.xxhash64(*g), F.lit(nparts)))
+    shipped = (bucketed.repartition(nparts, "_h").groupBy("_h", *g)
+               .applyInPandas(lambda key, pdf: _fold_group(pdf).assign(**dict(zip(g, key[1:])))[["request_id", "cls", *g]],
                               f"{schema}, " + ", ".join(f"{c} {t}" for c, t in _group_types(req_cls, g))))
+    # written once: the expansion reads it twice (class counts and rows)
+    shipped = materialize(shipped, "faithful-shipped")
     ann_k = p.ann.withColumn("cls", cls).select("ticker", "cls", "key")
     sizes = p.spec_class.withColumn("cls", cls).select("ticker", "cls", "n")
     req_ts = changed.select("request_id", "ts")
