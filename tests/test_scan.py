@@ -66,3 +66,20 @@ def test_assemble_blocks_equal_single_block(spark):
     one = responses.assemble(ev, block_seq=1 << 40)           # every response in one block
     for bs in (7, 64, 1000):                                  # stops land inside and at block edges
         _same(one, responses.assemble(ev, block_seq=bs))
+
+
+def test_expand_classes_salted_equals_plain_join(spark):
+    from quire.operators import filters
+    from quire.operators.filters import CLASS, SPEC
+    req = ingest.detect_change(fx.requests(spark, SF)).where("needs_update")
+    p = filters.plan_matches(req, fx.announcements(spark, SF))
+    rows = p.requests.join(p.spec_class.select(*SPEC, *CLASS), SPEC).select("request_id", *CLASS)
+    members = p.ann.select(*CLASS, "key")
+    plain = rows.join(members, CLASS)
+    salted = filters.expand_classes(rows, members, p.spec_class, target_rows=50)
+    # the small target really cuts classes into several buckets
+    per = rows.groupBy(*CLASS).count().join(p.spec_class.select(*CLASS, "n").dropDuplicates(CLASS), CLASS)
+    assert per.where(F.col("count") * F.col("n") > 100).count() > 0
+    _same(plain.select("request_id", "key", *CLASS), salted.select("request_id", "key", *CLASS))
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "CartesianProduct" not in plan
