@@ -217,12 +217,16 @@ def bounded_batches(df: DataFrame, by: list, order_col: str = "key", max_items:
     A group with more than ``split_rows`` rows is first spread over
     ``ceil(n / split_rows)`` hash parts, so no window task holds an unbounded
     group; ``part`` is 0 otherwise.  ``counts`` (by..., ``_n``) may be passed
-    when already known.
+    when already known, or ``df`` may already carry ``_n`` (then no join).
     """
-    if counts is None:
-        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if "_n" in df.columns:
+        with_n = df
+    else:
+        if counts is None:
+            counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        with_n = df.join(counts, list(by))
     nparts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(split_rows))).cast("bigint")
-    keyed = (df.join(counts, list(by))
+    keyed = (with_n
              .withColumn("part", F.when(F.col("_n") > split_rows,
                                          F.pmod(F.xxhash64(order_col), nparts)).otherwise(F.lit(0)).cast("bigint")))
     w = Window.partitionBy(*by, "part").orderBy(order_col)
