@@ -68,7 +68,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def ensure_parallel(df, min_partitions: int | None = None):
+def ensure_parallel(df, min_partitions: int | None = None, by=None):
     """Spread ``df`` when it arrives in fewer partitions than the cluster can run.
 
     A single large file (e.g. one parquet file of long texts) is scanned as one
@@ -77,12 +77,13 @@ def ensure_parallel(df, min_partitions: int | None = None):
     parallelism) the rows are round-robin repartitioned; on a real cluster with
     many input splits this is a no-op.  Call it on scans: on a plan that
     already holds a shuffle, adaptive execution would run that shuffle just to
-    count partitions.
+    count partitions.  ``by``: spread by these columns instead of round-robin,
+    so a later grouping that includes them needs no further shuffle.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        return df.repartition(want, *by) if by else df.repartition(want)
     return df
 
 
