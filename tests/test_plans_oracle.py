@@ -45,6 +45,34 @@ def test_partition_pruning(spark):
     assert "PartitionFilters" in s and "ym" in s
 
 
+def test_faithful_fold_keeps_its_partitions(spark):
+    # the fold is light in bytes and heavy in Python: its explicit bucket repartition must survive
+    # (otherwise adaptive execution coalesces the fold into one task)
+    import quire.session as S
+    from quire.operators import ingest
+    from quire.sources import fixtures as fx
+    seen = []
+    orig = S.materialize
+
+    def spy(df, name):
+        if name == "faithful-shipped":
+            seen.append(_plan(df))
+        return orig(df, name)
+
+    ingest.materialize = spy
+    try:
+        ingest.load_ledger(fx.requests(spark, SF), fx.announcements(spark, SF), mode="faithful")
+    finally:
+        ingest.materialize = orig
+    assert seen and "REPARTITION_BY_NUM" in seen[0] and "FlatMapGroupsInPandas" in seen[0]
+
+
+def test_chunking_single_exchange(spark):
+    # few-split document scans are spread by doc_id, so the per-chunk grouping reuses that partitioning
+    p = _plan(E.queries()["r1_chunks"](spark, SF))
+    assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 9)
