@@ -83,3 +83,11 @@ def test_expand_classes_salted_equals_plain_join(spark):
     _same(plain.select("request_id", "key", *CLASS), salted.select("request_id", "key", *CLASS))
     plan = salted._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "CartesianProduct" not in plan
+
+
+def test_citation_block_levels_equal(spark):
+    from quire.operators import citations
+    cites = citations.classify(fx.response_events(spark, SF))
+    one = citations.render_block(cites, block_seq=1 << 40)
+    for bs in (3, 50):
+        _same(one, citations.render_block(cites, block_seq=bs))
