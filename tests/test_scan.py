@@ -91,3 +91,10 @@ def test_citation_block_levels_equal(spark):
     one = citations.render_block(cites, block_seq=1 << 40)
     for bs in (3, 50):
         _same(one, citations.render_block(cites, block_seq=bs))
+
+
+def test_auto_takes_piece_path_above_threshold(spark):
+    df = _skewed_events(spark)
+    auto = ordered_scan(df, ["g"], ["o"], prev={"p": "v"}, running={"r": F.col("v")}, split="auto", hot_rows=10)
+    assert "BroadcastHashJoin" in auto._jdf.queryExecution().executedPlan().toString()
+    _same(auto, ordered_scan(df, ["g"], ["o"], prev={"p": "v"}, running={"r": F.col("v")}, split=False))
