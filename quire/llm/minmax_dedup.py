@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members.join(blocks, "label")
         .select("label", F.col("node").alias("class"), "id", "n_blocks",
                 F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block")), "members")
-    found = members.join(texts.where("id is not null"), "id")
+    # members grow with the corpus, so they are never broadcast, however few they are estimated to be
+    found = texts.where("id is not null").join(members.hint("merge"), "id")
     meetings = found.select(
         "label", "class", "block", "text",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1),
