@@ -179,7 +179,7 @@ class Encoder:
     the library whole.
     """
 
-    def __init__(self, model: str, memo_limit: int = 600_000):
+    def __init__(self, model: str, memo_limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
