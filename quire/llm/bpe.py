@@ -95,7 +95,7 @@ def parse_ranks(blob: bytes) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder for one set of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = GPT_PATTERN, memo_limit: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = GPT_PATTERN, memo_limit: int = 400_000):
         self.ranks = ranks
         self.splitter = Splitter(pattern)
         self.memo_limit = memo_limit

@@ -69,7 +69,7 @@ class WordCodes:
     over any amount of text keeps bounded memory (hashes do not depend on it).
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self._clear()
 

@@ -226,7 +226,7 @@ class Matcher:
     def _codes(self, raw: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Tokens, the places of those that are words, and their term numbers (-1 for others)."""
         memo, tokens = self.memo, raw.lower().split()
-        if len(memo) > 500_000:
+        if len(memo) > 250_000:
             memo.clear()
         for t in set(tokens).difference(memo):
             memo[t] = self._term(t)
