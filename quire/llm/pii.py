@@ -119,10 +119,10 @@ _FINDERS = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban":
 
 
 def confidence(text: str, kind: str, start: int, end: int) -> float:
-    """The kind's score, moved a step for supporting and for opposing words nearby."""
-    near = {w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT):start])}
-    near |= {w.lower() for w in _WORD.findall(text[end:end + CONTEXT])}
-    score = BASE_SCORE[kind] + STEP * bool(near & SUPPORT[kind]) - STEP * bool(near & AGAINST)
+    """The kind's score, moved a step up for a supporting word nearby and down for an opposing one before."""
+    before = {w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT):start])}
+    after = {w.lower() for w in _WORD.findall(text[end:end + CONTEXT])}
+    score = BASE_SCORE[kind] + STEP * bool((before | after) & SUPPORT[kind]) - STEP * bool(before & AGAINST)
     return round(min(1.0, max(0.0, score)), 2)
 
 
