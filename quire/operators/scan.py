@@ -3,8 +3,8 @@
 A window ``partitionBy(group).orderBy(order)`` sorts each whole group in one
 task.  When one group (a session, a conversation) holds a large share of all
 rows, that task does a large share of all the work.  :func:`ordered_scan`
-gives the same columns as ``lag`` / running ``sum`` windows but, for skewed
-inputs, splits every group into *pieces*:
+gives the same columns as ``lag`` / running ``sum`` windows but splits every
+group into *pieces*, at every input size:
 
 1. the rows are range-partitioned on the whole sort key ``(group, order)``;
    the range bounds come from a sample, so a hot group spans several
@@ -20,10 +20,8 @@ inputs, splits every group into *pieces*:
    there is at most one such piece per range partition, so the correction
    table is bounded by the partition count and is broadcast.
 
-``split="auto"`` measures the largest group first (one aggregate, a scalar to
-the driver) and takes the piece path only when it exceeds ``hot_rows``; the
-plain window is cheaper for inputs without hot groups.  Both paths give equal
-results (tested).
+``split=False`` is the plain window, for callers that know their groups to be
+small; nothing measures the input to choose between the two.
 """
 
 from __future__ import annotations
@@ -33,15 +31,6 @@ from pyspark.sql import functions as F
 
 from quire.session import materialize
 
-HOT_ROWS = 2_000_000
-
-
-def max_group_rows(df: DataFrame, group: list) -> int:
-    """Rows in the largest group (0 for an empty input)."""
-    row = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0] or 0)
-
-
 def _plain(df: DataFrame, group: list, order: list, prev: dict, running: dict) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
     out = df
@@ -54,8 +43,7 @@ def _plain(df: DataFrame, group: list, order: list, prev: dict, running: dict) -
 
 
 def ordered_scan(df: DataFrame, group: list, order: list, prev: dict | None = None,
-                 running: dict | None = None, split="auto", hot_rows: int = HOT_ROWS,
-                 pieces: int | None = None) -> DataFrame:
+                 running: dict | None = None, split: bool = True, pieces: int | None = None) -> DataFrame:
     """Add ``prev`` and ``running`` columns to ``df``.
 
     ``prev``: ``{out_name: column_name}`` -> value of the column in the previous
@@ -68,8 +56,6 @@ def ordered_scan(df: DataFrame, group: list, order: list, prev: dict | None = No
     floating-point sums may differ in the last bits; integral sums are exact.
     """
     prev, running = dict(prev or {}), dict(running or {})
-    if split == "auto":
-        split = max_group_rows(df, group) > hot_rows
     if not split:
         return _plain(df, group, order, prev, running)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.operators import history, ingest
-from quire.operators.scan import max_group_rows, ordered_scan
+from quire.operators.scan import ordered_scan
 from quire.sources import fixtures as fx
 from quire.sources.tables import read_table
 
@@ -28,7 +28,7 @@ def _skewed_events(spark):
 
 def test_scan_pieces_equal_plain(spark):
     df = _skewed_events(spark)
-    assert max_group_rows(df, ["g"]) >= df.count() // 3
+    assert max(r["count"] for r in df.groupBy("g").count().collect()) >= df.count() // 3
     for order in (["o"], [F.col("o").desc()]):
         kw = dict(prev={"p": "v"}, running={"r": F.col("v"), "c": F.lit(1)})
         plain = ordered_scan(df, ["g"], order, split=False, **kw)
@@ -43,10 +43,11 @@ def test_scan_hot_group_spans_pieces(spark):
     assert cut.where(F.col("g") == 0).select("_piece").distinct().count() > 1
 
 
-def test_auto_takes_plain_path_below_threshold(spark):
+def test_pieces_are_the_path_at_every_size(spark):
     df = _skewed_events(spark)
-    out = ordered_scan(df, ["g"], ["o"], prev={"p": "v"}, split="auto")
-    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    for part in (df, df.limit(3)):
+        out = ordered_scan(part, ["g"], ["o"], prev={"p": "v"})
+        assert "_piece" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_history_and_change_split_equal(spark):
@@ -91,10 +92,3 @@ def test_citation_block_levels_equal(spark):
     one = citations.render_block(cites, block_seq=1 << 40)
     for bs in (3, 50):
         _same(one, citations.render_block(cites, block_seq=bs))
-
-
-def test_auto_takes_piece_path_above_threshold(spark):
-    df = _skewed_events(spark)
-    auto = ordered_scan(df, ["g"], ["o"], prev={"p": "v"}, running={"r": F.col("v")}, split="auto", hot_rows=10)
-    assert "BroadcastHashJoin" in auto._jdf.queryExecution().executedPlan().toString()
-    _same(auto, ordered_scan(df, ["g"], ["o"], prev={"p": "v"}, running={"r": F.col("v")}, split=False))
