@@ -72,18 +72,17 @@ def select_announcements(ann: DataFrame, spec: FilterSpec, project: bool = True)
     return out.select(*ANN_COLUMNS) if project else out
 
 
-def select_keys(matched: DataFrame, by=("request_id",), as_list: bool = False, max_keys: int = 1000,
-                split_rows: int = 1_000_000) -> DataFrame:
+def select_keys(matched: DataFrame, by=("request_id",), as_list: bool = False, max_keys: int = 1000) -> DataFrame:
     """PRJ-2 / AGG-6: the key column (long form, primary), or sorted key lists per group.
 
-    Lists are bounded: each holds at most ``max_keys`` keys (``part``,
-    ``batch_no`` number them), so a hot group never becomes one huge array.
+    Lists are bounded: each holds at most ``max_keys`` keys (``batch_no``
+    numbers them), so a hot group never becomes one huge array.
     """
     if not as_list:
         return matched.select(*by, "key")
     from quire.operators.ingest import bounded_batches
-    b = bounded_batches(matched.select(*by, "key"), list(by), "key", max_keys, split_rows)
-    return b.groupBy(*by, "part", "batch_no").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    b = bounded_batches(matched.select(*by, "key"), list(by), "key", max_keys)
+    return b.groupBy(*by, "batch_no").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
 def normalise_window(requests: DataFrame, as_of: str, default_days: int = 180,

@@ -9,35 +9,39 @@ SNK-2  build_manifests   bounded JSON manifests of keys per shipping request
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.hashing import query_hash
 from quire.functions.text import store_name
-from quire.operators.filters import CLASS, SPEC, MatchPlan, expand_classes, plan_matches, with_spec
+from quire.operators.filters import SPEC, MatchPlan, expand_classes, plan_matches, with_spec
 from quire.operators.scan import ordered_scan
 from quire.session import materialize
 
 INITIAL, CHANGED, SAME, NO_TICKER = "Initial setup", "Query changed", "No changes", "No ticker selected"
 _ORDER = ["ts", "request_id"]
+KEYS = ["ticker", "kg"]
 
 
-def detect_change(requests: DataFrame, split="auto") -> DataFrame:
+def detect_change(requests: DataFrame, split: bool = True) -> DataFrame:
     """WIN-4: add ``query_hash``, ``reason`` and ``needs_update``.
 
     The previous fingerprint is the one of the previous request of the same
     (session, ticker), ordered by (ts, request_id); A -> B -> A is two changes.
-    Scale: an ordered scan per (session, ticker); a hot group is split into
-    range pieces (:func:`quire.operators.scan.ordered_scan`).
+    A null or empty ticker has no fingerprint and never needs an update.
+    Scale: an ordered scan per (session, ticker), split into range pieces (:func:`quire.operators.scan.ordered_scan`).
     """
     h = query_hash(F.col("ticker"), F.col("date_from"), F.col("date_to"), F.col("types"),
                    F.col("price_sensitive"))
-    out = requests.withColumn("query_hash", F.when(F.col("ticker").isNotNull(), h))
+    has_ticker = F.coalesce(F.col("ticker"), F.lit("")) != ""       # an empty ticker is no ticker
+    out = requests.withColumn("query_hash", F.when(has_ticker, h))
     out = ordered_scan(out, ["session_id", "ticker"], _ORDER, prev={"_prev_hash": "query_hash"}, split=split)
     prev = F.col("_prev_hash")
-    reason = (F.when(F.col("ticker").isNull(), F.lit(NO_TICKER))
+    reason = (F.when(~has_ticker, F.lit(NO_TICKER))
               .when(prev.isNull(), F.lit(INITIAL))
               .when(F.col("query_hash") != prev, F.lit(CHANGED))
               .otherwise(F.lit(SAME)))
@@ -68,20 +72,47 @@ def _changed(requests: DataFrame) -> DataFrame:
     return src.where(F.col("needs_update"))
 
 
-def class_first_loads(requests: DataFrame, ann: DataFrame, scope: str = "session",
-                      plan: MatchPlan | None = None) -> DataFrame:
-    """Grow-mode ledger at class level: first (ts, request_id) per (group, class).
+@dataclass
+class KeyPlan:
+    """What a request ships is keys, and a key may stand in several announcement rows.
+
+    Keys whose rows fall into the same classes form a *key group*; a spec
+    matches all keys of a group or none.  ``keys``: (ticker, kg, key), one row
+    per key; ``specs``: (spec columns, kg, n), the groups a spec matches and
+    their number of keys.
+    """
+
+    keys: DataFrame
+    specs: DataFrame
+
+
+def plan_keys(p: MatchPlan) -> KeyPlan:
+    """Key groups of a match plan; the class set of a key is bounded by its own rows."""
+    cls = F.concat_ws("|", F.col("seg").cast("string"), F.col("aps").cast("string"), F.col("amask").cast("string"))
+    sets = (p.ann.select("ticker", "key", cls.alias("cls")).groupBy("ticker", "key")
+            .agg(F.sort_array(F.collect_set("cls")).alias("classes")))
+    keys = materialize(sets.withColumn("kg", F.md5(F.array_join("classes", ","))), "keys")
+    groups = keys.groupBy("ticker", "kg").agg(F.count(F.lit(1)).alias("n"), F.first("classes").alias("classes"))
+    member = groups.select("ticker", "kg", "n", F.explode("classes").alias("cls"))
+    specs = (p.spec_class.withColumn("cls", cls).select(*SPEC, "cls").join(member, ["ticker", "cls"])
+             .select(*SPEC, "kg", "n").distinct())
+    return KeyPlan(keys.select("ticker", "kg", "key"), materialize(specs, "spec-keys"))
+
+
+def first_loads(requests: DataFrame, ann: DataFrame, scope: str = "session", plan: MatchPlan | None = None,
+                keys: KeyPlan | None = None) -> DataFrame:
+    """Grow-mode ledger per key group: first (ts, request_id) per (group, key group).
 
     Requests are first reduced to one row per (group, spec) (the earliest), so
-    the spec->class join touches groups x specs x classes, never documents.
+    the join touches groups x specs x key groups, never documents.
     """
     changed = with_spec(_changed(requests))
-    p = plan or plan_matches(changed, ann)
+    k = keys or plan_keys(plan or plan_matches(changed, ann))
     g = _group_cols(scope)
     first = (changed.groupBy(*g, *[c for c in SPEC if c not in g])
              .agg(F.min(F.struct(*_ORDER)).alias("first")))
-    return (first.join(p.spec_class.select(*SPEC, *CLASS, "n"), SPEC)
-            .groupBy(*g, *[c for c in CLASS if c not in g])
+    return (first.join(k.specs, SPEC)
+            .groupBy(*g, *[c for c in KEYS if c not in g])
             .agg(F.min("first").alias("first"), F.first("n").alias("n")))
 
 
@@ -92,7 +123,8 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
     ``grow`` (default, relational): a key is shipped once, by the first changed
     request of its group whose filter matches it.  ``faithful``: the reference's
     order-dependent fold (an empty increment re-ships the whole matched set and
-    *replaces* the loaded set), run per group in pandas over class ids only.
+    *replaces* the loaded set), run per group in pandas over key groups only.
+    A key that stands in several announcement rows is one key.
 
     ``ack_col`` (grow mode, fixes Q5): a boolean column saying whether the
     request's upload was acknowledged.  Unacknowledged shipments do not count
@@ -106,10 +138,9 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
         return _acked_ledger(requests, ann, g, plan, ack_col)
     if mode == "grow":
         changed = _changed(requests)
-        p = plan or plan_matches(changed, ann)
-        cf = class_first_loads(changed, ann, scope, p)
-        keys = p.ann.select(*CLASS, "key")
-        return (expand_classes(cf, keys, p.spec_class)
+        k = plan_keys(plan or plan_matches(changed, ann))
+        cf = first_loads(changed, ann, scope, keys=k)
+        return (expand_classes(cf, k.keys, k.specs, on=KEYS)
                 .select(*g, "key", F.col("first.request_id").alias("request_id"), F.col("first.ts").alias("ts")))
     if mode == "faithful":
         return _faithful_ledger(requests, ann, g, plan)
@@ -118,23 +149,22 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
 
 def _acked_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPlan | None, ack_col: str) -> DataFrame:
     changed = with_spec(_changed(requests))
-    p = plan or plan_matches(changed, ann)
+    k = plan_keys(plan or plan_matches(changed, ann))
     rest_spec = [c for c in SPEC if c not in g]
-    rest_cls = [c for c in CLASS if c not in g]
+    rest = [c for c in KEYS if c not in g]
     acked = (changed.where(F.coalesce(F.col(ack_col), F.lit(False)))
              .groupBy(*g, *rest_spec).agg(F.min(F.struct(*_ORDER)).alias("fa")))
-    class_acked = (acked.join(p.spec_class.select(*SPEC, *CLASS), SPEC)
-                   .groupBy(*g, *rest_cls).agg(F.min("fa").alias("fa")))
-    # requests x matched classes: bounded by requests x classes, never by documents
-    req_cls = changed.select(*g, *rest_spec, *_ORDER).join(p.spec_class.select(*SPEC, *CLASS), SPEC)
-    attempts = (req_cls.join(class_acked, g + rest_cls, "left")
+    first_acked = acked.join(k.specs, SPEC).groupBy(*g, *rest).agg(F.min("fa").alias("fa"))
+    # requests x matched key groups: bounded by requests x groups, never by documents
+    matched = changed.select(*g, *rest_spec, *_ORDER).join(k.specs, SPEC)
+    attempts = (matched.join(first_acked, g + rest, "left")
                 .where(F.col("fa").isNull() | (F.struct(*_ORDER) <= F.col("fa"))))
-    return (expand_classes(attempts, p.ann.select(*CLASS, "key"), p.spec_class)
+    return (expand_classes(attempts.drop("n"), k.keys, k.specs, on=KEYS)
             .select(*g, "key", "request_id", "ts"))
 
 
 def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential ledger fold for one group; rows are (request, matched class).
+    """Sequential ledger fold for one group; rows are (request, matched key group).
 
     One stable sort by (ts, request_id), then a single linear pass: rows of
     one request are adjacent, so each request's matched classes are read
@@ -168,12 +198,11 @@ def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _faithful_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPlan | None) -> DataFrame:
     changed = with_spec(_changed(requests))
-    p = plan or plan_matches(changed, ann)
-    cls = F.concat_ws("|", F.col("seg").cast("string"), F.col("aps").cast("string"), F.col("amask").cast("string"))
+    k = plan_keys(plan or plan_matches(changed, ann))
     # every changed request appears (cls NULL when it matches nothing) so empty steps are seen
     req_cls = (changed.select(*g, *_ORDER, *[c for c in SPEC if c not in g])
-               .join(p.spec_class.select(*SPEC, *CLASS).withColumn("cls", cls), SPEC, "left")
-               .select(*g, "ts", "request_id", "cls"))
+               .join(k.specs, SPEC, "left")
+               .select(*g, "ts", "request_id", F.col("kg").alias("cls")))
     schema = "request_id bigint, cls string"
     # the fold's input is small in bytes but heavy in Python work.  Left to
     # itself the grouping reuses the change-detection shuffle, which adaptive
@@ -187,10 +216,8 @@ def _faithful_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPl
                               f"{schema}, " + ", ".join(f"{c} {t}" for c, t in _group_types(req_cls, g))))
     # written once: the expansion reads it twice (class counts and rows)
     shipped = materialize(shipped, "faithful-shipped")
-    ann_k = p.ann.withColumn("cls", cls).select("ticker", "cls", "key")
-    sizes = p.spec_class.withColumn("cls", cls).select("ticker", "cls", "n")
     req_ts = changed.select("request_id", "ts")
-    return (expand_classes(shipped, ann_k, sizes, on=["ticker", "cls"]).join(req_ts, "request_id")
+    return (expand_classes(shipped.withColumnRenamed("cls", "kg"), k.keys, k.specs, on=KEYS).join(req_ts, "request_id")
             .select(*g, "key", "request_id", "ts"))
 
 
@@ -203,56 +230,39 @@ def doc_counts(requests: DataFrame, ann: DataFrame, scope: str = "session",
                plan: MatchPlan | None = None) -> DataFrame:
     """AGG-2: new documents per changed request (grow mode); 0 shows via a left join."""
     changed = _changed(requests)
-    cf = class_first_loads(changed, ann, scope, plan)
+    cf = first_loads(changed, ann, scope, plan)
     per_req = cf.groupBy(F.col("first.request_id").alias("request_id")).agg(F.sum("n").alias("n_new"))
     return (changed.select("request_id").join(per_req, "request_id", "left")
             .select("request_id", F.coalesce(F.col("n_new"), F.lit(0)).cast("bigint").alias("n_new")))
 
 
 def bounded_batches(df: DataFrame, by: list, order_col: str = "key", max_items: int = 1000,
-                    split_rows: int = 1_000_000, counts: DataFrame | None = None) -> DataFrame:
+                    ) -> DataFrame:
     """Number the rows of each ``by`` group in ``order_col`` order and cut them into
-    batches of at most ``max_items``: adds ``part`` and ``batch_no``.
+    batches of at most ``max_items``: adds ``batch_no``.
 
-    A group with more than ``split_rows`` rows is first spread over
-    ``ceil(n / split_rows)`` hash parts, so no window task holds an unbounded
-    group; ``part`` is 0 otherwise.  ``counts`` (by..., ``_n``) may be passed
-    when already known, or ``df`` may already carry ``_n`` (then no join).
+    Numbers come from an ordered scan over range pieces (local numbers plus
+    the piece's offset), the same way at every size, so no task holds a group.
     """
-    if "_n" in df.columns:
-        with_n = df
-    else:
-        if counts is None:
-            counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        with_n = df.join(counts, list(by))
-    nparts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(split_rows))).cast("bigint")
-    keyed = (with_n
-             .withColumn("part", F.when(F.col("_n") > split_rows,
-                                         F.pmod(F.xxhash64(order_col), nparts)).otherwise(F.lit(0)).cast("bigint")))
-    w = Window.partitionBy(*by, "part").orderBy(order_col)
-    return (keyed.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / F.lit(max_items)).cast("bigint"))
-            .drop("_n"))
-
-
-def build_manifests(ledger: DataFrame, bucket: str = "documents", max_keys: int = 1000,
-                    split_rows: int = 1_000_000, counts: DataFrame | None = None) -> DataFrame:
-    """SNK-2: JSON ingest manifests, one per (request, part, batch), at most ``max_keys`` keys.
+    numbered = ordered_scan(df.withColumn("_one", F.lit(1)), list(by), [order_col], running={"_no": F.col("_one")})
+    return (numbered.withColumn("batch_no", F.floor((F.col("_no") - 1) / F.lit(max_items)).cast("bigint"))
+            .drop("_one", "_no"))
+
+
+def build_manifests(ledger: DataFrame, bucket: str = "documents", max_keys: int = 1000) -> DataFrame:
+    """SNK-2: JSON ingest manifests, one per (request, batch), at most ``max_keys`` keys.
 
     Keys of a request are numbered in key order and cut into batches of
-    ``max_keys`` (:func:`bounded_batches`).  ``counts`` (request_id, n_new) may
-    be passed in when known (e.g. from the class-level ledger) so the ledger is
-    not aggregated twice.  The ledger is shuffled once, by request_id; the
-    count join, the window and the grouping reuse that partitioning.
+    ``max_keys`` (:func:`bounded_batches`), so a request of n keys has
+    ``ceil(n / max_keys)`` manifests.
     """
-    if counts is not None:
-        counts = counts.select("request_id", F.col("n_new").alias("_n"))
-    batched = bounded_batches(ledger, ["request_id"], "key", max_keys, split_rows, counts)
+    batched = bounded_batches(ledger, ["request_id"], "key", max_keys)
     vs_id = store_name(F.col("ticker"))
-    grouped = (batched.groupBy("session_id", "ticker", "request_id", "part", "batch_no")
+    grouped = (batched.groupBy("session_id", "ticker", "request_id", "batch_no")
                .agg(F.sort_array(F.collect_list("key")).alias("keys")))
     payload = F.struct(F.array(F.struct(F.struct(
         F.struct(F.lit(bucket).alias("name")).alias("bucket"),
         F.struct(F.col("keys").alias("keys"), vs_id.alias("vs_id")).alias("object"),
     ).alias("s3"))).alias("Records"))
-    return grouped.select("session_id", "ticker", "request_id", "part", "batch_no",
+    return grouped.select("session_id", "ticker", "request_id", "batch_no",
                           F.size("keys").cast("bigint").alias("n_keys"), F.to_json(payload).alias("payload"))

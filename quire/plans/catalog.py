@@ -200,7 +200,7 @@ def top4_lsh_topk(spark, sf):
 
 def ord2_rank_evidence(spark, sf):
     a = fx.announcements(spark, sf).withColumn("priority", F.when(F.col("is_price_sensitive"), 0).otherwise(1))
-    return search.rank_evidence(a, ["ticker"], 10).select("ticker", "rank", "key")
+    return search.rank_evidence(a, ["ticker"]).select("ticker", "rank", "key")
 
 
 def agg9_result_cards(spark, sf):
@@ -300,7 +300,7 @@ def agg6_key_lists(spark, sf):
             & (F.col("is_price_sensitive") == F.lit(True)) & tax.type_predicate(F.col("announcement_types"), spec.types))
     m = a.where(cond)
     return filters.select_keys(m, by=("ticker",), as_list=True, max_keys=MAX_KEYS).select(
-        "ticker", "part", "batch_no", F.to_json("keys").alias("keys"))
+        "ticker", "batch_no", F.to_json("keys").alias("keys"))
 
 
 def jn3_incremental_keys(spark, sf):

@@ -96,7 +96,7 @@ SQL = {
     "win7_ledger_grow": _q("SELECT session_id, ticker, key, request_id FROM ledger",
                            "announcements", "requests", extra=MARKED + "," + LEDGER),
     "snk2_manifests": _q(f"""
-SELECT session_id, ticker, request_id, cast(0 AS bigint) AS part, batch_no, cast(count(*) AS bigint) AS n_keys,
+SELECT session_id, ticker, request_id, batch_no, cast(count(*) AS bigint) AS n_keys,
   to_json({{'Records': [{{'s3': {{'bucket': {{'name': 'documents'}}, 'object': {{'keys': list(key ORDER BY key), 'vs_id': ticker || '_vs'}}}}}}]}}) AS payload
 FROM (SELECT *, cast((row_number() OVER (PARTITION BY request_id ORDER BY key) - 1) // {MAX_KEYS} AS bigint) AS batch_no FROM ledger)
 GROUP BY session_id, ticker, request_id, batch_no""", "announcements", "requests", extra=MARKED + "," + LEDGER),
@@ -307,9 +307,8 @@ s AS (
 SELECT query_id, vec_id, score, rank FROM (
   SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS bigint) AS rank FROM s) WHERE rank <= 10""",
     "ord2_rank_evidence": _q("""
-SELECT ticker, rank, key FROM (
-  SELECT ticker, key, cast(row_number() OVER (PARTITION BY ticker ORDER BY CASE WHEN is_price_sensitive THEN 0 ELSE 1 END,
-    date DESC, key) AS bigint) AS rank FROM announcements) WHERE rank <= 10""", "announcements"),
+SELECT ticker, key, cast(row_number() OVER (PARTITION BY ticker ORDER BY CASE WHEN is_price_sensitive THEN 0 ELSE 1 END,
+    date DESC, key) AS bigint) AS rank FROM announcements""", "announcements"),
     "agg9_result_cards": _q(_cards("(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank "
                                    "FROM hits) WHERE rank <= 10", "rank"), "hits"),
     "jn5_attach_source": _q("SELECT h.query_id, h.doc_id, h.filename, h.score, d.lang, d.source, d.n_chars "
@@ -366,7 +365,7 @@ SELECT request_id, CASE WHEN ticker IS NULL OR ticker = '' OR mode IS NULL OR mo
 FROM (SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 'Generate' WHEN event_type = 'click' THEN 'Search'
   WHEN event_type = 'purchase' THEN 'Summarise' END AS mode FROM requests)""", "requests"),
     "agg6_key_lists": _q(f"""
-SELECT ticker, cast(0 AS bigint) AS part, batch_no, to_json(list(key ORDER BY key)) AS keys FROM (
+SELECT ticker, batch_no, to_json(list(key ORDER BY key)) AS keys FROM (
   SELECT ticker, key, cast((row_number() OVER (PARTITION BY ticker ORDER BY key) - 1) // {MAX_KEYS} AS bigint) AS batch_no
   FROM announcements WHERE {_SLICE_NO_TICKER})
 GROUP BY ticker, batch_no""", "announcements"),

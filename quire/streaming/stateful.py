@@ -105,7 +105,7 @@ def _change_fn(key, pdfs, state):
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "request_id"])
     reasons = []
     for h in rows["query_hash"]:
-        if key[1] is None:
+        if not key[1]:                     # null or empty
             reasons.append(NO_TICKER)
             continue
         reasons.append(INITIAL if prev is None else (CHANGED if h != prev else SAME))

@@ -102,18 +102,36 @@ def test_incremental_keys_disjoint(spark):
     assert out.join(loaded, ["session_id", "ticker", "key"]).count() == 0
 
 
-def test_manifests_split_path(spark):
-    keys = [(1, "T", f"k{i:04d}", 7, None) for i in range(250)]
-    led = spark.createDataFrame(keys, "session_id long, ticker string, key string, request_id long, ts timestamp")
-    m = ingest.build_manifests(led, max_keys=30, split_rows=100).collect()
-    assert all(r.n_keys <= 30 for r in m)
-    assert len({r.part for r in m}) == 3                        # ceil(250 / 100) hash parts
-    assert sum(r.n_keys for r in m) == 250
+def test_manifests_number_keys_in_order(spark):
+    """One numbering at every size: ceil(n / max_keys) manifests, key-ordered, also for a large group."""
+    rows = spark.range(25_000).selectExpr("cast(1 as long) session_id", "'T' ticker",
+                                          "concat('k', lpad(cast(id as string), 6, '0')) key", "cast(7 as long) request_id")
+    m = sorted(ingest.build_manifests(rows, max_keys=1000).collect(), key=lambda r: r.batch_no)
+    assert [r.batch_no for r in m] == list(range(25)) and all(r.n_keys == 1000 for r in m)
     import json
-    got = set()
-    for r in m:
-        got |= set(json.loads(r.payload)["Records"][0]["s3"]["object"]["keys"])
-    assert got == {k[2] for k in keys}
+    keys = [k for r in m for k in json.loads(r.payload)["Records"][0]["s3"]["object"]["keys"]]
+    assert keys == [f"k{i:06d}" for i in range(25_000)]
+
+
+def test_a_key_in_several_rows_is_one_key(spark):
+    """k1 stands in two rows of different date: it is shipped once, and counted once."""
+    d = dt.date
+    ann = _ann(spark)
+    again = ann.where("key = '1'").withColumn("date", F.lit(d(2020, 2, 10)))
+    ann = ann.unionByName(again)
+    req = _req(spark, [(d(2020, 1, 1), d(2020, 1, 15)), (d(2020, 1, 1), d(2020, 12, 31))])
+    for mode in ("grow", "faithful"):
+        got = sorted((r.key, r.request_id) for r in ingest.load_ledger(req, ann, mode=mode).collect())
+        assert len(got) == len({k for k, _ in got}) and ("1", 1) in got
+    counts = {r.request_id: r.n_new for r in ingest.doc_counts(req, ann).collect()}
+    assert sum(counts.values()) == ann.select("key").distinct().count()
+
+
+def test_empty_ticker_is_no_ticker(spark):
+    d = dt.date
+    req = _req(spark, [(d(2020, 1, 1), d(2020, 1, 15))]).withColumn("ticker", F.lit(""))
+    row = ingest.detect_change(req).first()
+    assert row.reason == ingest.NO_TICKER and not row.needs_update and row.query_hash is None
 
 
 def test_ledger_ack_golden(spark):
