@@ -377,11 +377,18 @@ def src2_announcements_layout(spark, sf):
     return filters.select_announcements(ann, SLICE)
 
 
+def src2_announcements_csv(spark, sf):
+    """The whole announcement table through its CSV layout, read back by header names."""
+    ann = fx.announcements(spark, sf)
+    path = readers.write_announcements_csv(ann, scratch_path(spark, "announcements-csv"))
+    return readers.read_announcements(spark, path, "csv")
+
+
 def src3_documents_by_key(spark, sf):
-    d = read_table(spark, sf, "documents", ["doc_id", "source", "n_chars"])
+    d = read_table(spark, sf, "documents", ["doc_id", "source", "n_chars", "text"])
     docs = d.withColumn("key", F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("source"), F.lit(".md")))
     wanted = fx.hits(spark, sf).where(F.col("score") >= 0.9).select(F.col("filename").alias("key"))
-    return readers.read_documents(docs, wanted).select("doc_id", "key", "n_chars")
+    return readers.read_documents(docs, wanted).select("doc_id", "key", "n_chars", "text")
 
 
 def src4_response_events(spark, sf):
@@ -409,6 +416,7 @@ def r3_prompt_records(spark, sf):
 QUERIES.update({
     "src1_companies_csv": src1_companies_csv,
     "src2_announcements_layout": src2_announcements_layout,
+    "src2_announcements_csv": src2_announcements_csv,
     "src3_documents_by_key": src3_documents_by_key,
     "src4_response_events": src4_response_events,
     "snk1_conversation_log": snk1_conversation_log,

@@ -409,8 +409,10 @@ _TCODE = "concat('T', lpad(cast((conv_id + cast(floor(turn / 3) AS bigint)) % 25
 SQL.update({
     "src1_companies_csv": _q("SELECT company_name, ticker, load_seq FROM companies", "companies"),
     "src2_announcements_layout": SQL["flt_select_announcements"],
+    "src2_announcements_csv": _q("SELECT ticker, url, key, announcement_types, date, is_price_sensitive "
+                                 "FROM announcements", "announcements"),
     "src3_documents_by_key": _q("""
-SELECT doc_id, cast(doc_id AS varchar) || '_' || source || '.md' AS key, n_chars FROM documents
+SELECT doc_id, cast(doc_id AS varchar) || '_' || source || '.md' AS key, n_chars, text FROM documents
 WHERE cast(doc_id AS varchar) || '_' || source || '.md' IN (SELECT filename FROM hits WHERE score >= 0.9)""", "hits"),
     "src4_response_events": _q("SELECT * FROM response_events", "response_events"),
     "snk1_conversation_log": "WITH " + QA.strip() + f"""

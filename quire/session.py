@@ -48,13 +48,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder; where it is unset, create one in local mode and fail on a cluster."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get(_CKPT_KEY, None) or spark.conf.get(_CKPT_KEY, None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{_CKPT_KEY} must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
         spark.conf.set(_CKPT_KEY, configured)
     sc.setCheckpointDir(configured)

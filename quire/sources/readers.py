@@ -1,9 +1,9 @@
 """Readers with explicit schemas (SRC-1 .. SRC-4).
 
 Inference is only a fallback: the company and announcement files are read with
-a StructType so ``date`` is a DATE and the price flag a BOOLEAN on every run.
+the types of a StructType so ``date`` is a DATE and the price flag a BOOLEAN on every run.
 The source files use display headers (``Company Name``, ``announcementTypes``,
-...); columns are read by position and renamed to snake_case.
+...); columns are selected by those names and renamed to snake_case.
 """
 
 from __future__ import annotations
@@ -42,9 +42,25 @@ RESPONSE_EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, header: list) -> DataFrame:
+    """Columns by the name in the file's header (display or field name), in any order, then cast.
+
+    A file without ``load_seq`` gets one in file order; any other missing column is an error.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    out = []
+    for field, shown in zip(schema.fields, header, strict=True):
+        name = next((n for n in (shown, field.name) if n in raw.columns), None)
+        if name is None and field.name != "load_seq":
+            raise ValueError(f"{path} has no column {shown!r}")
+        value = F.monotonically_increasing_id() if name is None else F.col(f"`{name}`")
+        out.append(value.cast(field.dataType).alias(field.name))
+    return raw.select(*out)
+
+
+def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType, header: list | None = None) -> DataFrame:
     if fmt == "csv":
-        return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+        return _read_csv(spark, path, schema, header or schema.fieldNames())
     if fmt == "parquet":
         return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     if fmt == "json":
@@ -54,7 +70,7 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
 
 def read_companies(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """SRC-1: company reference file -> (company_name, ticker, load_seq)."""
-    return _read(spark, path, fmt, COMPANIES_SCHEMA)
+    return _read(spark, path, fmt, COMPANIES_SCHEMA, COMPANIES_HEADER)
 
 
 def write_companies_csv(companies: DataFrame, path: str) -> str:
@@ -70,7 +86,14 @@ def read_announcements(spark: SparkSession, path: str, fmt: str = "parquet") ->
     ticker/date predicates are pushed into the row-group scan."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return _read(spark, path, fmt, ANNOUNCEMENTS_SCHEMA)
+    return _read(spark, path, fmt, ANNOUNCEMENTS_SCHEMA, ANNOUNCEMENTS_HEADER)
+
+
+def write_announcements_csv(ann: DataFrame, path: str) -> str:
+    """Announcements in their display layout, a header in each part file."""
+    (ann.select(*[F.col(c).alias(h) for c, h in zip(ANNOUNCEMENTS_SCHEMA.fieldNames(), ANNOUNCEMENTS_HEADER)])
+     .write.mode("overwrite").option("header", True).csv(path))
+    return path
 
 
 def write_announcements(ann: DataFrame, path: str) -> str:
