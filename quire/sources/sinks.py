@@ -42,7 +42,16 @@ def flatten_records(records: DataFrame) -> DataFrame:
 
 def append_conversation_log(records: DataFrame, path: str, fmt: str = "parquet") -> str:
     """SNK-1: append flattened records; parquet partitioned by ``log_date``, or CSV with a header per part file."""
-    flat = flatten_records(records).withColumn("log_date", F.substring("message_timestamp", 1, 10))
+    write_log(with_log_date(flatten_records(records)), path, fmt)
+    return path
+
+
+def with_log_date(flat: DataFrame) -> DataFrame:
+    return flat.withColumn("log_date", F.substring("message_timestamp", 1, 10))
+
+
+def write_log(flat: DataFrame, path: str, fmt: str) -> None:
+    """Append flattened records with their ``log_date``."""
     w = flat.write.mode("append").partitionBy("log_date")
     if fmt == "parquet":
         w.parquet(path)
@@ -50,7 +59,6 @@ def append_conversation_log(records: DataFrame, path: str, fmt: str = "parquet")
         w.option("header", True).csv(path)
     else:
         raise ValueError(f"unsupported format {fmt}")
-    return path
 
 
 def read_conversation_log(spark, path: str, fmt: str = "parquet") -> DataFrame:

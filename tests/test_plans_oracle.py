@@ -67,10 +67,11 @@ def test_faithful_fold_keeps_its_partitions(spark):
     assert seen and "REPARTITION_BY_NUM" in seen[0] and "FlatMapGroupsInPandas" in seen[0]
 
 
-def test_chunking_single_exchange(spark):
-    # few-split document scans are spread by doc_id, so the per-chunk grouping reuses that partitioning
-    p = _plan(E.queries()["r1_chunks"](spark, SF))
-    assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p
+def test_chunking_needs_no_exchange(spark):
+    docs = spark.range(64, numPartitions=16).selectExpr("id doc_id", "repeat('some words here ', 300) text")
+    from quire.operators import index
+    p = _plan(index.chunk(docs))
+    assert "Exchange" not in p
 
 
 def _norm(v):
