@@ -57,9 +57,9 @@ class WaveletMatrix:
             plane = np.packbits(ones, bitorder="little")
             planes.append(plane)
             ranks.append(cls._block_ranks(plane))
-            low = cur[~ones]
+            low = np.flatnonzero(~ones)      # positions: indexing by them is faster than by a mask of mixed bits
             zeros.append(len(low))
-            cur = np.concatenate((low, cur[ones]))
+            cur = np.concatenate((cur[low], cur[np.flatnonzero(ones)]))
         return cls(len(ids), bits, zeros, planes, ranks)
 
     @staticmethod
@@ -140,8 +140,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             prev = np.empty_like(cur)
-            prev[~ones] = cur[:self.zeros[k]]
-            prev[ones] = cur[self.zeros[k]:] | cur.dtype.type(1 << (self.bits - 1 - k))
+            prev[np.flatnonzero(~ones)] = cur[:self.zeros[k]]
+            prev[np.flatnonzero(ones)] = cur[self.zeros[k]:] | cur.dtype.type(1 << (self.bits - 1 - k))
             cur = prev
         return cur
 
