@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_batches, read_local
-from quire.llm.pretokens import Splitter
+from quire.llm.pretokens import WHITE, Splitter
 from quire.session import scratch_path
 
 END_ID = 0
@@ -171,12 +171,13 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """A ``tokenizers`` model applied to each distinct pre-token once per memo.
+    """A byte-level ``tokenizers`` model applied to each distinct pre-token once per memo.
 
     Merges never cross pre-tokens, so a text's ids are those of its pre-tokens
-    in turn.  Pre-tokens of a space and letters are handed to the library as
-    one text, whose word numbers tell them apart; texts outside Latin-1 go to
-    the library whole.
+    in turn.  New pre-tokens are handed to the library many at a time, those
+    that start with a space one after another and the others a line each; the
+    bytes that each id stands for tell where one ends.  Texts outside Latin-1
+    go to the library whole.
     """
 
     def __init__(self, model: str, memo_limit: int = 1_200_000):
@@ -187,22 +188,35 @@ class Encoder:
         self.splitter = Splitter()
         self.memo: dict[str, bytes] = {}
         self.memo_limit = memo_limit
-        self.bits = max(1, (max(self.model.get_vocab_size(), 2) - 1).bit_length())
+        vocabulary = self.model.get_vocab()
+        self.bits = max(1, (max(len(vocabulary), 2) - 1).bit_length())
+        self.id_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():         # a byte-level token has one character for every byte
+            self.id_bytes[i] = len(token)
+
+    def _coded(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, pieces: set[str]) -> None:
-        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for at in range(0, len(spaced), 2048):
-            part = spaced[at:at + 2048]
-            coded = self.model.encode("".join(part), add_special_tokens=False)
-            ids, words = np.array(coded.ids, "<u4"), np.array(coded.word_ids)
-            cuts = (4 * np.searchsorted(words, np.arange(len(part) + 1))).tolist()
-            if words[-1] != len(part) - 1:
-                raise RuntimeError("the model splits text otherwise than its pre-tokens")
-            packed = ids.tobytes()
-            self.memo.update(zip(part, [packed[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-        rest = list(pieces.difference(spaced))
-        for p, coded in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(coded.ids, "<u4").tobytes()
+        blank = [p for p in pieces if p[-1] in WHITE]
+        self.memo.update((p, self._coded(p).tobytes()) for p in blank)
+        words = pieces.difference(blank)
+        spaced = [p for p in words if p[0] == " "]
+        for group, between in ((spaced, ""), (list(words.difference(spaced)), "\n")):
+            for at in range(0, len(group), 2048):
+                self._learn_joined(group[at:at + 2048], between)
+
+    def _learn_joined(self, group: list[str], between: str) -> None:
+        ids = self._coded(between.join(group))
+        at = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.id_bytes[ids])))
+        size = np.array([len(p.encode()) for p in group])
+        last = np.cumsum(size + len(between)) - len(between)
+        starts, ends = np.searchsorted(at, last - size), np.searchsorted(at, last)
+        if at[-1] != last[-1] or (at[starts] != last - size).any() or (at[ends] != last).any():
+            raise RuntimeError("the model splits text otherwise than its pre-tokens")
+        packed = ids.tobytes()
+        self.memo.update(zip(group, [packed[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)],
+                             strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
@@ -214,7 +228,7 @@ class Encoder:
             self._learn(new)
         look = self.memo.__getitem__
         return [b"".join(map(look, p)) if p is not None
-                else np.array(self.model.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes() if t
+                else self._coded(t).tobytes() if t
                 else b""
                 for t, p in zip(texts, split, strict=True)]
 
