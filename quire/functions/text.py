@@ -110,6 +110,11 @@ def json_or_empty(col: Column) -> Column:
     return F.coalesce(F.to_json(col), F.lit("{}"))
 
 
+def parse_json(col: Column, schema: str) -> Column:
+    """S-14: a JSON reply as a struct; fields it lacks, and all of a broken reply, are NULL."""
+    return F.from_json(col, schema)
+
+
 def list_cell(col: Column) -> Column:
     """S-16: an array in a CSV cell, as JSON text (Spark CSV rejects arrays)."""
     return F.to_json(col)

@@ -19,11 +19,14 @@ ANNOTATION = "response.output_text.annotation.added"
 def classify(events: DataFrame) -> DataFrame:
     """FLT-8: ``kind`` = file / web / NULL (dropped later) for annotation events.
 
-    Typed rows (``ann_type`` set): file_citation with a filename -> file,
-    web_citation with a url -> web.  Untyped rows: filename -> file, else url -> web.
+    The shape decides, as ``is_object`` says.  Dict form: file_citation with a
+    filename -> file, web_citation with a url -> web.  Object form: filename ->
+    file, else url -> web, whatever its type.  Rows that do not say are objects
+    where they have no type.
     """
     t, fn, url = F.col("ann_type"), F.col("filename"), F.col("url")
-    kind = (F.when(t.isNull(), F.when(fn.isNotNull(), F.lit("file")).when(url.isNotNull(), F.lit("web")))
+    is_object = F.coalesce(F.col("is_object"), t.isNull())
+    kind = (F.when(is_object, F.when(fn.isNotNull(), F.lit("file")).when(url.isNotNull(), F.lit("web")))
             .when((t == "file_citation") & fn.isNotNull(), F.lit("file"))
             .when((t == "web_citation") & url.isNotNull(), F.lit("web")))
     return events.where(F.col("type") == ANNOTATION).withColumn("kind", kind)

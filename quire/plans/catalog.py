@@ -17,6 +17,7 @@ from quire.plans import refresh
 # The minimum slice: one request's filter set (ticker, closed window, flag, labels).
 SLICE = FilterSpec("T07", "1996-01-01", "1998-12-31", True, ["Placements", "Presentations"])
 MAX_KEYS = 100
+AS_OF = "1999-06-30"
 
 
 def flt_select_announcements(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,6 +72,11 @@ def r4_refresh_plan(spark: SparkSession, sf: str) -> DataFrame:
     return refresh.refresh_plan(fx.requests(spark, sf), fx.announcements(spark, sf), max_keys=MAX_KEYS)
 
 
+def r4_refresh_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Type counts of the changed requests, whose windows have the defaults and limits of FLT-6."""
+    return refresh.refresh_type_counts(fx.requests(spark, sf), fx.announcements(spark, sf), AS_OF)
+
+
 QUERIES = {
     "flt_select_announcements": flt_select_announcements,
     "agg1_single_request": agg1_single_request,
@@ -83,6 +89,7 @@ QUERIES = {
     "win7_ledger_ack": win7_ledger_ack,
     "snk2_manifests": snk2_manifests,
     "r4_refresh_plan": r4_refresh_plan,
+    "r4_refresh_types": r4_refresh_types,
 }
 
 
@@ -184,8 +191,25 @@ def top2_text_topk(spark, sf):
 
 
 def ord3_canned_queries(spark, sf):
-    idx = ix.build(_docs(spark, sf))
-    return search.text_topk(search.canned_queries(spark), idx, 10).select("query_id", "rank", "doc_id", "chunk_no", "score")
+    """The canned questions in every store; a document's source names its store."""
+    docs = _docs(spark, sf)
+    idx = ix.build(docs, partition_col="source")
+    top = search.text_topk(search.canned_queries(spark, docs.select("source")), idx, 10, partition_col="source")
+    return top.select(F.col("part").alias("source"), "query_id", "rank", "doc_id", "chunk_no", "score")
+
+
+def top3_prompt_passages(spark, sf):
+    """R-3 prompt records with the passages their questions retrieve."""
+    records = r3_prompt_records(spark, sf)
+    q = records.select(F.struct("session_id", "turn").alias("query_id"), F.col("input").alias("query"))
+    hits = search.text_topk(q, ix.build(_docs(spark, sf)), 5).select("query_id.*", "rank", "doc_id", "chunk_no")
+    return prompts.attach_passages(records, hits).select("session_id", "turn", "input", "n_passages", "passages")
+
+
+def top1_vector_topk_by_store(spark, sf):
+    """Exact top-k within the vectors of the same label: one store per label."""
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    return search.vector_topk(e.withColumnRenamed("vec_id", "query_id"), e, 10, exclude_self=True, partition_col="label")
 
 
 def top1_vector_topk(spark, sf):
@@ -221,6 +245,8 @@ QUERIES.update({
     "r2_term_df": r2_term_df,
     "top2_text_topk": top2_text_topk,
     "ord3_canned_queries": ord3_canned_queries,
+    "top3_prompt_passages": top3_prompt_passages,
+    "top1_vector_topk_by_store": top1_vector_topk_by_store,
     "top1_vector_topk": top1_vector_topk,
     "top4_lsh_topk": top4_lsh_topk,
     "ord2_rank_evidence": ord2_rank_evidence,
@@ -235,7 +261,6 @@ from quire.functions import taxonomy as tax  # noqa: E402
 from quire.operators import companies, evidence  # noqa: E402
 
 CUTOFF = "2024-01-15 00:00:00"
-AS_OF = "1999-06-30"
 
 
 def agg4_distinct_companies(spark, sf):
@@ -327,11 +352,13 @@ def s_hit_functions(spark, sf):
 
 def s_request_functions(spark, sf):
     r = fx.requests(spark, sf)
+    payload = tx.json_or_empty(F.when(F.col("ticker").isNotNull(), F.struct("ticker", "types")))
     return r.select(
         "request_id",
+        tx.parse_json(payload, "ticker string, types array<string>")["ticker"].alias("payload_ticker"),
         tx.store_name(F.col("ticker")).alias("store_name"),
         tx.list_cell(tx.selected_types(F.col("types"))).alias("types_json"),
-        tx.json_or_empty(F.when(F.col("ticker").isNotNull(), F.struct("ticker", "types"))).alias("payload"),
+        payload.alias("payload"),
         tx.markdown_link(F.when(F.size("types") > 0, F.get(F.col("types"), 0)), F.concat(F.lit("https://example.invalid/"),
                          F.col("request_id").cast("string"))).alias("link"))
 

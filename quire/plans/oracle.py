@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quire.functions.taxonomy import TAXONOMY
+from quire.operators.search import CANNED_QUESTIONS
 from quire.plans.oracle_views import with_views
 
 MAX_KEYS = 100
@@ -158,7 +159,7 @@ BASE_URL = "https://files.example.invalid/file/"
 ANN = """
 ann AS (
   SELECT response_id, seq, filename, url, title,
-    CASE WHEN ann_type IS NULL THEN (CASE WHEN filename IS NOT NULL THEN 'file' WHEN url IS NOT NULL THEN 'web' END)
+    CASE WHEN coalesce(is_object, ann_type IS NULL) THEN (CASE WHEN filename IS NOT NULL THEN 'file' WHEN url IS NOT NULL THEN 'web' END)
          WHEN ann_type = 'file_citation' AND filename IS NOT NULL THEN 'file'
          WHEN ann_type = 'web_citation' AND url IS NOT NULL THEN 'web' END AS kind
   FROM response_events WHERE type = 'response.output_text.annotation.added'
@@ -268,10 +269,25 @@ qterms AS (
 )"""
 
 
+_ASKED = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
 _CANNED = "SELECT * FROM (VALUES " + ", ".join(
-    f"(cast({i} AS bigint), {_sq(q)})" for i, q in enumerate([
-        "Details of main asset", "Summary of financial situation", "Details of last capital raise",
-        "Most recent announcement", "Company's next announcement", "Progress in last 6 months"])) + ") AS t(query_id, text)"
+    f"(cast({i} AS bigint), {_sq(q)})" for i, q in enumerate(CANNED_QUESTIONS)) + ") AS t(query_id, text)"
+STORE_SCORES = f"""
+store_tf AS (SELECT source, term, doc_id, chunk_no, count(*) AS tf, any_value(dl) AS dl FROM assigned GROUP BY 1, 2, 3, 4),
+store_stats AS (
+  SELECT source, cast(count(*) AS double) AS n_chunks, avg(dl) AS avgdl FROM (
+    SELECT source, least(c * 150 + 200, n) - c * 150 AS dl FROM (SELECT DISTINCT doc_id, source, n, nch FROM toks) d, unnest(range(0, nch)) AS g(c))
+  GROUP BY 1
+), store_df AS (
+  SELECT t.source, t.term, ln(1 + (s.n_chunks - count(*) + cast(0.5 AS double)) / (count(*) + cast(0.5 AS double))) AS idf, s.avgdl
+  FROM store_tf t JOIN store_stats s USING (source) GROUP BY t.source, t.term, s.n_chunks, s.avgdl
+), qterms AS (
+  SELECT DISTINCT query_id, {_TERM} AS term FROM ({_segs('(' + _CANNED + ')', 'query_id')})
+), store_scores AS (
+  SELECT d.source, q.query_id, t.doc_id, t.chunk_no, round(sum(d.idf * (cast(t.tf AS double) * cast({1.2 + 1} AS double)
+    / (cast(t.tf AS double) + cast(1.2 AS double) * (cast(0.25 AS double) + cast(0.75 AS double) * t.dl / d.avgdl)))), 6) AS score
+  FROM qterms q JOIN store_df d ON d.term = q.term JOIN store_tf t ON t.term = q.term AND t.source = d.source GROUP BY 1, 2, 3, 4
+)"""
 _STRIP = (r"regexp_replace(regexp_replace({x}, '(?m)^#{{1,6}}[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', '', 'g'), "
           r"'\*\*(.*?)\*\*', '\1', 'g')")
 _PREVIEW = "CASE WHEN length({x}) > 300 THEN substring({x}, 1, 300) || '...' ELSE {x} END"
@@ -295,8 +311,24 @@ SQL.update({
     "r2_term_df": _q("SELECT term, df FROM dfreq", extra=INDEX),
     "top2_text_topk": _q("SELECT query_id, rank, doc_id, chunk_no, score FROM ranked WHERE rank <= 10",
                          extra=INDEX + "," + _bm25("SELECT item_id AS query_id, text FROM benchmark")),
-    "ord3_canned_queries": _q("SELECT query_id, rank, doc_id, chunk_no, score FROM ranked WHERE rank <= 10",
-                              extra=INDEX + "," + _bm25(_CANNED)),
+    "ord3_canned_queries": _q("""
+SELECT source, query_id, doc_id, chunk_no, score, rank FROM (
+  SELECT *, cast(row_number() OVER (PARTITION BY source, query_id ORDER BY score DESC, doc_id, chunk_no) AS bigint) AS rank FROM store_scores)
+WHERE rank <= 10""", extra=INDEX + "," + STORE_SCORES),
+    "top3_prompt_passages": _q("""
+SELECT q.query_id // 1000 AS session_id, q.query_id % 1000 AS turn, any_value(q.text) AS input, cast(count(r.doc_id) AS bigint) AS n_passages,
+  coalesce(string_agg(r.doc_id || '#' || r.chunk_no, ',' ORDER BY r.rank), '') AS passages
+FROM asked q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r ON r.query_id = q.query_id GROUP BY q.query_id""",
+                               extra=f"asked AS ({_ASKED})," + INDEX + "," + _bm25("SELECT * FROM asked")),
+    "top1_vector_topk_by_store": """
+WITH e AS (SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings),
+s AS (
+  SELECT a.label, a.vec_id AS query_id, b.vec_id,
+    round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.label = b.label
+)
+SELECT label, query_id, vec_id, score, rank FROM (
+  SELECT *, cast(row_number() OVER (PARTITION BY label, query_id ORDER BY score DESC, vec_id) AS bigint) AS rank FROM s) WHERE rank <= 10""",
     "top1_vector_topk": """
 WITH e AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings),
 s AS (
@@ -387,7 +419,7 @@ SELECT query_id, doc_id,
 FROM hits""", "hits"),
     "s_request_functions": _q("""
 SELECT request_id, ticker || '_vs' AS store_name, to_json(list_filter(types, lambda x: x IS NOT NULL)) AS types_json,
-  coalesce(CASE WHEN ticker IS NOT NULL THEN to_json({'ticker': ticker, 'types': types}) END, '{}') AS payload,
+  coalesce(CASE WHEN ticker IS NOT NULL THEN to_json({'ticker': ticker, 'types': types}) END, '{}') AS payload, ticker AS payload_ticker,
   '- [' || coalesce(CASE WHEN len(types) > 0 THEN types[1] END, 'Web Source') || '](' || 'https://example.invalid/' ||
   cast(request_id AS varchar) || ')' || chr(10) AS link
 FROM requests""", "requests"),
@@ -397,6 +429,14 @@ FROM (SELECT user_id, event_type, ts, cast(json_extract_string(props, '$.k') AS
 })
 
 
+_FITTED = f"""fitted AS (
+  SELECT * REPLACE ({_CLAMP.format(x=f"coalesce(date_from, {_ASOF} - 180)")} AS date_from,
+    {_CLAMP.format(x=f"coalesce(date_to, {_ASOF})")} AS date_to) FROM requests)"""
+SQL["r4_refresh_types"] = _q(f"""
+SELECT r.request_id, a.announcement_types, count(*) AS n FROM changed r JOIN announcements a ON {MATCH_COND} GROUP BY 1, 2""",
+                             "announcements", "requests", extra=_FITTED + "," + _marked("fitted"))
+
+
 # ---- sources, sinks, prompts -----------------------------------------------------------------
 def _template_sql(company: str, ticker: str) -> str:
     from quire.operators.prompts import DEFAULT_TEMPLATE, template_pieces
@@ -468,7 +508,7 @@ LEFT JOIN (SELECT session_id, ticker, key, ts AS ats, request_id AS arid FROM (
   ON a.session_id = p.session_id AND a.ticker = p.ticker AND a.key = p.key
 WHERE a.ats IS NULL OR p.ts < a.ats OR (p.ts = a.ats AND p.request_id <= a.arid)""",
                             "announcements", "requests", extra=MARKED + """,
-pairs AS (
-  SELECT r.request_id, r.session_id, r.ticker, r.ts, a.key, r.event_type <> 'error' AS ack
+pairs AS (      -- keys, not rows: a key may stand in two announcements
+  SELECT DISTINCT r.request_id, r.session_id, r.ticker, r.ts, a.key, r.event_type <> 'error' AS ack
   FROM changed r JOIN announcements a ON """ + MATCH_COND + """
 )""")

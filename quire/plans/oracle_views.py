@@ -20,7 +20,12 @@ SELECT concat('T', lpad(cast(c.c_nationkey AS varchar), 2, '0')) AS ticker,
     WHEN 7 THEN 'JORC Resource Update' WHEN 8 THEN 'Renounceable Issue' WHEN 9 THEN 'Annual Report'
     WHEN 11 THEN 'Appendix 3G, Security Purchase Plan' END AS announcement_types,
   cast(o.o_orderdate AS date) AS date, o.o_orderstatus = 'F' AS is_price_sensitive
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+UNION ALL
+SELECT concat('T', lpad(cast(c.c_nationkey AS varchar), 2, '0')), concat('https://example.invalid/', cast(o.o_orderkey AS varchar)),
+  concat('T', lpad(cast(c.c_nationkey AS varchar), 2, '0'), '_', cast(cast(o.o_orderdate AS date) AS varchar), '_', cast(o.o_orderkey AS varchar), '.md'),
+  'Trading Halt', cast(o.o_orderdate AS date) + 40, NOT (o.o_orderstatus = 'F')
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 20 = 3""",
     "requests": """
 SELECT event_id AS request_id, user_id AS session_id, ts,
   CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('T', lpad(cast((user_id + event_id % 3) % 25 AS varchar), 2, '0')) END AS ticker,
@@ -35,27 +40,31 @@ FROM events""",
     "response_events": """
 SELECT c.conv_id * 1000 + c.turn AS response_id, cast(g.i * 10 AS bigint) AS seq, 'response.output_text.delta' AS type,
   substring(c.text, cast(g.i * 16 + 1 AS int), 16) AS delta, cast(NULL AS varchar) AS ann_type, cast(NULL AS varchar) AS filename,
-  cast(NULL AS varchar) AS url, cast(NULL AS varchar) AS title
-FROM conversations c, unnest(range(0, cast(ceil(length(c.text) / 16.0) AS bigint))) AS g(i) WHERE c.role = 'assistant'
+  cast(NULL AS varchar) AS url, cast(NULL AS varchar) AS title, cast(NULL AS boolean) AS is_object
+FROM (SELECT conv_id, turn, role, CASE WHEN conv_id % 3 = 0 THEN text || chr(10) || '- Source: T' || cast(conv_id AS varchar) || '.md' || chr(10)
+  || 'Confidence Score: ' || CASE WHEN conv_id % 10 = 0 THEN '1.0' ELSE '0.' || cast(conv_id % 10 AS varchar) END ELSE text END AS text
+  FROM conversations) c, unnest(range(0, cast(ceil(length(c.text) / 16.0) AS bigint))) AS g(i) WHERE c.role = 'assistant'
 UNION ALL
 SELECT c.conv_id * 1000 + c.turn, cast(g.i * 10 + 1 AS bigint), 'response.output_text.annotation.added', NULL, 'file_citation',
-  CASE WHEN (c.conv_id + g.i) % 5 = 0 THEN 'malformed.pdf' ELSE concat('T', cast(c.conv_id % 3 AS varchar), '_x_', cast((c.conv_id + g.i) % 2 AS varchar), '.v1.pdf') END, NULL, NULL
+  CASE WHEN (c.conv_id + g.i) % 5 = 0 THEN 'malformed.pdf' ELSE concat('T', cast(c.conv_id % 3 AS varchar), '_x_', cast((c.conv_id + g.i) % 2 AS varchar), '.v1.pdf') END, NULL, NULL, c.conv_id % 3 = 1
 FROM conversations c, unnest(range(0, 4)) AS g(i) WHERE c.role = 'assistant' AND c.turn >= 1 AND c.conv_id % 4 <> 3
 UNION ALL
-SELECT c.conv_id * 1000 + c.turn, cast(g.i * 10 + 2 AS bigint), 'response.output_text.annotation.added', NULL, 'web_citation', NULL,
-  concat('https://example.invalid/w', cast(c.conv_id % 6 AS varchar)), CASE WHEN g.i = 0 THEN 'Some title' END
+SELECT c.conv_id * 1000 + c.turn, cast(g.i * 10 + 2 AS bigint), 'response.output_text.annotation.added', NULL,
+  CASE WHEN c.conv_id % 3 = 1 THEN 'url_citation' ELSE 'web_citation' END, NULL,
+  concat('https://example.invalid/w', cast(c.conv_id % 6 AS varchar)), CASE WHEN g.i = 0 THEN 'Some title' END, c.conv_id % 3 = 1
 FROM conversations c, unnest(range(0, 2)) AS g(i) WHERE c.role = 'assistant' AND c.turn >= 1 AND c.conv_id % 2 = 0
 UNION ALL
 SELECT c.conv_id * 1000 + c.turn, cast(CASE WHEN c.conv_id % 7 < 3 THEN 25 ELSE 1000000 END AS bigint),
   CASE c.conv_id % 7 WHEN 0 THEN 'response.failed' WHEN 1 THEN 'response.cancelled' WHEN 2 THEN 'response.incomplete' ELSE 'response.completed' END,
-  NULL, NULL, NULL, NULL, NULL
+  NULL, NULL, NULL, NULL, NULL, NULL
 FROM conversations c WHERE c.role = 'assistant'""",
     "hits": """
 SELECT doc_id % 20 AS query_id, doc_id, concat(cast(doc_id AS varchar), '_', source, '.md') AS filename,
-  cast((doc_id * 37) % 101 AS double) / 100 AS score, text FROM documents""",
+  cast((doc_id * 37) % 101 AS double) / 100 AS score,
+  CASE WHEN doc_id % 4 = 0 THEN '## Report **' || cast(doc_id AS varchar) || '**' || chr(10) || text ELSE text END AS text FROM documents""",
     "summaries": """
-SELECT conv_id AS session_id, turn, concat('T', lpad(cast((conv_id + cast(floor(turn / 3) AS bigint)) % 25 AS varchar), 2, '0')) AS ticker,
-  CASE WHEN role = 'user' THEN concat('User asked about ', text) END AS summary FROM conversations""",
+SELECT conv_id AS session_id, turn, concat('T', lpad(cast((conv_id + CASE WHEN conv_id % 4 = 0 THEN 0 ELSE cast(floor(turn / 3) AS bigint) END) % 25 AS varchar), 2, '0')) AS ticker,
+  CASE WHEN role = 'user' OR conv_id % 4 = 0 THEN concat('User asked about ', text) END AS summary FROM conversations""",
     "text_queries": """
 SELECT item_id AS query_id, text AS query FROM benchmark""",
     "store_activity": """

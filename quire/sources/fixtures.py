@@ -42,7 +42,11 @@ _TYPE_BY_MOD = {
 
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, url, key, announcement_types, date, is_price_sensitive (one row per order)."""
+    """ticker, url, key, announcement_types, date, is_price_sensitive (one row per order).
+
+    Every twentieth order has a second row under the same key: a later trading
+    halt with the other price flag.
+    """
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     j = o.join(c, o.o_custkey == c.c_custkey)
@@ -52,7 +56,8 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
         types = (F.when(m == k, F.lit(v)) if types is None else types.when(m == k, F.lit(v)))
     ticker = _code("T", F.col("c_nationkey"))
     d = F.col("o_orderdate").cast("date")
-    return j.select(
+    rows = j.select(
+        F.col("o_orderkey"),
         ticker.alias("ticker"),
         F.concat(F.lit("https://example.invalid/"), F.col("o_orderkey").cast("string")).alias("url"),
         F.concat(ticker, F.lit("_"), d.cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"),
@@ -61,6 +66,9 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
         d.alias("date"),
         (F.col("o_orderstatus") == "F").alias("is_price_sensitive"),
     )
+    again = (rows.where(F.col("o_orderkey") % 20 == 3).withColumn("announcement_types", F.lit("Trading Halt"))
+             .withColumn("date", F.date_add("date", 40)).withColumn("is_price_sensitive", ~F.col("is_price_sensitive")))
+    return rows.unionByName(again).drop("o_orderkey")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +97,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_evidence(conv: Column, text: Column) -> Column:
+    """Every third conversation's answers end in a source line and a confidence score."""
+    score = F.when(conv % 10 == 0, F.lit("1.0")).otherwise(F.concat(F.lit("0."), (conv % 10).cast("string")))
+    return F.when(conv % 3 == 0, F.concat(text, F.lit("\n- Source: T"), conv.cast("string"),
+                                          F.lit(".md\nConfidence Score: "), score)).otherwise(text)
+
+
 def response_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streamed answer events for every assistant turn (whole text, 16-char deltas).
 
@@ -96,7 +111,9 @@ def response_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     2 incomplete (seq 25), else completed (last).
     """
     c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).where(
-        F.col("role") == "assistant")
+        F.col("role") == "assistant").withColumn("text", _with_evidence(F.col("conv_id"), F.col("text")))
+    obj = F.col("conv_id") % 3 == 1                  # annotations of these answers come in object form
+    null_b = F.lit(None).cast("boolean").alias("is_object")
     rid = (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id")
     null_s = F.lit(None).cast("string")
     n = F.length("text")
@@ -104,7 +121,7 @@ def response_events(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select("response_id", (F.col("i") * 10).cast("bigint").alias("seq"),
                       F.lit("response.output_text.delta").alias("type"),
                       F.substring(F.col("text"), F.col("i") * 16 + 1, 16).alias("delta"),
-                      null_s.alias("ann_type"), null_s.alias("filename"), null_s.alias("url"), null_s.alias("title")))
+                      null_s.alias("ann_type"), null_s.alias("filename"), null_s.alias("url"), null_s.alias("title"), null_b))
     fc = c.where((F.col("turn") >= 1) & (F.col("conv_id") % 4 != 3))
     files = (fc.select(rid, F.col("conv_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
              .select("response_id", (F.col("i") * 10 + 1).cast("bigint").alias("seq"),
@@ -113,20 +130,20 @@ def response_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when((F.col("conv_id") + F.col("i")) % 5 == 0, F.lit("malformed.pdf")).otherwise(
                          F.concat(F.lit("T"), (F.col("conv_id") % 3).cast("string"), F.lit("_x_"),
                                   ((F.col("conv_id") + F.col("i")) % 2).cast("string"), F.lit(".v1.pdf"))).alias("filename"),
-                     null_s.alias("url"), null_s.alias("title")))
+                     null_s.alias("url"), null_s.alias("title"), obj.alias("is_object")))
     wc = c.where((F.col("turn") >= 1) & (F.col("conv_id") % 2 == 0))
     webs = (wc.select(rid, F.col("conv_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("i"))
             .select("response_id", (F.col("i") * 10 + 2).cast("bigint").alias("seq"),
                     F.lit("response.output_text.annotation.added").alias("type"), null_s.alias("delta"),
-                    F.lit("web_citation").alias("ann_type"), null_s.alias("filename"),
+                    F.when(obj, "url_citation").otherwise("web_citation").alias("ann_type"), null_s.alias("filename"),
                     F.concat(F.lit("https://example.invalid/w"), (F.col("conv_id") % 6).cast("string")).alias("url"),
-                    F.when(F.col("i") == 0, F.lit("Some title")).alias("title")))
+                    F.when(F.col("i") == 0, F.lit("Some title")).alias("title"), obj.alias("is_object")))
     m = F.col("conv_id") % 7
     ends = c.select(rid, F.when(m < 3, F.lit(25)).otherwise(F.lit(1000000)).cast("bigint").alias("seq"),
                     F.when(m == 0, "response.failed").when(m == 1, "response.cancelled")
                     .when(m == 2, "response.incomplete").otherwise("response.completed").alias("type"),
                     null_s.alias("delta"), null_s.alias("ann_type"), null_s.alias("filename"),
-                    null_s.alias("url"), null_s.alias("title"))
+                    null_s.alias("url"), null_s.alias("title"), null_b)
     return deltas.unionByName(files).unionByName(webs).unionByName(ends)
 
 
@@ -137,17 +154,20 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 20).alias("query_id"), F.col("doc_id"),
         F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("source"), F.lit(".md")).alias("filename"),
         ((F.col("doc_id") * 37) % 101).cast("double") / 100,
-        F.col("text"),
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("## Report **"), F.col("doc_id").cast("string"), F.lit("**\n"),
+                                                  F.col("text"))).otherwise(F.col("text")),
     ).toDF("query_id", "doc_id", "filename", "score", "text")
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per turn: the selected ticker (switches every three turns) and, for user
-    turns only, a summary (other turns add none, like search prompts)."""
+    turns only, a summary (other turns add none, like search prompts).  Every
+    fourth conversation keeps its ticker and has a summary at every turn."""
     c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    t = (F.col("conv_id") + F.floor(F.col("turn") / 3).cast("bigint")) % 25
+    steady = F.col("conv_id") % 4 == 0
+    t = (F.col("conv_id") + F.when(steady, F.lit(0)).otherwise(F.floor(F.col("turn") / 3)).cast("bigint")) % 25
     return c.select(F.col("conv_id").alias("session_id"), F.col("turn"), _code("T", t).alias("ticker"),
-                    F.when(F.col("role") == "user", F.concat(F.lit("User asked about "), F.col("text"))).alias("summary"))
+                    F.when((F.col("role") == "user") | steady, F.concat(F.lit("User asked about "), F.col("text"))).alias("summary"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

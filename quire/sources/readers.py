@@ -39,6 +39,7 @@ RESPONSE_EVENTS_SCHEMA = T.StructType([
     T.StructField("filename", T.StringType()),
     T.StructField("url", T.StringType()),
     T.StructField("title", T.StringType()),
+    T.StructField("is_object", T.BooleanType()),
 ])
 
 

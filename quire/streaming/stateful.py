@@ -4,9 +4,10 @@ Rows of one key are processed in their order column within each micro-batch;
 state carries what the next batch needs.  Functions emit versioned rows in
 append mode, so any file sink works; the latest version per key is the
 result (``latest``).  State is JSON text and bounded per key: the pieces of
-one response (ST-1), five summaries (ST-3), one fingerprint (ST-4).
-No timeout by default, so results equal the batch twins; pass a timeout to
-bound state for keys that never finish.
+one response until its end and a mark after it (ST-1), five summaries (ST-3),
+one fingerprint (ST-4).  No timeout by default, so results equal the batch
+twins.  With ``timeout`` (a duration such as "1 day") a key that is silent so
+long, in processing time, loses its state; what comes later begins anew.
 """
 
 from __future__ import annotations
@@ -26,6 +27,27 @@ from quire.operators.responses import CANCELLED, COMPLETED, FAILED, INCOMPLETE,
 _STATE = "s string"
 
 
+def _with_timeout(fn, timeout: str | None):
+    """``fn`` with state that ends ``timeout`` after the key's last rows, and the matching setting.
+
+    ``fn`` gets a key's rows and state; a key that timed out has no rows.
+    """
+    if timeout is None:
+        return fn, GroupStateTimeout.NoTimeout
+    ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    if ms <= 0:
+        raise ValueError("timeout must be positive")
+
+    def timed(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from fn(key, pdfs, state)
+        if state.exists:
+            state.setTimeoutDuration(ms)
+    return timed, GroupStateTimeout.ProcessingTimeTimeout
+
+
 def latest(df: DataFrame, keys: list, version: str = "version") -> DataFrame:
     """Keep the highest version per key (the current state of each key)."""
     w = Window.partitionBy(*keys).orderBy(F.col(version).desc())
@@ -35,6 +57,8 @@ def latest(df: DataFrame, keys: list, version: str = "version") -> DataFrame:
 # ------------------------------------------------------------------ ST-1 responses
 def _response_fn(key, pdfs, state):
     st = json.loads(state.get[0]) if state.exists else {"p": [], "stop": None, "stype": None, "inc": [], "done": [], "v": 0}
+    if st.get("ended"):
+        return                                  # the answer was final
     for pdf in pdfs:
         for seq, typ, piece in zip(pdf["seq"], pdf["type"], pdf["piece"]):
             seq = int(seq)
@@ -62,16 +86,24 @@ def _response_fn(key, pdfs, state):
         status = "completed"
     else:
         status = "open"
-    st["v"] += 1
+    version = st["v"] = st["v"] + 1
+    if status in ("failed", "cancelled") or st["done"]:
+        st = {"ended": True}
     state.update((json.dumps(st),))
-    yield pd.DataFrame({"response_id": [key[0]], "version": [st["v"]], "answer": [answer], "status": [status]})
+    yield pd.DataFrame({"response_id": [key[0]], "version": [version], "answer": [answer], "status": [status]})
+
 
+def assemble_responses(events: DataFrame, timeout: str | None = None) -> DataFrame:
+    """ST-1: streaming response assembly (twin: ``operators.responses.assemble``).
 
-def assemble_responses(events: DataFrame, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """ST-1: streaming response assembly (twin: ``operators.responses.assemble``)."""
+    A response ends with its stopping or completing event: its pieces leave
+    the state, and events of later micro-batches are ignored.  Within a
+    micro-batch events may come in any order.
+    """
+    fn, kind = _with_timeout(_response_fn, timeout)
     prepared = events.select("response_id", "seq", "type", piece_col().alias("piece"))
     return prepared.groupBy("response_id").applyInPandasWithState(
-        _response_fn, "response_id bigint, version bigint, answer string, status string", _STATE, "append", timeout)
+        fn, "response_id bigint, version bigint, answer string, status string", _STATE, "append", kind)
 
 
 # ------------------------------------------------------------------ ST-3 history
@@ -93,10 +125,11 @@ def _history_fn(key, pdfs, state):
     yield pd.DataFrame({"session_id": [key[0]] * len(out_turn), "turn": out_turn, "history": out_hist})
 
 
-def rolling_history(summaries: DataFrame) -> DataFrame:
+def rolling_history(summaries: DataFrame, timeout: str | None = None) -> DataFrame:
     """ST-3: history block visible to each prompt (twin: WIN-5/6 + AGG-10)."""
+    fn, kind = _with_timeout(_history_fn, timeout)
     return summaries.select("session_id", "turn", "ticker", "summary").groupBy("session_id").applyInPandasWithState(
-        _history_fn, "session_id bigint, turn bigint, history string", _STATE, "append", GroupStateTimeout.NoTimeout)
+        fn, "session_id bigint, turn bigint, history string", _STATE, "append", kind)
 
 
 # ------------------------------------------------------------------ ST-4 change detection
@@ -116,11 +149,12 @@ def _change_fn(key, pdfs, state):
                         "ticker": rows["ticker"], "query_hash": rows["query_hash"], "reason": reasons})
 
 
-def detect_change(requests: DataFrame) -> DataFrame:
+def detect_change(requests: DataFrame, timeout: str | None = None) -> DataFrame:
     """ST-4: per (session, ticker) fingerprint change reasons (twin: ``ingest.detect_change``)."""
+    fn, kind = _with_timeout(_change_fn, timeout)
     h = F.when(F.col("ticker").isNotNull(), query_hash(F.col("ticker"), F.col("date_from"), F.col("date_to"),
                                                          F.col("types"), F.col("price_sensitive")))
     prepared = requests.select("request_id", "session_id", "ticker", "ts", h.alias("query_hash"))
     return prepared.groupBy("session_id", "ticker").applyInPandasWithState(
-        _change_fn, "request_id bigint, session_id bigint, ticker string, query_hash string, reason string",
-        _STATE, "append", GroupStateTimeout.NoTimeout)
+        fn, "request_id bigint, session_id bigint, ticker string, query_hash string, reason string",
+        _STATE, "append", kind)
