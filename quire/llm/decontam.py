@@ -1,6 +1,6 @@
 """Operator 6: benchmark decontamination with a BM25 inverted index and block-max WAND.
 
-The test items (or, of long ones, pieces of ``ITEM_WORDS`` words) are indexed:
+The test items (long ones in equal pieces of up to ``ITEM_WORDS`` words) are indexed:
 postings per term with BM25 impacts, in blocks that know their greatest impact.
 Impacts are divided by the item's score of itself, so a threshold is a share
 of that.  Every passage of every document is a query: windows of twice the
@@ -11,11 +11,14 @@ summed from the same postings, which loses nothing; the others go through WAND.
 
 A retrieved item is verified on exact five-word shingles: the passage must hold
 ``OVERLAP`` of the item's, and ``PART_OVERLAP`` of those of its question and of
-its answer (the last sentence; without one, the second half).
+its answer (the last sentence; without one, the second half).  Of an item in
+pieces the whole item is verified, on all passages that retrieved a piece of it
+together, each widened by the item's length, so that a copy lies whole in them;
+its score is the mean of its pieces' best, by their lengths.
 
-The index is cut into shards of at most ``SHARD_ITEMS`` pieces of bounded
-length, broadcast one at a time; the documents are read once per shard and
-never shuffled.
+The index is cut into shards of about ``SHARD_ITEMS`` pieces of bounded length,
+the pieces of an item in one, broadcast one at a time; the documents are read
+once per shard and never shuffled.
 
 Defined results: words split at ASCII white space, A-Z lower-cased, with signs
 at their ends removed.  Items that are null, or without a word, match nothing;
@@ -71,32 +74,34 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 def shingles(words: list[bytes], codes: WordCodes) -> np.ndarray:
-    h = codes.hash_words(words)
+    return _shingles_of(codes.hash_words(words))
+
+
+def _shingles_of(h: np.ndarray) -> np.ndarray:
     if len(h) == 0:
         return h
     return sequence_hash(h) if len(h) < SHINGLE else np.unique(window_hashes(h, SHINGLE))
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Items cut into pieces of bounded length, with the words that are indexed."""
+    """Items in equal pieces of bounded length, with the words that are indexed; the first has the item's text."""
     for rows in batches:
         out = []
-        for item, text in zip(rows["item"], rows["text"], strict=True):
-            words = (text or "").split()
-            for n, at in enumerate(range(0, len(words), ITEM_WORDS)):
-                part = text if len(words) <= ITEM_WORDS else " ".join(words[at:at + ITEM_WORDS])
-                own = [w.decode() for w in words_of(part.encode())]
-                if own:
-                    out.append((item, n, part, own))
-        yield pd.DataFrame(out, columns=["item", "piece", "text", "words"])
+        for item, row, text in zip(rows["item"], rows["row"], rows["text"], strict=True):
+            own = [w.decode() for w in words_of((text or "").encode())]
+            n = -(-len(own) // ITEM_WORDS)
+            cuts = [len(own) * k // n for k in range(n + 1)] if n else []
+            out += [(item, row, k, None if k else text, own[a:b])
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        yield pd.DataFrame(out, columns=["item", "row", "piece", "text", "words"])
 
 
 @dataclass
 class Index:
-    """One shard: items with their texts, and postings with relative impacts."""
+    """One shard: items with their texts (None for further pieces of the item before), and postings with relative impacts."""
 
     items: list[int]
-    texts: list[str]
+    texts: list[str | None]
     lengths: list[int]
     terms: dict[bytes, int]
     docs: list[list[int]]            # per term: rising item numbers
@@ -112,13 +117,18 @@ class Index:
         self.flat_docs = np.array([d for ds in self.docs for d in ds], np.int64)
         self.flat_impacts = np.array([x for xs in self.impacts for x in xs])
         self.term_max = [max(xs) for xs in self.impacts]
+        self.first: list[int] = []                   # per piece: the first one of its item
+        self.words: dict[int, int] = defaultdict(int)    # per first piece: words of the whole item
+        for n, (text, length) in enumerate(zip(self.texts, self.lengths, strict=True)):
+            self.first.append(n if text is not None else self.first[-1])
+            self.words[self.first[n]] += length
 
     @property
     def window(self) -> int:
         return 2 * max(self.lengths)
 
 
-def build_index(rows: list[tuple[int, str, list[bytes]]], df: dict[bytes, int], n_all: int, mean_length: float,
+def build_index(rows: list[tuple[int, str | None, list[bytes]]], df: dict[bytes, int], n_all: int, mean_length: float,
                 threshold: float = RETRIEVE) -> Index:
     """Index of (item, text, words) pieces under corpus-wide statistics of the test items."""
     postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
@@ -276,32 +286,50 @@ class Matcher:
         """Query the index with the passages of a text that may reach the threshold, and verify what is retrieved."""
         ix, step = self.index, self.index.window // 2
         found: dict[int, tuple[float, float, float, float]] = {}
+        scores: dict[int, dict[int, float]] = defaultdict(dict)            # of items in pieces: best score of each
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)        # and where to look for the whole item
         for w in np.flatnonzero(reachable).tolist():
             a, b = w * step, min((w + 2) * step, len(codes))
             query = np.unique(codes[a:b])
             hits = wand(ix, query[query >= 0], self.threshold)
-            if not hits:
-                continue
-            held = shingles([tokens[p].strip(_SIGNS) for p in places[a:b].tolist()], self.codes)
+            held = None
             for n, score in hits:
-                whole, question, answer = (self._share(part, held, tokens, places[a:b]) for part in self._item(n))
+                first = ix.first[n]
+                if ix.words[first] != ix.lengths[first]:
+                    scores[first][n] = max(score, scores[first].get(n, 0.0))
+                    lo, hi = max(0, a - ix.words[first]), min(b + ix.words[first], len(codes))
+                    if spans[first] and lo <= spans[first][-1][1]:
+                        lo = spans[first].pop()[0]
+                    spans[first].append((lo, hi))
+                    continue
+                held = held or self._held(tokens, places, [(a, b)])
+                whole, question, answer = (self._share(part, *held) for part in self._item(n))
                 old = found.get(n)
                 if old is None or (whole, score) > (old[1], old[0]):
                     found[n] = (score, whole, question, answer)
+        for n, best in scores.items():
+            held = self._held(tokens, places, spans[n])
+            score = sum(s * ix.lengths[piece] for piece, s in best.items()) / ix.words[n]
+            found[n] = (score, *(self._share(part, *held) for part in self._item(n)))
         return {n: v for n, v in found.items()
                 if v[1] >= OVERLAP and v[2] >= PART_OVERLAP and v[3] >= PART_OVERLAP}
 
-    def _share(self, part: np.ndarray, held: np.ndarray, tokens: list[bytes], places: np.ndarray) -> float:
-        """Share of the part's shingles that the passage holds; an empty part is held."""
+    def _held(self, tokens: list[bytes], places: np.ndarray,
+              spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Shingles of all spans of a text's words, and the word hashes of each span."""
+        hashes = [self.codes.hash_words([tokens[p].strip(_SIGNS) for p in places[a:b].tolist()]) for a, b in spans]
+        return np.concatenate([_shingles_of(h) for h in hashes]), hashes
+
+    @staticmethod
+    def _share(part: np.ndarray, held: np.ndarray, hashes: list[np.ndarray]) -> float:
+        """Share of the part's shingles that the passages hold; an empty part is held."""
         if not len(part):
             return 1.0
         share = float(np.isin(part, held).mean())
         if share == 0 and len(part) == 1:            # perhaps fewer words than a shingle: look for the sequence
-            h = self.codes.hash_words([tokens[p].strip(_SIGNS) for p in places.tolist()])
-            for k in range(1, SHINGLE):
-                if len(h) >= k:
-                    seq = sequence_windows(h, k)
-                    if (seq == part[0]).any():
+            for h in hashes:
+                for k in range(1, SHINGLE):
+                    if len(h) >= k and (sequence_windows(h, k) == part[0]).any():
                         return 1.0
         return share
 
@@ -316,22 +344,23 @@ def index_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     """The index in shards, one at a time: each is a bounded number of pieces of bounded length."""
     pieces = materialize(
         items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"),
+                                                      F.monotonically_increasing_id().alias("row"),
                                                       F.col(text_col).alias("text"))
-        .mapInPandas(_pieces, "item long, piece int, text string, words array<string>"), "benchmark-pieces")
+        .mapInPandas(_pieces, "item long, row long, piece int, text string, words array<string>"), "benchmark-pieces")
     total = pieces.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     if not total.n:
         return
     n_shards = -(-total.n // SHARD_ITEMS)
     df = materialize(pieces.select(F.explode(F.array_distinct("words")).alias("word"))
                      .groupBy("word").agg(F.count("*").alias("df")), "benchmark-df")
-    numbered = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "piece"), F.lit(n_shards)))
+    numbered = pieces.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(n_shards)))
     for s in range(n_shards):
         rows = numbered.where(F.col("shard") == s)
         own = rows.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
         freq = {r.word.encode(): r.df for r in df.join(own, "word").collect()}
-        got = sorted((r.item, r.piece, r.text, r.words) for r in rows.collect())
+        got = sorted(rows.collect(), key=lambda r: (r.item, r.row, r.piece))
         if got:
-            yield build_index([(i, t, [w.encode() for w in ws]) for i, _, t, ws in got], freq, total.n,
+            yield build_index([(r.item, r.text, [w.encode() for w in r.words]) for r in got], freq, total.n,
                               float(total.mean), threshold)
 
 
@@ -342,7 +371,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                  threshold: float = RETRIEVE) -> DataFrame:
     """Rows (doc_id, item_id, score, overlap, question_overlap, answer_overlap) of verified matches.
 
-    A long item counts once per document, with its best piece.
+    An item counts once per document, of rows with one id the one of greatest overlap.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -394,7 +423,7 @@ def _clean(shared, threshold: float):
 
 
 def _best(found: dict, items: list[int]) -> dict:
-    """Of an item's pieces in a document, the one of greatest overlap."""
+    """Of an id's items in a document, the one of greatest overlap."""
     best: dict[int, int] = {}
     for n, v in found.items():
         if items[n] not in best or v[1] > found[best[items[n]]][1]:

@@ -53,3 +53,19 @@ def test_pipeline_stages_keep_columns(spark, odd, odd_dir):
 
 def test_pipeline_on_empty_tables(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).collect() == []
+
+
+def test_long_benchmark_items_are_verified_whole(spark):
+    from quire.llm import decontam
+    question = " ".join(f"ask{i}" for i in range(200)) + ". "
+    items = [(1, " ".join([f"item{i}" for i in range(256)] + ["common"])),     # 257 words
+             (2, " ".join(f"long{i}" for i in range(900)) + ". The answer is never given there at all"),
+             (3, question + " ".join(f"end{i}" for i in range(180)))]
+    docs = [(1, "a common word and more of the same"), (2, "so " + items[0][1] + " it ends"), (3, items[1][1].split(".")[0]),
+            (4, "x " * 700 + items[1][1]), (5, question), (6, items[2][1] + " y" * 900), (7, " ".join(items[1][1].split()[:600]))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, items).collect()}
+    assert sorted(got) == [(2, 1), (4, 2), (6, 3)]
+    assert all(r.overlap == r.question_overlap == r.answer_overlap == 1.0 for r in got.values())
+    assert sorted(r.doc_id for r in decontam.without_contaminated(docs, items).collect()) == [1, 3, 5, 7]
