@@ -4,7 +4,8 @@ Regular expressions propose spans; validators confirm them (parts of an IPv4
 address, Luhn for cards, mod-97 for IBANs, digit counts for phones); words
 around a span adjust its score.  Base kinds are email, ip, card and phone, each
 matched leftmost without overlaps of its own kind; IBANs and identity numbers
-named by their context are added.
+named by their context are added.  An IBAN ends at the length that its country
+code fixes, whatever capitals or digits follow.
 
 Every pattern reads a text in linear time: an email is grown to both sides of
 its ``@``, and digit runs are taken whole.
@@ -32,9 +33,16 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
+# Fixed lengths of IBANs by country code, without spaces.
+IBAN_LENGTH = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in codes.split()}
+
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.95, "id": 0.3}
 # Fixed context words by kind: those that support a span, and those that speak against it.
 SUPPORT = {
@@ -106,9 +114,26 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m.group()):
-            yield m.span()
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        for end in _iban_ends(text, m):
+            if mod97(text[m.start():end]):
+                yield m.start(), end
+                at = end
+                break
+
+
+def _iban_ends(text: str, m: re.Match) -> list[int]:
+    """Word ends where a proposal may stop: that of its country's length or, of unknown countries, all, longest first."""
+    fixed = IBAN_LENGTH.get(m.group()[:2])
+    ends, size = [], 0
+    for i in range(m.start(), m.end()):
+        size += text[i] != " "
+        last = text[i] != " " and not (text[i + 1:i + 2].isascii() and text[i + 1:i + 2].isalnum())
+        if last and (size >= 15 if fixed is None else size == fixed):
+            ends.append(i + 1)
+    return ends[::-1]
 
 
 def identity_numbers(text: str) -> Iterator[tuple[int, int]]:

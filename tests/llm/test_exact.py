@@ -308,3 +308,13 @@ def test_pipeline_stages_take_effect(spark):
     one = spark.createDataFrame([(1, text, "en", "s", len(text))], docs.schema)
     clean = corpus_pipeline.redact_secrets(spark, one, SF).first()
     assert "[SECRET]" in clean.text and "0123456789abcdef" not in clean.text and clean.n_chars == len(clean.text)
+
+
+def test_ibans_end_at_their_country_length():
+    german = "DE89 3704 0044 0532 0130 00"
+    for text in (f"IBAN: {german} BIC: COBADEFFXXX", f"{german.replace(' ', '')} 2024-05-01", f"{german} EUR 100",
+                 f"AB12 {german} NL91ABNA0417164300 GB82 WEST 1234 5698 7654 32 OK"):
+        found = [text[a:b].replace(" ", "") for k, a, b, _ in pii.find(text) if k == "iban"]
+        assert found[0] == german.replace(" ", "")
+    assert found[1:] == ["NL91ABNA0417164300", "GB82WEST12345698765432"]
+    assert not [s for s in pii.find("IBAN: DE89 3704 0044 0532 0130 01 BIC") if s[0] == "iban"]
