@@ -7,9 +7,12 @@ sample of them (up to ``SAMPLE`` a kind, those of least hash in as many
 buckets, values of up to ``MAX_VALUE`` characters) one probabilistic automaton
 per kind is inferred by merging statistically compatible prefix-tree states
 (``automata``), over classes of characters.  A further automaton is inferred
-from ordinary tokens.  Every candidate token is then scored by the best format's
-log likelihood against the ordinary one; the threshold is set above all
-ordinary tokens of a held-back fold.  Tokens above it become spans of kind
+from ordinary tokens, those outside all base spans.  These include credentials
+that no base pattern finds, so tokens that fit a format as its credentials do,
+and better than the ordinary ones, are set aside first (``_unlabelled``).
+Every candidate token is then scored by the best format's log likelihood against
+the ordinary one; the threshold is ``MARGIN`` above all but ``FALSE_POSITIVES`` of
+the ordinary tokens of a held-back fold.  Tokens above it become spans of kind
 ``format`` unless they overlap a base span.
 
 Positions are code points, ends exclusive.  Null and empty texts have no span;
@@ -21,7 +24,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -38,7 +42,10 @@ SAMPLE = 512
 MAX_VALUE = 256
 MIN_SAMPLE = 8            # credentials of a kind that a format needs
 MIN_CANDIDATE = 16
-MARGIN = 0.25             # log likelihood per character above the highest ordinary token
+MARGIN = 0.25             # log likelihood per character above the ordinary tokens
+FALSE_POSITIVES = 0.01    # share of the held-back ordinary tokens that the threshold may leave above it
+LOW = 0.05                # share of a format's own credentials that may fit it worse than a token set aside
+ROUNDS = 3
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -101,19 +108,59 @@ class Formats:
 
 
 def train(credentials: dict[str, list[str]], ordinary: list[str]) -> Formats:
-    """Formats from labelled credentials; every other ordinary token is held back for the threshold."""
+    """Formats from labelled credentials; of the ordinary tokens not set aside, every other is held back for the threshold."""
     ordinary = sorted(set(ordinary))
     model = Formats({k: infer([v.translate(_TO_CLASS) for v in values], _SIZES)
                      for k, values in sorted(credentials.items()) if len(values) >= MIN_SAMPLE})
     if not model.kinds:
         return model
-    fit, held = ordinary[::2], ordinary[1::2]
-    if fit:
-        model.ordinary = infer([v.translate(_TO_CLASS) for v in fit], _SIZES)
-    model.threshold = MARGIN + max([0.0, *(s for s in map(model.score, held) if s > -math.inf)])
+    plain = _unigram(ordinary)
+    for _ in range(ROUNDS):
+        aside = _unlabelled(credentials, ordinary, plain)
+        ordinary = [t for t in ordinary if t not in aside]
+        fit, held = ordinary[::2], ordinary[1::2]
+        if fit:
+            model.ordinary = infer([v.translate(_TO_CLASS) for v in fit], _SIZES)
+            plain = model.ordinary.log_likelihood
+        if not aside:
+            break
+    scores = sorted((s for s in map(model.score, held) if s > -math.inf), reverse=True)
+    above = int(FALSE_POSITIVES * len(held))
+    model.threshold = MARGIN + max([0.0, *scores[above:above + 1]])
     return model
 
 
+def _unigram(tokens: list[str]) -> Callable[[str], float]:
+    """Log likelihood by the classes' shares alone, which a few tokens of another kind hardly change."""
+    counts = Counter(a for t in tokens for a in t.translate(_TO_CLASS))
+    total = sum(counts.values()) + len(_SIZES) + 1
+    logs = {a: math.log((counts[a] + 1) / total / _SIZES.get(a, 1)) for a in {*counts, *_SIZES}}
+    return lambda symbols: sum(logs.get(a, -math.log(total)) for a in symbols)
+
+
+def _unlabelled(credentials: dict[str, list[str]], ordinary: list[str], plain: Callable[[str], float]) -> set[str]:
+    """Ordinary tokens that are like a kind's credentials, by an automaton of one half of these and the scores of the other.
+
+    A token must prefer the format to ``plain``, no less than all but ``LOW`` of
+    the credentials do, and its sequence of classes must be as likely as theirs.
+    """
+    out: set[str] = set()
+    for values in (sorted(set(v)) for v in credentials.values() if len(v) >= MIN_SAMPLE):
+        half = infer([v.translate(_TO_CLASS) for v in values[::2]], _SIZES)
+
+        def fits(token: str, half: Automaton = half) -> tuple[float, float]:
+            symbols = token.translate(_TO_CLASS)
+            own = half.log_likelihood(symbols, -5.0 * len(token))
+            classes = own + sum(math.log(_SIZES.get(a, 1)) for a in symbols)
+            return (own - max(plain(symbols), -5.0 * len(token))) / len(token), classes / len(token)
+
+        known = [f for f in map(fits, values[1::2]) if f[0] > -math.inf]
+        if known:
+            better, likely = (sorted(x)[int(LOW * len(known))] for x in zip(*known, strict=True))
+            out.update(t for t in ordinary if (f := fits(t))[0] >= max(0.0, better) and f[1] >= likely)
+    return out
+
+
 def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distinct (kind, value) of a batch: credentials by kind, and candidates outside them as ``ordinary``."""
     for rows in batches:

@@ -318,3 +318,24 @@ def test_ibans_end_at_their_country_length():
         assert found[0] == german.replace(" ", "")
     assert found[1:] == ["NL91ABNA0417164300", "GB82WEST12345698765432"]
     assert not [s for s in pii.find("IBAN: DE89 3704 0044 0532 0130 01 BIC") if s[0] == "iban"]
+
+
+def test_bare_credentials_do_not_lift_the_threshold():
+    """Several percent of the long tokens outside base spans are credentials of a learned format."""
+    r = random.Random(11)
+
+    def key():
+        return "sk" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+
+    def word():
+        return "".join(r.choice(["tion", "er", "the", "in", "and", "ous", "ly", "-", "/"]) for _ in range(r.randrange(7, 10)))
+
+    def number():
+        return "".join(r.choice("0123456789") for _ in range(26))
+
+    for share in (0, 10, 30, 60):
+        plain = [word() for _ in range(480 - share)] + [number() for _ in range(32)] + [key() for _ in range(share)]
+        model = secret_scan.train({"assign": [key() for _ in range(300)]}, plain)
+        assert sum(model.is_secret(key()) for _ in range(200)) >= 180
+        assert sum(model.is_secret(word()) for _ in range(200)) <= 2
+        assert sum(model.is_secret(number()) for _ in range(200)) <= 2
