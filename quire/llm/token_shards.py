@@ -16,6 +16,7 @@ each other in order of their text; a null id comes first.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -176,20 +177,21 @@ class Encoder:
     Merges never cross pre-tokens, so a text's ids are those of its pre-tokens
     in turn.  New pre-tokens are handed to the library many at a time, those
     that start with a space one after another and the others a line each; the
-    bytes that each id stands for tell where one ends.  Texts outside Latin-1
-    go to the library whole.
+    bytes that each id stands for tell where one ends.  Texts outside Latin-1,
+    and those that hold an added token's content (such as ``<|endoftext|>``, which
+    gives its one id), go to the library whole.
     """
 
     def __init__(self, model: str, memo_limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
-        self.model.encode_special_tokens = True
+        self.added = [t["content"] for t in json.loads(model)["added_tokens"]]
         self.splitter = Splitter()
         self.memo: dict[str, bytes] = {}
         self.memo_limit = memo_limit
         vocabulary = self.model.get_vocab()
-        self.bits = max(1, (max(len(vocabulary), 2) - 1).bit_length())
+        self.bits = max(1, max(vocabulary.values(), default=0).bit_length())
         self.id_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():         # a byte-level token has one character for every byte
             self.id_bytes[i] = len(token)
@@ -206,8 +208,15 @@ class Encoder:
             for at in range(0, len(group), 2048):
                 self._learn_joined(group[at:at + 2048], between)
 
+    def _holds_added(self, text: str) -> bool:
+        return any(c in text for c in self.added)
+
     def _learn_joined(self, group: list[str], between: str) -> None:
-        ids = self._coded(between.join(group))
+        joined = between.join(group)
+        if self._holds_added(joined):                # made by joining; no piece holds one
+            self.memo.update((p, self._coded(p).tobytes()) for p in group)
+            return
+        ids = self._coded(joined)
         at = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.id_bytes[ids])))
         size = np.array([len(p.encode()) for p in group])
         last = np.cumsum(size + len(between)) - len(between)
@@ -222,7 +231,8 @@ class Encoder:
         """Packed ids of each text."""
         if len(self.memo) > self.memo_limit:
             self.memo.clear()
-        split = [self.splitter.split(t) if t and self.splitter.is_latin(t) else None for t in texts]
+        split = [self.splitter.split(t) if t and self.splitter.is_latin(t) and not self._holds_added(t) else None
+                 for t in texts]
         new = set().union(*(p for p in split if p)).difference(self.memo)
         if new:
             self._learn(new)

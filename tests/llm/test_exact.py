@@ -339,3 +339,14 @@ def test_bare_credentials_do_not_lift_the_threshold():
         assert sum(model.is_secret(key()) for _ in range(200)) >= 180
         assert sum(model.is_secret(word()) for _ in range(200)) <= 2
         assert sum(model.is_secret(number()) for _ in range(200)) <= 2
+
+
+def test_token_shards_equal_the_untouched_library():
+    from quire.llm.token_shards import Encoder
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path) as f:
+        encoder = Encoder(f.read())
+    model = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "中 <|endoftext|>", "plain a b"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert got == [model.encode(t, add_special_tokens=False).ids for t in texts] and got[1] == [50256]
