@@ -212,7 +212,9 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.col("turn") % 2 == 1).alias("price_sensitive"), dfrom.alias("date_from"), dto.alias("date_to"),
                  date_range_days(dfrom, dto).alias("date_range")).alias("query"),
         F.struct(F.col("question").alias("message_text"),
-                 F.concat(F.lit("2024-01-01 00:00:"), F.lpad(F.col("turn").cast("string"), 2, "0")).alias("message_timestamp"),
+                 F.concat(F.lit("2024-01-01 00:00:"),
+                          F.when(F.col("turn") < 100, F.lpad(F.col("turn").cast("string"), 2, "0"))
+                          .otherwise(F.col("turn").cast("string"))).alias("message_timestamp"),
                  F.col("answer").alias("assistant_response")).alias("message"),
         F.struct(F.lit("model-a").alias("chat_model"), F.lit("Generate").alias("chat_mode"),
                  F.length("answer").cast("bigint").alias("tokens_used")).alias("chat_settings"),

@@ -1,5 +1,6 @@
 """Streams started again on a new checkpoint: nothing is lost and nothing is loaded twice."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.sources import fixtures as fx
@@ -36,3 +37,36 @@ def test_csv_log_round_trip(spark, tmp_path):
     records = fx.conversation_records(spark, SF)
     path = sinks.append_conversation_log(records, str(tmp_path / "csv"), "csv")
     assert sinks.read_conversation_log(spark, path, "csv").columns == sinks.LOG_COLUMNS
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_log_keeps_different_records_of_one_timestamp(spark, tmp_path, fmt):
+    one = fx.conversation_records(spark, SF).limit(1).localCheckpoint()
+
+    def record(text, ts):
+        return one.withColumn("message", F.struct(F.lit(text).alias("message_text"),
+                                                  F.lit(ts).cast("string").alias("message_timestamp"),
+                                                  F.lit(" an answer").alias("assistant_response")))
+
+    def batch(*rows):
+        out = record(*rows[0])
+        for r in rows[1:]:
+            out = out.unionByName(record(*r))
+        return out
+
+    first = batch(("a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:01"), ("c", None), ("d", None), ("d", None))
+    path = str(tmp_path / "log")
+    body = windows.log_batch(path, fmt)
+    body(first, 0)
+    body(first, 0)                                                     # a replay
+    windows.log_batch(path, fmt)(first.unionByName(record("e", "2024-01-01 00:00:01")), 0)
+    got = [r.message_text for r in sinks.read_conversation_log(spark, path, fmt).collect()]
+    assert sorted(got) == ["a", "b", "c", "d", "d", "e"]
+
+
+def test_long_conversations_repeat_no_timestamp(spark, tmp_path):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"text {t}") for t in range(1, 261)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    got = fx.conversation_records(spark, str(tmp_path)).select("message.message_timestamp").collect()
+    assert len(got) == len({r.message_timestamp for r in got}) > 100
