@@ -350,3 +350,23 @@ def test_token_shards_equal_the_untouched_library():
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "中 <|endoftext|>", "plain a b"]
     got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
     assert got == [model.encode(t, add_special_tokens=False).ids for t in texts] and got[1] == [50256]
+
+
+def test_licences_in_wrapped_and_short_notices(spark):
+    from quire.llm import licenses
+    plain = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    header = ("# This program is free software: you can redistribute it and/or modify\n"
+              "# it under the terms of the GNU General Public License as published by\n"
+              "# the Free Software Foundation, either version 3 of the License, or\n"
+              "# (at your option) any later version.\n#\nimport os\n")
+    rows = [(1, "# a tool\n#\n" + header, "gpl"), (2, "Licensed under the GNU General Public License v3.0", "gpl"),
+            (3, "x\n\nThe MIT License (MIT)\n\ny", "mit"), (4, "one of the many, to the end of the day\n" * 3, "none"),
+            (5, "Released under the\nMIT License.", "mit"),
+            (6, "any person may use this program free of charge, under the terms of house 7", "none")]
+    hard = [(-i, f"any person may use this program free of charge, under the terms of house {i}\n"
+                 f"member {i} may use the copy of this program under the terms of the house") for i in range(1, 200)]
+    model = licenses.fit(plain.unionByName(spark.createDataFrame(hard, plain.schema)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs, model).collect()}
+    assert {i: x.family for i, x in got.items()} == {r[0]: r[2] for r in rows}
+    assert all(x.n_paragraphs == (x.family != "none") for x in got.values())
