@@ -56,6 +56,17 @@ def read_local(path: str, limit: int = 64 << 20) -> bytes:
         return f.read()
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def per_worker(key: tuple, build):
+    """What ``build()`` makes, kept for the next tasks of this Python worker; a new key takes the old one's place."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow string column as UTF-8 bytes, nulls as empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    bpe, decontam, langid, licenses, minmax_dedup, pii, quality, secret_scan, token_shards, toxicity,
+    bpe, decontam, langid, licenses, minmax_dedup, packing, phrases, pii, quality, secret_scan, token_shards, toxicity,
 )
 from quire.llm.common import documents, id_remainder
 from quire.session import materialize
@@ -92,9 +92,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 ids."""
+    pieces = packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", token_shards.ids_crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 collocations."""
+    return phrases.collocations(documents(spark, sf_dir, "lang", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_minmax_near_dup, op3_token_shards, op4_byte_bpe, op5_quality_rules, op6_decontaminate,
-    op7_toxicity, op8_license_scan, op9_secret_scan, op10_pii)}
+    op7_toxicity, op8_license_scan, op9_secret_scan, op10_pii, op11_packing, op12_phrases)}
 
 #: DuckDB SQL, where SQL can express a query over whole tables.
 SQL: dict[str, str] = {
@@ -124,4 +136,37 @@ least AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.low, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(least.low, d.doc_id)) AS kept
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.doc_id = d.doc_id""",
+    "op12_phrases": r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                  'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+found AS (
+  SELECT lang, phrase, size, count(*) AS f FROM (
+    SELECT lang, s.size, unnest([array_to_string(w[i:i + s.size - 1], ' ') FOR i IN range(1, len(w) - s.size + 2)]) AS phrase
+    FROM words, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(w) >= s.size) t
+  GROUP BY lang, phrase, size HAVING count(*) >= 30),
+cand AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM found WHERE size >= 2),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:size], ' ') AS rest
+  FROM cand, (VALUES (1), (2), (3)) AS c(k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r,
+         CAST((CAST(2000000 AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN found x ON x.lang = c.lang AND x.phrase = c.first JOIN found y ON y.lang = c.lang AND y.phrase = c.rest),
+low AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS most
+  FROM cand, (VALUES (2), (3)) AS m(n), (VALUES (1), (2), (3)) AS s(i) WHERE n < size AND i + n - 1 <= size
+  GROUP BY 1, 2)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM (
+  SELECT low.lang, low.phrase, a, l, r, totals.n, score,
+         row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank
+  FROM low JOIN totals ON totals.lang = low.lang
+  WHERE NOT EXISTS (SELECT 1 FROM inner_parts p WHERE p.lang = low.lang AND p.phrase = low.phrase
+                    AND CAST(100 AS HUGEINT) * p.most >= CAST(80 AS HUGEINT) * low.a)) t
+WHERE rank <= 2000""",
 }
