@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    bpe, decontam, langid, licenses, minmax_dedup, packing, phrases, pii, quality, secret_scan, token_shards, toxicity,
+    alignment, bpe, decontam, langid, licenses, minmax_dedup, packing, phrases, pii, quality, secret_scan, token_shards, toxicity,
 )
 from quire.llm.common import documents, id_remainder
 from quire.session import materialize
@@ -104,9 +104,16 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir, "lang", "text"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens under a byte-level and a sentence-piece vocabulary."""
+    return alignment.link_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_minmax_near_dup, op3_token_shards, op4_byte_bpe, op5_quality_rules, op6_decontaminate,
-    op7_toxicity, op8_license_scan, op9_secret_scan, op10_pii, op11_packing, op12_phrases)}
+    op7_toxicity, op8_license_scan, op9_secret_scan, op10_pii, op11_packing, op12_phrases,
+    op13_alignment)}
 
 #: DuckDB SQL, where SQL can express a query over whole tables.
 SQL: dict[str, str] = {
