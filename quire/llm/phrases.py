@@ -42,8 +42,8 @@ SUPPORT = 30
 LONGEST = 4
 SHARDS = 6
 FILTER_BITS = 27            # the bitmap has 2**27 bits: 16 MB
-BLOCK_WORDS = 1 << 21       # words of a language that are counted together in a task
-KEPT_COUNTS = 1 << 23       # counts that a task holds before it hands them on
+BLOCK_WORDS = 1 << 20       # words of a language that are counted together in a task
+KEPT_COUNTS = 1 << 20       # counts that a task holds before it hands them on
 NO_LANGUAGE = "und"
 
 # Capitals that are lowered, and the characters that end a piece.
@@ -57,7 +57,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 class Words:
     """Small codes of words, from 1; 0 is the end of a piece."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.clear()
 
@@ -209,11 +209,14 @@ def mine(texts: DataFrame, support: int, longest: int, shards: int, bits: int) -
 
         def out() -> Iterator[pa.RecordBatch]:
             """A row for every bucket; the top bits of a hash are its bucket."""
-            keys, sums = _summed(np.concatenate(hashes), np.concatenate(counts))
+            keys, sums = np.concatenate(hashes), np.concatenate(counts)
+            hashes.clear()
+            counts.clear()
+            order = np.argsort(keys)
+            keys, sums = keys[order], sums[order]
             edges = np.searchsorted(keys, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits))
             edges = np.append(edges, len(keys)).tolist()
             filled = [b for b in range(1 << bucket_bits) if edges[b] < edges[b + 1]]
-            sums = np.minimum(sums, support).astype(kind)       # the support itself is all a count has to show
             for k in range(0, len(filled), 256):
                 some = filled[k:k + 256]
                 yield pa.RecordBatch.from_pydict({
@@ -225,11 +228,11 @@ def mine(texts: DataFrame, support: int, longest: int, shards: int, bits: int) -
             seed = _language_hash(language)
             for n, at, found in counted(codes, longest):
                 hashes.append(phrase_hashes(table.hashes, codes, at, n, seed))
-                counts.append(found.astype(np.int64))
+                counts.append(np.minimum(found, support).astype(kind))      # the support itself is all a count has to show
                 size += len(at)
             if size >= KEPT_COUNTS:
                 yield from out()
-                hashes, counts, size = [], [], 0
+                size = 0
         if size:
             yield from out()
 
