@@ -6,40 +6,42 @@ A request matches an announcement when tickers are equal, the date lies in the
 closed window, the price flag (if set) holds, and the type string matches one
 of the request's *known* taxonomy labels (no known label -> no type filter).
 
-Joining requests to announcements directly evaluates every request of a ticker
-against every announcement of that ticker: quadratic, and a hot ticker lands in
-one task.  Instead we group both sides into equivalence classes:
+Joining requests to announcements on the ticker evaluates every request of a
+ticker against every announcement of it: quadratic, and a hot ticker lands in
+one task.  Instead
 
 * a request **spec** is (ticker, date_from, date_to, ps, kmask) where kmask is
-  the bit mask of known labels; many requests share one spec;
-* the window boundaries of all specs of a ticker cut the calendar into
-  **segments**; every announcement in one segment is on the same side of every
-  boundary, so an announcement **class** (ticker, seg, aps, amask) either wholly
-  matches a spec or not.
-
-``spec_class`` (specs x classes of the same ticker) is small: its size is
-bounded by distinct specs and calendar segments, not by row counts.  Only the
-final output joins classes back to announcements, producing genuine matches.
-The segment lookup runs a window over *distinct (ticker, day)* rows, which the
-calendar bounds regardless of data volume.
+  the bit mask of known labels; many requests may share one spec;
+* the window boundaries of all specs of a ticker cut the calendar into numbered
+  **segments**; announcements of one **class** (ticker, seg, aps, amask) match a
+  spec all or none;
+* windows become a few **pieces** of segments each (:mod:`quire.operators.cover`),
+  so specs and classes meet in an equi-join on (ticker, piece), and counts and
+  first requests are summed per piece before it.  A spec has at most 6 pieces
+  for every fourfold of its segments, however many windows there are.
+
+Nothing is joined on the ticker alone.  Only the final output joins classes
+back to announcements, producing genuine matches.  Segments are numbered by a
+window over *distinct (ticker, day)* rows, which the calendar bounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.taxonomy import label_mask, known_mask, type_predicate
 from quire.functions.text import selected_types
+from quire.operators.cover import PIECE, cover, holders
 from quire.session import materialize
 
 ANN_COLUMNS = ["ticker", "url", "key", "announcement_types"]
 SPEC = ["ticker", "date_from", "date_to", "ps", "kmask"]
 CLASS = ["ticker", "seg", "aps", "amask"]
-_BEFORE_ALL = "0001-01-01"
+MEET = ["ticker", *PIECE]       # where specs and classes meet
 
 
 @dataclass(frozen=True)
@@ -132,35 +134,27 @@ def _spec_table(spec_rows: DataFrame) -> DataFrame:
                            & F.col("date_to").isNotNull()).select(*SPEC).distinct()
 
 
-def classify_announcements(ann: DataFrame, specs: DataFrame) -> DataFrame:
-    """Tag each announcement with its class columns (seg, aps, amask).
+def _calendar(specs: DataFrame, ann: DataFrame) -> DataFrame:
+    """(ticker, d, edge, seg): windows' edges with their number, days of announcements with their segment.
 
-    Announcements of tickers no spec asks about are dropped early (semi join
-    on the distinct spec tickers).
+    Segment q is the days from edge q up to the day before edge q + 1.
     """
-    tickers = specs.select("ticker").distinct()
-    a = ann.join(tickers, "ticker", "left_semi").where(F.col("date").isNotNull())
-    bounds = (specs.select("ticker", F.explode(F.array(F.col("date_from"), F.date_add(F.col("date_to"), 1))).alias("d"))
-              .distinct())
-    days = a.select("ticker", F.col("date").alias("d")).distinct()
-    u = (days.select("ticker", "d", F.lit(1).alias("kind"), F.lit(None).cast("date").alias("b"))
-         .unionByName(bounds.select("ticker", "d", F.lit(0).alias("kind"), F.col("d").alias("b"))))
-    w = Window.partitionBy("ticker").orderBy("d", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    day_seg = (u.withColumn("seg", F.last("b", ignorenulls=True).over(w))
-               .where(F.col("kind") == 1)
-               .select("ticker", F.col("d").alias("date"),
-                       F.coalesce(F.col("seg"), F.lit(_BEFORE_ALL).cast("date")).alias("seg")))
-    return (a.join(day_seg, ["ticker", "date"])
-            .withColumn("aps", F.coalesce(F.col("is_price_sensitive"), F.lit(False)))
-            .withColumn("amask", label_mask(F.col("announcement_types"))))
-
-
-def spec_class_match(specs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Which class matches which spec (both sides small and de-duplicated)."""
-    cond = (F.col("seg").between(F.col("date_from"), F.col("date_to"))
-            & (~F.col("ps") | F.col("aps"))
-            & ((F.col("kmask") == 0) | ((F.col("amask").bitwiseAND(F.col("kmask"))) != 0)))
-    return specs.join(classes, "ticker").where(cond)
+    edges = (specs.select("ticker", F.explode(F.array(F.col("date_from"), F.date_add(F.col("date_to"), 1))).alias("d"))
+             .distinct().withColumn("edge", F.lit(1)))
+    days = ann.select("ticker", F.col("date").alias("d")).distinct().withColumn("edge", F.lit(0))
+    upto = Window.partitionBy("ticker").orderBy("d", F.desc("edge")).rowsBetween(Window.unboundedPreceding, 0)
+    return edges.unionByName(days).withColumn("seg", F.sum("edge").over(upto).cast("int"))
+
+
+def matching(flag: str = "ps", mask: str = "kmask") -> Column:
+    """Price flag and labels of a spec against those of a class."""
+    return ((~F.col(flag) | F.col("aps"))
+            & ((F.col(mask) == 0) | (F.col("amask").bitwiseAND(F.col(mask)) != 0)))
+
+
+def with_pieces(classes: DataFrame) -> DataFrame:
+    """A row for every piece that holds the class's segment."""
+    return classes.select("*", F.inline(holders(F.col("seg"))))
 
 
 @dataclass
@@ -168,37 +162,66 @@ class MatchPlan:
     """Intermediate tables shared by JN-2, AGG-1, AGG-2, WIN-7 and R-4."""
     requests: DataFrame      # requests with spec columns
     ann: DataFrame           # announcements with class columns
-    spec_class: DataFrame    # SPEC + CLASS + n (announcements in the class)
+    specs: DataFrame         # SPEC + seg_from, seg_end: the segments of the window are seg_from .. seg_end - 1
+
+    def classes(self, *more: str) -> DataFrame:
+        """CLASS and further columns with ``n``, the announcements of each."""
+        return self.ann.groupBy(*CLASS, *more).agg(F.count(F.lit(1)).alias("n"))
+
+    def spec_pieces(self) -> DataFrame:
+        """SPEC + PIECE: the pieces of each spec's window."""
+        return self.specs.select(*SPEC, F.inline(cover(F.col("seg_from"), F.col("seg_end"))))
+
+    def counts(self, *more: str) -> DataFrame:
+        """SPEC (and ``more`` columns of announcements) with ``n``, the matching announcements.
+
+        Announcements are counted per piece first, so the join has a row for
+        every piece of a spec and kind of announcement in it, whatever their number.
+        """
+        kind = [*MEET, "aps", "amask", *more]
+        pieces = with_pieces(self.classes(*more)).groupBy(*kind).agg(F.sum("n").alias("n"))
+        return (self.spec_pieces().join(pieces, MEET).where(matching())
+                .groupBy(*SPEC, *more).agg(F.sum("n").alias("n")))
+
+    @cached_property
+    def spec_class(self) -> DataFrame:
+        """SPEC + CLASS + n: the classes that each spec matches, each once."""
+        return (self.spec_pieces().join(with_pieces(self.classes()), MEET).where(matching())
+                .select(*SPEC, *CLASS[1:], "n"))
 
 
 def plan_matches(requests: DataFrame, ann: DataFrame, write: bool = True) -> MatchPlan:
-    """Build the shared class tables.
-
-    ``specs`` and ``spec_class`` are bounded by distinct specs x calendar
-    segments (not by row counts).  The classified announcements and
-    ``spec_class`` feed several consumers (class sizes, salts, the expansion,
-    counts), so with ``write`` they are written once under the shared
-    checkpoint folder and read back: consumers stop recomputing the
-    announcement joins and windows, plans stay small (driver planning time
-    was a large share at sf0.1), and a lost executor re-reads files instead
-    of recomputing upstream stages.  Measured at sf0.1 (build + run): ledger
-    26 -> 15 s, R-4 12.5 -> 10.8 s, AGG-1 8.3 -> 6.5 s.
+    """Build the shared tables.
+
+    The classified announcements and the specs feed several consumers, so with
+    ``write`` they are written once under the shared checkpoint folder and read
+    back: consumers stop recomputing the announcement joins and windows, plans
+    stay small, and a lost executor re-reads files instead of recomputing
+    upstream stages.
     """
     req = with_spec(requests)
     specs = _spec_table(req)
-    ann_c = classify_announcements(ann, specs)
+    a = ann.join(specs.select("ticker").distinct(), "ticker", "left_semi").where(F.col("date").isNotNull())
+    calendar = _calendar(specs, a)
     if write:
-        ann_c = materialize(ann_c, "ann-classes")
-    classes = ann_c.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"))
-    sc = spec_class_match(specs, classes)
+        calendar = materialize(calendar, "calendar")
+    edges = calendar.where("edge = 1")
+    numbered = (specs
+                .join(edges.select("ticker", F.col("d").alias("date_from"), F.col("seg").alias("seg_from")), ["ticker", "date_from"])
+                .withColumn("_after", F.date_add("date_to", 1))
+                .join(edges.select("ticker", F.col("d").alias("_after"), F.col("seg").alias("seg_end")), ["ticker", "_after"])
+                .select(*SPEC, "seg_from", "seg_end"))
+    ann_c = (a.join(calendar.where("edge = 0").select("ticker", F.col("d").alias("date"), "seg"), ["ticker", "date"])
+             .withColumn("aps", F.coalesce(F.col("is_price_sensitive"), F.lit(False)))
+             .withColumn("amask", label_mask(F.col("announcement_types"))))
     if write:
-        sc = materialize(sc, "spec-class")
-    return MatchPlan(req, ann_c, sc)
+        ann_c, numbered = materialize(ann_c, "ann-classes"), materialize(numbered, "specs")
+    return MatchPlan(req, ann_c, numbered)
 
 
 def expand_classes(rows: DataFrame, members: DataFrame, sizes: DataFrame,
-                   target_rows: int = 1_000_000, on: list = CLASS) -> DataFrame:
-    """Join class-level ``rows`` to the announcements (``members``, with ``key``) of their class.
+                   target_rows: int = 1_000_000, on: list = CLASS, salt_by: str = "key") -> DataFrame:
+    """Join class-level ``rows`` to the announcements (``members``) of their class.
 
     This is the one join whose output (rows of a class x members of the
     class) is far larger than its inputs.  Left alone, adaptive execution
@@ -206,7 +229,7 @@ def expand_classes(rows: DataFrame, members: DataFrame, sizes: DataFrame,
     hot class lands in one task.  So each class is cut into ``_s`` salt
     buckets from its expected output (``rows x n / target_rows``, ``n`` from
     ``sizes``, at most the shuffle-partition count): a member goes to one
-    bucket by key hash, a class row is copied to each bucket.  Both sides are
+    bucket by the hash of ``salt_by``, a class row is copied to each bucket.  Both sides are
     repartitioned explicitly to the configured shuffle partitions, which
     adaptive execution keeps, so the expansion runs on every core.  ``on``
     names the class columns (default :data:`CLASS`).
@@ -220,7 +243,7 @@ def expand_classes(rows: DataFrame, members: DataFrame, sizes: DataFrame,
     keys = [*on, "_salt"]
     r = (rows.join(salts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
          .drop("_s"))
-    m = (members.join(salts, on).withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("_s")).cast("int"))
+    m = (members.join(salts, on).withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.col("_s")).cast("int"))
          .drop("_s"))
     return r.repartition(nparts, *keys).join(m.repartition(nparts, *keys), keys).drop("_salt")
 
@@ -231,5 +254,6 @@ def match_requests(requests: DataFrame, ann: DataFrame, plan: MatchPlan | None =
     Output: request columns + ``key``, ``url``, ``announcement_types``, ``date``.
     """
     p = plan or plan_matches(requests, ann)
-    req_cls = p.requests.join(p.spec_class.select(*SPEC, *CLASS), SPEC)
-    return expand_classes(req_cls, p.ann.select(*CLASS, "key", "url", "announcement_types", "date"), p.spec_class)
+    matched = materialize(p.spec_class, "spec-class")
+    req_cls = p.requests.join(matched.select(*SPEC, *CLASS[1:]), SPEC)
+    return expand_classes(req_cls, p.ann.select(*CLASS, "key", "url", "announcement_types", "date"), p.classes())

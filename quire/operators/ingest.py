@@ -9,22 +9,27 @@ SNK-2  build_manifests   bounded JSON manifests of keys per shipping request
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.hashing import query_hash
 from quire.functions.text import store_name
-from quire.operators.filters import SPEC, MatchPlan, expand_classes, plan_matches, with_spec
+from quire.operators.cover import cover
+from quire.operators.filters import (
+    MEET, SPEC, MatchPlan, expand_classes, matching, plan_matches, with_pieces, with_spec,
+)
 from quire.operators.scan import ordered_scan
 from quire.session import materialize
 
 INITIAL, CHANGED, SAME, NO_TICKER = "Initial setup", "Query changed", "No changes", "No ticker selected"
 _ORDER = ["ts", "request_id"]
 KEYS = ["ticker", "kg"]
+_OUT_ROWS = 16384       # shipped rows in an Arrow batch that leaves the fold
 
 
 def detect_change(requests: DataFrame, split: bool = True) -> DataFrame:
@@ -78,42 +83,56 @@ class KeyPlan:
 
     Keys whose rows fall into the same classes form a *key group*; a spec
     matches all keys of a group or none.  ``keys``: (ticker, kg, key), one row
-    per key; ``specs``: (spec columns, kg, n), the groups a spec matches and
-    their number of keys.
+    per key; ``groups``: (ticker, kg, n), the keys of each group; ``pieces``: a row
+    for every piece that holds a class of the group, (ticker, piece, aps, amask, kg).
     """
 
     keys: DataFrame
-    specs: DataFrame
+    groups: DataFrame
+    pieces: DataFrame
+    plan: MatchPlan
+
+    def spec_groups(self) -> DataFrame:
+        """SPEC + kg: the key groups each spec matches, each once."""
+        return (self.plan.spec_pieces().join(self.pieces, MEET).where(matching())
+                .select(*SPEC, "kg").distinct())
+
+    def in_pieces(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with SPEC) copied to the pieces of their windows."""
+        return rows.join(self.plan.specs, SPEC).select(*rows.columns, F.inline(cover(F.col("seg_from"), F.col("seg_end"))))
 
 
 def plan_keys(p: MatchPlan) -> KeyPlan:
     """Key groups of a match plan; the class set of a key is bounded by its own rows."""
-    cls = F.concat_ws("|", F.col("seg").cast("string"), F.col("aps").cast("string"), F.col("amask").cast("string"))
+    cls = F.struct("seg", "aps", "amask")
     sets = (p.ann.select("ticker", "key", cls.alias("cls")).groupBy("ticker", "key")
             .agg(F.sort_array(F.collect_set("cls")).alias("classes")))
-    keys = materialize(sets.withColumn("kg", F.md5(F.array_join("classes", ","))), "keys")
+    keys = materialize(sets.withColumn("kg", F.md5(F.to_json("classes"))), "keys")
     groups = keys.groupBy("ticker", "kg").agg(F.count(F.lit(1)).alias("n"), F.first("classes").alias("classes"))
-    member = groups.select("ticker", "kg", "n", F.explode("classes").alias("cls"))
-    specs = (p.spec_class.withColumn("cls", cls).select(*SPEC, "cls").join(member, ["ticker", "cls"])
-             .select(*SPEC, "kg", "n").distinct())
-    return KeyPlan(keys.select("ticker", "kg", "key"), materialize(specs, "spec-keys"))
+    pieces = with_pieces(groups.select("ticker", "kg", F.inline("classes"))).select(*MEET, "aps", "amask", "kg")
+    return KeyPlan(keys.select("ticker", "kg", "key"), groups.select("ticker", "kg", "n"), pieces, p)
 
 
-def first_loads(requests: DataFrame, ann: DataFrame, scope: str = "session", plan: MatchPlan | None = None,
-                keys: KeyPlan | None = None) -> DataFrame:
-    """Grow-mode ledger per key group: first (ts, request_id) per (group, key group).
+def _first_of(rows: DataFrame, k: KeyPlan, g: list, column: str) -> DataFrame:
+    """The least (ts, request_id) of each (group, key group) among the requests whose windows hold it.
 
-    Requests are first reduced to one row per (group, spec) (the earliest), so
-    the join touches groups x specs x key groups, never documents.
+    Requests are reduced to their earliest per (group, spec) and per (group,
+    piece, flag, labels) before they meet the key groups in the pieces.
     """
+    kind = [c for c in [*MEET, "ps", "kmask"] if c not in g]
+    first = rows.groupBy(*g, *[c for c in SPEC if c not in g]).agg(F.min(F.struct(*_ORDER)).alias(column))
+    covered = k.in_pieces(first).groupBy(*g, *kind).agg(F.min(column).alias(column))
+    sizes = k.pieces.groupBy(*MEET).agg(F.count(F.lit(1)).alias("n"))
+    met = expand_classes(covered, k.pieces, sizes, on=MEET, salt_by="kg").where(matching())
+    return met.groupBy(*g, *[c for c in KEYS if c not in g]).agg(F.min(column).alias(column))
+
+
+def first_loads(requests: DataFrame, ann: DataFrame, scope: str = "session", plan: MatchPlan | None = None,
+                keys: KeyPlan | None = None) -> DataFrame:
+    """Grow-mode ledger per key group: first (ts, request_id) per (group, key group), and the group's keys ``n``."""
     changed = with_spec(_changed(requests))
     k = keys or plan_keys(plan or plan_matches(changed, ann))
-    g = _group_cols(scope)
-    first = (changed.groupBy(*g, *[c for c in SPEC if c not in g])
-             .agg(F.min(F.struct(*_ORDER)).alias("first")))
-    return (first.join(k.specs, SPEC)
-            .groupBy(*g, *[c for c in KEYS if c not in g])
-            .agg(F.min("first").alias("first"), F.first("n").alias("n")))
+    return _first_of(changed, k, _group_cols(scope), "first").join(k.groups, KEYS)
 
 
 def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope: str = "session",
@@ -123,7 +142,7 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
     ``grow`` (default, relational): a key is shipped once, by the first changed
     request of its group whose filter matches it.  ``faithful``: the reference's
     order-dependent fold (an empty increment re-ships the whole matched set and
-    *replaces* the loaded set), run per group in pandas over key groups only.
+    *replaces* the loaded set), run as one pass per group over key groups only.
     A key that stands in several announcement rows is one key.
 
     ``ack_col`` (grow mode, fixes Q5): a boolean column saying whether the
@@ -140,7 +159,7 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
         changed = _changed(requests)
         k = plan_keys(plan or plan_matches(changed, ann))
         cf = first_loads(changed, ann, scope, keys=k)
-        return (expand_classes(cf, k.keys, k.specs, on=KEYS)
+        return (expand_classes(cf.drop("n"), k.keys, k.groups, on=KEYS)
                 .select(*g, "key", F.col("first.request_id").alias("request_id"), F.col("first.ts").alias("ts")))
     if mode == "faithful":
         return _faithful_ledger(requests, ann, g, plan)
@@ -148,82 +167,99 @@ def load_ledger(requests: DataFrame, ann: DataFrame, mode: str = "grow", scope:
 
 
 def _acked_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPlan | None, ack_col: str) -> DataFrame:
+    """Every attempt to ship a key group up to its first acknowledged one.
+
+    The first acknowledged request of every (group, key group) is found by
+    minima per piece.  No other acknowledged request ships the group, so only
+    the unacknowledged ones are matched one by one; where all that a piece has
+    for them was acknowledged before, they are dropped unmatched.
+    """
     changed = with_spec(_changed(requests))
     k = plan_keys(plan or plan_matches(changed, ann))
-    rest_spec = [c for c in SPEC if c not in g]
     rest = [c for c in KEYS if c not in g]
-    acked = (changed.where(F.coalesce(F.col(ack_col), F.lit(False)))
-             .groupBy(*g, *rest_spec).agg(F.min(F.struct(*_ORDER)).alias("fa")))
-    first_acked = acked.join(k.specs, SPEC).groupBy(*g, *rest).agg(F.min("fa").alias("fa"))
-    # requests x matched key groups: bounded by requests x groups, never by documents
-    matched = changed.select(*g, *rest_spec, *_ORDER).join(k.specs, SPEC)
-    attempts = (matched.join(first_acked, g + rest, "left")
-                .where(F.col("fa").isNull() | (F.struct(*_ORDER) <= F.col("fa"))))
-    return (expand_classes(attempts.drop("n"), k.keys, k.specs, on=KEYS)
+    acked = F.coalesce(F.col(ack_col), F.lit(False))
+    fa = materialize(_first_of(changed.where(acked), k, g, "fa"), "first-acked")
+    sizes = k.pieces.groupBy(*MEET).agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(*_ORDER)
+
+    tries = k.in_pieces(changed.where(~acked).select(*g, *[c for c in SPEC if c not in g], *_ORDER))
+    kind = [*g, *[c for c in [*MEET, "ps", "kmask"] if c not in g]]
+    late = (expand_classes(tries.select(*kind).distinct(), k.pieces, sizes, on=MEET, salt_by="kg").where(matching())
+            .join(fa, g + rest, "left").groupBy(*kind)
+            .agg(F.max("fa").alias("late"), (F.count("fa") < F.count(F.lit(1))).alias("open")))
+    tries = tries.join(late, kind).where(F.col("open") | (order < F.col("late"))).drop("late", "open")
+    met = (expand_classes(tries, k.pieces, sizes, on=MEET, salt_by="kg").where(matching())
+           .select(*g, *rest, *_ORDER).distinct())
+    unacked = met.join(fa, g + rest, "left").where(F.col("fa").isNull() | (order < F.col("fa"))).drop("fa")
+    attempts = unacked.unionByName(fa.select(*g, *rest, "fa.*"))
+    return (expand_classes(attempts, k.keys, k.groups, on=KEYS)
             .select(*g, "key", "request_id", "ts"))
 
 
-def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential ledger fold for one group; rows are (request, matched key group).
+def fold_faithful(batches: Iterator[pa.RecordBatch], n_group: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sequential ledger fold over rows (group columns, ts, request_id, kg) in that order.
 
-    One stable sort by (ts, request_id), then a single linear pass: rows of
-    one request are adjacent, so each request's matched classes are read
-    off a run of rows (no per-request pandas grouping).
+    Rows of a request are adjacent and so are requests of a group.  What is
+    held is the loaded set of one group and the matched key groups of one
+    request; shipped rows leave in batches.  An increment is shipped and added;
+    without one, the whole matched set is shipped and *replaces* the loaded set.
     """
-    order = np.lexsort((pdf["request_id"].to_numpy(), pdf["ts"].to_numpy()))
-    rids = pdf["request_id"].to_numpy()[order]
-    clss = pdf["cls"].to_numpy()[order]
-    out_r, out_c = [], []
-    loaded_set: set = set()
-    i, n = 0, len(rids)
-    while i < n:
-        j = i
-        while j < n and rids[j] == rids[i]:
-            j += 1
-        matched = list(dict.fromkeys(c for c in clss[i:j] if c is not None))
-        inc = [c for c in matched if c not in loaded_set]
-        if inc:
-            ship = inc
-            loaded_set.update(inc)
-        elif matched:
-            ship = matched
-            loaded_set = set(matched)
+    group = request = None
+    loaded: set = set()
+    matched: dict = {}
+    shipped: list[tuple] = []
+
+    def step() -> None:
+        nonlocal loaded
+        ship = [c for c in matched if c not in loaded] or list(matched)
+        if all(c in loaded for c in ship):
+            loaded = set(ship) if ship else loaded
         else:
-            ship = []
-        out_r.extend([rids[i]] * len(ship))
-        out_c.extend(ship)
-        i = j
-    return pd.DataFrame({"request_id": pd.array(out_r, dtype="int64"), "cls": pd.array(out_c, dtype=object)})
+            loaded.update(ship)
+        shipped.extend((*group, *request, c) for c in ship)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n_group] != group or row[n_group:-1] != request:
+                if request is not None:
+                    step()
+                if row[:n_group] != group:
+                    group, loaded = row[:n_group], set()
+                request, matched = row[n_group:-1], {}
+            if row[-1] is not None:
+                matched[row[-1]] = None
+            if len(shipped) >= _OUT_ROWS:
+                yield _batch(shipped, out)
+                shipped = []
+    if request is not None:
+        step()
+    if shipped:
+        yield _batch(shipped, out)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
 def _faithful_ledger(requests: DataFrame, ann: DataFrame, g: list, plan: MatchPlan | None) -> DataFrame:
+    """The fold, in one pass over partitions sorted by group and time.
+
+    A group is folded by one task, as each step depends on the one before, but
+    as a stream: the sort spills, and no group is ever held whole.
+    """
     changed = with_spec(_changed(requests))
     k = plan_keys(plan or plan_matches(changed, ann))
-    # every changed request appears (cls NULL when it matches nothing) so empty steps are seen
-    req_cls = (changed.select(*g, *_ORDER, *[c for c in SPEC if c not in g])
-               .join(k.specs, SPEC, "left")
-               .select(*g, "ts", "request_id", F.col("kg").alias("cls")))
-    schema = "request_id bigint, cls string"
-    # the fold's input is small in bytes but heavy in Python work.  Left to
-    # itself the grouping reuses the change-detection shuffle, which adaptive
-    # execution coalesces into one task.  An explicit repartition on a bucket
-    # column ``_h`` (a function of the group keys, so grouping by (_h, group)
-    # keeps the groups whole) is kept as is and spreads groups over all cores.
+    # every changed request appears (kg null when it matches nothing) so empty steps are seen
+    met = (changed.select(*g, *_ORDER, *[c for c in SPEC if c not in g])
+           .join(k.spec_groups(), SPEC, "left").select(*g, *_ORDER, "kg"))
+    n, schema = len(g), to_arrow_schema(met.schema)
+    # light in bytes and heavy in Python work: an explicit repartition, which adaptive execution keeps
     nparts = int(changed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = req_cls.withColumn("_h", F.pmod(F.xxhash64(*g), F.lit(nparts)))
-    shipped = (bucketed.repartition(nparts, "_h").groupBy("_h", *g)
-               .applyInPandas(lambda key, pdf: _fold_group(pdf).assign(**dict(zip(g, key[1:])))[["request_id", "cls", *g]],
-                              f"{schema}, " + ", ".join(f"{c} {t}" for c, t in _group_types(req_cls, g))))
+    folded = (met.repartition(nparts, *g).sortWithinPartitions(*g, *_ORDER)
+              .mapInArrow(lambda batches: fold_faithful(batches, n, schema), met.schema))
     # written once: the expansion reads it twice (class counts and rows)
-    shipped = materialize(shipped, "faithful-shipped")
-    req_ts = changed.select("request_id", "ts")
-    return (expand_classes(shipped.withColumnRenamed("cls", "kg"), k.keys, k.specs, on=KEYS).join(req_ts, "request_id")
-            .select(*g, "key", "request_id", "ts"))
-
-
-def _group_types(df: DataFrame, cols: list):
-    types = dict(df.dtypes)
-    return [(c, types[c]) for c in cols]
+    shipped = materialize(folded, "faithful-shipped")
+    return expand_classes(shipped, k.keys, k.groups, on=KEYS).select(*g, "key", "request_id", "ts")
 
 
 def doc_counts(requests: DataFrame, ann: DataFrame, scope: str = "session",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.taxonomy import labels_array
-from quire.operators.filters import CLASS, SPEC, MatchPlan, plan_matches
+from quire.operators.filters import SPEC, MatchPlan, plan_matches
 
 
 def type_counts_matched(matched: DataFrame, by=("request_id",)) -> DataFrame:
@@ -17,21 +17,17 @@ def type_counts_matched(matched: DataFrame, by=("request_id",)) -> DataFrame:
 def type_counts(requests: DataFrame, ann: DataFrame, plan: MatchPlan | None = None) -> DataFrame:
     """AGG-1 for many requests without materialising request x announcement pairs.
 
-    Counts are taken per (class, type string), summed per spec, then attached
-    to each request by its spec: work is bounded by classes and specs.
+    Counts are taken per (piece, type string), summed over the pieces of each
+    spec, then attached to each request by its spec.
     """
     p = plan or plan_matches(requests, ann)
-    class_types = p.ann.groupBy(*CLASS, "announcement_types").agg(F.count(F.lit(1)).alias("c"))
-    spec_types = (p.spec_class.select(*SPEC, *CLASS).join(class_types, CLASS)
-                  .groupBy(*SPEC, "announcement_types").agg(F.sum("c").alias("n")))
-    return p.requests.join(spec_types, SPEC).select("request_id", "announcement_types", "n")
+    return p.requests.join(p.counts("announcement_types"), SPEC).select("request_id", "announcement_types", "n")
 
 
 def matched_counts(requests: DataFrame, ann: DataFrame, plan: MatchPlan | None = None) -> DataFrame:
     """Number of matched announcements per request (0 for requests matching none)."""
     p = plan or plan_matches(requests, ann)
-    per_spec = p.spec_class.groupBy(*SPEC).agg(F.sum("n").alias("n_matched"))
-    return (p.requests.join(per_spec, SPEC, "left")
+    return (p.requests.join(p.counts().withColumnRenamed("n", "n_matched"), SPEC, "left")
             .select("request_id", F.coalesce(F.col("n_matched"), F.lit(0)).cast("bigint").alias("n_matched")))
 
 

@@ -64,7 +64,7 @@ def test_faithful_fold_keeps_its_partitions(spark):
         ingest.load_ledger(fx.requests(spark, SF), fx.announcements(spark, SF), mode="faithful")
     finally:
         ingest.materialize = orig
-    assert seen and "REPARTITION_BY_NUM" in seen[0] and "FlatMapGroupsInPandas" in seen[0]
+    assert seen and "REPARTITION_BY_NUM" in seen[0] and "MapInArrow" in seen[0]
 
 
 def test_chunking_needs_no_exchange(spark):
