@@ -87,13 +87,14 @@ def select_keys(matched: DataFrame, by=("request_id",), as_list: bool = False, m
     return b.groupBy(*by, "batch_no").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def normalise_window(requests: DataFrame, as_of: str, default_days: int = 180,
+def normalise_window(requests: DataFrame, as_of: str | Column, default_days: int = 180,
                      max_days: int = 365) -> DataFrame:
     """FLT-6: default from = as_of - 180 d, to = as_of; both clamped to [as_of - 365 d, as_of].
 
-    ``as_of`` is a parameter (never the wall clock) so results repeat.
+    ``as_of`` is a parameter (never the wall clock) so results repeat: a date for
+    all requests, or a column with each request's own day.
     """
-    a = F.lit(as_of).cast("date")
+    a = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
     lo = F.date_sub(a, max_days)
 
     def clamp(c: Column) -> Column:

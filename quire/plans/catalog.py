@@ -77,7 +77,40 @@ def r4_refresh_types(spark: SparkSession, sf: str) -> DataFrame:
     return refresh.refresh_type_counts(fx.requests(spark, sf), fx.announcements(spark, sf), AS_OF)
 
 
+# ---- a whole market: companies that grow with the data, windows of all lengths that end at each request's day ----
+def _market(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return filters.normalise_window(fx.market_requests(spark, sf), F.col("as_of")), fx.filings(spark, sf)
+
+
+def jn2_market_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.match_requests(*_market(spark, sf)).select("request_id", "key")
+
+
+def agg1_market_types(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.type_counts(*_market(spark, sf))
+
+
+def agg2_market_new_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.doc_counts(*_market(spark, sf))
+
+
+def r4_market_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship plan with the default windows of FLT-6, each at its request's day."""
+    return refresh.refresh_plan(fx.market_requests(spark, sf), fx.filings(spark, sf), max_keys=MAX_KEYS, as_of=F.col("as_of"))
+
+
+def win7_market_ack(spark: SparkSession, sf: str) -> DataFrame:
+    """Acknowledged ledger of the market, a store for every company: one ledger for all sessions."""
+    r, a = _market(spark, sf)
+    return ingest.load_ledger(r, a, mode="grow", scope="store", ack_col="ack").select("ticker", "key", "request_id")
+
+
 QUERIES = {
+    "jn2_market_requests": jn2_market_requests,
+    "agg1_market_types": agg1_market_types,
+    "agg2_market_new_docs": agg2_market_new_docs,
+    "r4_market_refresh": r4_market_refresh,
+    "win7_market_ack": win7_market_ack,
     "flt_select_announcements": flt_select_announcements,
     "agg1_single_request": agg1_single_request,
     "win4_detect_change": win4_detect_change,

@@ -500,15 +500,79 @@ SQL.update({
 })
 
 
-SQL["win7_ledger_ack"] = _q(f"""
-SELECT p.session_id, p.ticker, p.key, p.request_id FROM pairs p
-LEFT JOIN (SELECT session_id, ticker, key, ts AS ats, request_id AS arid FROM (
-    SELECT *, row_number() OVER (PARTITION BY session_id, ticker, key ORDER BY ts, request_id) AS rn
-    FROM pairs WHERE ack) WHERE rn = 1) a
-  ON a.session_id = p.session_id AND a.ticker = p.ticker AND a.key = p.key
-WHERE a.ats IS NULL OR p.ts < a.ats OR (p.ts = a.ats AND p.request_id <= a.arid)""",
-                            "announcements", "requests", extra=MARKED + """,
+# ---- matching with label masks, so that no pattern is tried on pairs -------------------------------
+_AMASK = " + ".join(f"CASE WHEN coalesce(regexp_matches(announcement_types, {_sq(pat)}, 'i'), false) THEN {1 << i} ELSE 0 END"
+                    for i, (_, pat) in enumerate(TAXONOMY))
+_KMASK = " + ".join(f"CASE WHEN list_contains(types, {_sq(lab)}) THEN {1 << i} ELSE 0 END" for i, (lab, _) in enumerate(TAXONOMY))
+
+
+def _masked(requests: str, announcements: str) -> str:
+    """``met``: every pair of a request and a matching announcement row."""
+    return f"""
+asked AS (SELECT *, {_KMASK} AS kmask FROM {requests}),
+filed AS (SELECT *, {_AMASK} AS amask FROM {announcements}),
+met AS (
+  SELECT r.*, a.key, a.announcement_types FROM asked r JOIN filed a ON a.ticker = r.ticker AND a.date BETWEEN r.date_from AND r.date_to
+    AND (NOT coalesce(r.price_sensitive, false) OR coalesce(a.is_price_sensitive, false))
+    AND (r.kmask = 0 OR (r.kmask & a.amask) <> 0)
+)"""
+
+
+def _acked(group: str) -> str:
+    """Shipments up to and including a key's first acknowledged one in its group."""
+    on = " AND ".join(f"a.{c.strip()} = p.{c.strip()}" for c in f"{group}, key".split(","))
+    cols = ", ".join(f"p.{c.strip()}" for c in f"{group}, key, request_id".split(","))
+    return f"""
+SELECT {cols} FROM pairs p
+LEFT JOIN (SELECT {group}, key, min((ts, request_id)) AS fa FROM pairs WHERE ack GROUP BY ALL) a ON {on}
+WHERE a.fa IS NULL OR (p.ts, p.request_id) <= a.fa"""
+
+
+_DAY = "least(greatest({x}, as_of - 365), as_of)"
+MARKET = ["filings", "market_requests"]
+FITTED = f"""fitted AS (
+  SELECT * REPLACE ({_DAY.format(x="coalesce(date_from, as_of - 180)")} AS date_from,
+    {_DAY.format(x="coalesce(date_to, as_of)")} AS date_to) FROM market_requests)"""
+_MARKET_CHANGED = FITTED + "," + _marked("fitted") + "," + _masked("changed", "filings") + """,
+ledger AS (
+  SELECT session_id, ticker, key, arg_min(request_id, (ts, request_id)) AS request_id FROM met GROUP BY ALL
+)"""
+
+SQL.update({
+    "win7_ledger_ack": _q(_acked("session_id, ticker"), "announcements", "requests",
+                          extra=MARKED + "," + _masked("changed", "announcements") + """,
 pairs AS (      -- keys, not rows: a key may stand in two announcements
-  SELECT DISTINCT r.request_id, r.session_id, r.ticker, r.ts, a.key, r.event_type <> 'error' AS ack
-  FROM changed r JOIN announcements a ON """ + MATCH_COND + """
-)""")
+  SELECT DISTINCT request_id, session_id, ticker, ts, key, event_type <> 'error' AS ack FROM met
+)"""),
+    "win7_ledger_faithful": _q("""
+SELECT f.session_id, f.ticker, k.key, f.request_id FROM (SELECT session_id, ticker, request_id, unnest(shipped) AS id FROM fold) f
+JOIN numbered k ON k.id = f.id""", "announcements", "requests", extra=MARKED + "," + _masked("changed", "announcements") + """,
+numbered AS (SELECT key, row_number() OVER () AS id FROM (SELECT DISTINCT key FROM announcements)),
+matched AS (
+  SELECT request_id, list(DISTINCT id) AS n FROM met JOIN numbered USING (key) GROUP BY request_id
+), steps AS (
+  SELECT c.session_id, c.ticker, c.request_id, coalesce(m.n, []) AS n,
+    row_number() OVER (PARTITION BY c.session_id, c.ticker ORDER BY c.ts, c.request_id) AS i
+  FROM changed c LEFT JOIN matched m USING (request_id)
+), fold AS (
+  SELECT session_id, ticker, i, request_id, n AS loaded, n AS shipped FROM steps WHERE i = 1
+  UNION ALL
+  SELECT session_id, ticker, i, request_id,
+    CASE WHEN len(fresh) > 0 THEN list_concat(loaded, fresh) WHEN len(n) > 0 THEN n ELSE loaded END,
+    CASE WHEN len(fresh) > 0 THEN fresh ELSE n END
+  FROM (SELECT s.*, f.loaded, list_filter(s.n, lambda x: NOT list_contains(f.loaded, x)) AS fresh
+        FROM fold f JOIN steps s ON s.session_id = f.session_id AND s.ticker = f.ticker AND s.i = f.i + 1) t
+)""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "jn2_market_requests": _q("SELECT request_id, key FROM met", *MARKET, extra=FITTED + "," + _masked("fitted", "filings")),
+    "agg1_market_types": _q("SELECT request_id, announcement_types, count(*) AS n FROM met GROUP BY ALL", *MARKET,
+                            extra=FITTED + "," + _masked("fitted", "filings")),
+    "agg2_market_new_docs": _q("SELECT c.request_id, count(l.key) AS n_new FROM changed c LEFT JOIN ledger l "
+                               "ON l.request_id = c.request_id GROUP BY 1", *MARKET, extra=_MARKET_CHANGED),
+    "r4_market_refresh": _q(f"""
+SELECT c.request_id, c.session_id, c.ticker, c.query_hash, c.reason, coalesce(m.n, 0) AS n_matched, coalesce(l.n, 0) AS n_new,
+  cast(ceil(coalesce(l.n, 0) / {MAX_KEYS}) AS bigint) AS n_manifests
+FROM changed c LEFT JOIN (SELECT request_id, count(*) AS n FROM met GROUP BY 1) m USING (request_id)
+LEFT JOIN (SELECT request_id, count(*) AS n FROM ledger GROUP BY 1) l USING (request_id)""", *MARKET, extra=_MARKET_CHANGED),
+    "win7_market_ack": _q(_acked("ticker"), *MARKET, extra=_MARKET_CHANGED + """,
+pairs AS (SELECT DISTINCT request_id, ticker, ts, key, ack FROM met)"""),
+})

@@ -37,6 +37,30 @@ SELECT event_id AS request_id, user_id AS session_id, ts,
     WHEN event_type = 'error' THEN 'Presentations' WHEN event_type = 'purchase' THEN 'Cashflow Reports' ELSE '' END, '|'), lambda x: x <> '') AS types,
   event_type
 FROM events""",
+    "filings": """
+SELECT ticker, concat('https://example.invalid/', name) AS url, concat(name, '.md') AS key,
+  unnest(CASE WHEN again THEN ['Trading Halt'] ELSE [types] END) AS announcement_types,
+  CASE WHEN again THEN day + 40 ELSE day END AS date, CASE WHEN again THEN NOT sensitive ELSE sensitive END AS is_price_sensitive
+FROM (SELECT CASE WHEN o_custkey % 20 = 0 THEN 'C000000' ELSE concat('C', lpad(cast(o_custkey // 10 + 1 AS varchar), 6, '0')) END AS ticker,
+    concat(cast(l_orderkey AS varchar), '_', cast(l_linenumber AS varchar)) AS name,
+    CASE l_partkey % 12 WHEN 0 THEN 'Quarterly Cashflow Report' WHEN 1 THEN 'Appendix 3B' WHEN 2 THEN 'Appendix 2A'
+      WHEN 3 THEN 'Placement' WHEN 4 THEN 'Trading Halt' WHEN 5 THEN 'Investor Presentation' WHEN 6 THEN 'Pre-Feasibility Study (PFS)'
+      WHEN 7 THEN 'JORC Resource Update' WHEN 8 THEN 'Renounceable Issue' WHEN 9 THEN 'Annual Report'
+      WHEN 11 THEN 'Appendix 3G, Security Purchase Plan' END AS types,
+    cast(l_shipdate AS date) AS day, l_returnflag = 'R' AS sensitive,
+    unnest(CASE WHEN l_orderkey % 20 = 3 AND l_linenumber = 1 THEN [false, true] ELSE [false] END) AS again
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+    "market_requests": """
+SELECT o_orderkey AS request_id, o_custkey AS session_id, cast(o_orderdate AS timestamp) + to_seconds(o_orderkey % 86400) AS ts,
+  CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN asked % 20 = 0 THEN 'C000000'
+    ELSE concat('C', lpad(cast(asked // 10 + 1 AS varchar), 6, '0')) END AS ticker,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE as_of - cast(20 + (o_orderkey * 7) % 500 AS int) END AS date_from,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE as_of - cast((o_orderkey % 9) * 10 AS int) END AS date_to,
+  o_totalprice > 150000 AS price_sensitive,
+  CASE WHEN o_orderkey % 11 = 0 THEN ['Mining studies/resources'] WHEN o_orderkey % 13 = 0 THEN ['Unknown label']
+    WHEN o_orderkey % 3 = 0 THEN ['Placements', 'Cashflow Reports'] WHEN o_orderkey % 3 = 1 THEN ['Shares 3B''s, 2A''s'] ELSE [] END AS types,
+  as_of, o_orderkey % 6 <> 0 AS ack
+FROM (SELECT *, cast(o_orderdate AS date) AS as_of, o_custkey + CASE WHEN o_orderkey % 4 = 0 THEN 10 ELSE 0 END AS asked FROM orders)""",
     "response_events": """
 SELECT c.conv_id * 1000 + c.turn AS response_id, cast(g.i * 10 AS bigint) AS seq, 'response.output_text.delta' AS type,
   substring(c.text, cast(g.i * 16 + 1 AS int), 16) AS delta, cast(NULL AS varchar) AS ann_type, cast(NULL AS varchar) AS filename,

@@ -97,6 +97,54 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _company(custkey: Column) -> Column:
+    """A company for every ten customers, so tickers grow with the data; every twentieth customer belongs to one large one."""
+    return F.when(custkey % 20 == 0, F.lit("C000000")).otherwise(
+        F.concat(F.lit("C"), F.lpad((F.floor(custkey / 10) + 1).cast("string"), 6, "0")))
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements of a whole market: one row per line item, companies that grow with the data.
+
+    Some first lines have a second row under the same key, as in :func:`announcements`.
+    """
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    i = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag"])
+    j = i.join(o, i.l_orderkey == o.o_orderkey)
+    types = F.element_at(F.create_map(*[F.lit(x) for kv in _TYPE_BY_MOD.items() for x in kv]), (F.col("l_partkey") % 12).cast("int"))
+    name = F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
+    rows = j.select(
+        "l_orderkey", "l_linenumber", _company(F.col("o_custkey")).alias("ticker"),
+        F.concat(F.lit("https://example.invalid/"), name).alias("url"), F.concat(name, F.lit(".md")).alias("key"),
+        types.alias("announcement_types"), F.col("l_shipdate").cast("date").alias("date"),
+        (F.col("l_returnflag") == "R").alias("is_price_sensitive"))
+    again = (rows.where((F.col("l_orderkey") % 20 == 3) & (F.col("l_linenumber") == 1))
+             .withColumn("announcement_types", F.lit("Trading Halt"))
+             .withColumn("date", F.date_add("date", 40)).withColumn("is_price_sensitive", ~F.col("is_price_sensitive")))
+    return rows.unionByName(again).drop("l_orderkey", "l_linenumber")
+
+
+def market_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every order, at its day: windows of all lengths up to and beyond a year, some without dates.
+
+    ``as_of`` is the request's own day, for the defaults and limits of FLT-6.
+    """
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    null_day = F.lit(None).cast("date")
+    labels = (F.when(k % 11 == 0, F.array(F.lit("Mining studies/resources"))).when(k % 13 == 0, F.array(F.lit("Unknown label")))
+              .when(k % 3 == 0, F.array(F.lit("Placements"), F.lit("Cashflow Reports")))
+              .when(k % 3 == 1, F.array(F.lit("Shares 3B's, 2A's"))).otherwise(F.array().cast("array<string>")))
+    return o.select(
+        k.alias("request_id"), F.col("o_custkey").alias("session_id"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 86400).cast("decimal(18,6)"))).alias("ts"),
+        F.when(k % 97 != 0, _company(F.col("o_custkey") + F.when(k % 4 == 0, F.lit(10)).otherwise(F.lit(0)))).alias("ticker"),
+        F.when(k % 7 == 0, null_day).otherwise(F.date_sub(day, (20 + (k * 7) % 500).cast("int"))).alias("date_from"),
+        F.when(k % 5 == 0, null_day).otherwise(F.date_sub(day, ((k % 9) * 10).cast("int"))).alias("date_to"),
+        (F.col("o_totalprice") > 150000).alias("price_sensitive"), labels.alias("types"),
+        day.alias("as_of"), (k % 6 != 0).alias("ack"))
+
+
 def _with_evidence(conv: Column, text: Column) -> Column:
     """Every third conversation's answers end in a source line and a confidence score."""
     score = F.when(conv % 10 == 0, F.lit("1.0")).otherwise(F.concat(F.lit("0."), (conv % 10).cast("string")))
