@@ -200,7 +200,7 @@ QUERIES.update({
 
 
 # ---- index / search (R-1, R-2, TOP-1/2/4, ORD-2/3, AGG-9, JN-5, R-5) ---------------------
-from quire.operators import index as ix, search  # noqa: E402
+from quire.operators import index as ix, search, vectors  # noqa: E402
 from quire.plans.search_report import search_hits, search_report  # noqa: E402
 
 BASE_URL = "https://files.example.invalid/file/"
@@ -252,7 +252,23 @@ def top1_vector_topk(spark, sf):
 
 def top4_lsh_topk(spark, sf):
     e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
-    return search.lsh_topk(e, 10)
+    found = vectors.index_topk(e.withColumnRenamed("vec_id", "query_id"), vectors.build_index(e), 10, exclude_self=True)
+    return found.select("query_id", "vec_id", "score", "rank")
+
+
+def top4_recall(spark, sf):
+    """What the index does on the whole table: recall of the exact answers, and pairs scored, against what is asked of it."""
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    q = e.withColumnRenamed("vec_id", "query_id")
+    index = vectors.build_index(e)
+    pair = ["query_id", "vec_id"]
+    truth = search.vector_topk(q, e, 10, exclude_self=True).select(*pair, F.lit(1).alias("t"))
+    found = vectors.index_topk(q, index, 10, exclude_self=True).select(*pair, F.lit(1).alias("f"))
+    recall = truth.join(found, pair, "left").agg((F.count("f") / F.count("t")).alias("recall"),
+                                                 F.countDistinct("query_id").alias("n_queries"))
+    share = vectors.scored_share(q, index)
+    return recall.select("n_queries", (F.col("recall") >= 0.9).alias("recall_reached"),
+                         F.lit(share.first().scored < 0.3).alias("pruned"))
 
 
 def ord2_rank_evidence(spark, sf):
@@ -282,6 +298,7 @@ QUERIES.update({
     "top1_vector_topk_by_store": top1_vector_topk_by_store,
     "top1_vector_topk": top1_vector_topk,
     "top4_lsh_topk": top4_lsh_topk,
+    "top4_recall": top4_recall,
     "ord2_rank_evidence": ord2_rank_evidence,
     "agg9_result_cards": agg9_result_cards,
     "jn5_attach_source": jn5_attach_source,

