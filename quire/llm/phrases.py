@@ -208,7 +208,7 @@ def mine(texts: DataFrame, support: int, longest: int, shards: int, bits: int) -
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            """A row for every bucket; the top bits of a hash are its bucket."""
+            """A row for every bucket: the top bits of a hash are its bucket, the next 32 are sent."""
             keys, sums = np.concatenate(hashes), np.concatenate(counts)
             hashes.clear()
             counts.clear()
@@ -216,6 +216,7 @@ def mine(texts: DataFrame, support: int, longest: int, shards: int, bits: int) -
             keys, sums = keys[order], sums[order]
             edges = np.searchsorted(keys, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits))
             edges = np.append(edges, len(keys)).tolist()
+            keys = ((keys << np.uint64(bucket_bits)) >> np.uint64(32)).astype(np.uint32)
             filled = [b for b in range(1 << bucket_bits) if edges[b] < edges[b + 1]]
             for k in range(0, len(filled), 256):
                 some = filled[k:k + 256]
@@ -245,7 +246,7 @@ def mine(texts: DataFrame, support: int, longest: int, shards: int, bits: int) -
             marks = np.zeros(width, bool)
             for rows in held.values():
                 keys, sums = _summed(np.concatenate([k for k, _ in rows]), np.concatenate([c for _, c in rows]))
-                marks[(keys[sums >= local] >> np.uint64(64 - bits)).astype(np.int64) & (width - 1)] = True
+                marks[keys[sums >= local] >> np.uint32(32 - bits + bucket_bits)] = True
             if marks.any():
                 packed = zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()),
@@ -257,7 +258,7 @@ def mine(texts: DataFrame, support: int, longest: int, shards: int, bits: int) -
                     if held:
                         yield from out()
                     now, held = bucket, {}
-                held.setdefault(shard, []).append((np.frombuffer(hashes, "<u8"),
+                held.setdefault(shard, []).append((np.frombuffer(hashes, np.uint32),
                                                    np.frombuffer(counts, kind).astype(np.int64)))
         if held:
             yield from out()
