@@ -468,6 +468,16 @@ def src3_documents_by_key(spark, sf):
     return readers.read_documents(docs, wanted).select("doc_id", "key", "n_chars", "text")
 
 
+def src3_document_files(spark, sf):
+    """Document bodies kept as one file per key, and only the wanted files read."""
+    d = read_table(spark, sf, "documents", ["doc_id", "source", "text"])
+    path = readers.write_document_files(
+        d.select(F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("source"), F.lit(".md")).alias("key"), "text"),
+        scratch_path(spark, "document-files"))
+    wanted = fx.hits(spark, sf).where(F.col("score") >= 0.9).select(F.col("filename").alias("key"))
+    return readers.read_document_files(spark, path, wanted).select("key", "text")
+
+
 def src4_response_events(spark, sf):
     path = scratch_path(spark, "response-events")
     fx.response_events(spark, sf).write.mode("overwrite").json(path)
@@ -495,6 +505,7 @@ QUERIES.update({
     "src2_announcements_layout": src2_announcements_layout,
     "src2_announcements_csv": src2_announcements_csv,
     "src3_documents_by_key": src3_documents_by_key,
+    "src3_document_files": src3_document_files,
     "src4_response_events": src4_response_events,
     "snk1_conversation_log": snk1_conversation_log,
     "r3_prompt_records": r3_prompt_records,
@@ -505,37 +516,59 @@ QUERIES.update({
 from quire.streaming import harness, stateful, windows  # noqa: E402
 
 
-def _run_stream(spark, df, order, name, build, sink_mode="append"):
+def _run_stream(spark, df, order, name, build):
+    """Feed ``df`` range after range to a stream that appends to a Parquet table; the table."""
     base = scratch_path(spark, name)
-    src = harness.stage_files(df, f"{base}/in", order)
-    return _run_stream_from(spark, src, df.schema, name, build, sink_mode)
 
+    def run():
+        out = build(harness.read_staged(spark, f"{base}/in", df.schema))
+        harness.run_available_now(out.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck")
+                                  .option("path", f"{base}/out"))
 
-def _run_stream_from(spark, src, schema, name, build, sink_mode="append"):
-    base = scratch_path(spark, name)
-    out = build(harness.read_staged(spark, src, schema))
-    w = (out.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck")
-         .option("path", f"{base}/out").outputMode(sink_mode))
-    harness.run_available_now(w)
+    harness.replay(df, f"{base}/in", order, run)
     return spark.read.parquet(f"{base}/out")
 
 
 def st1_assemble_stream(spark, sf):
-    ev = fx.response_events(spark, sf)
-    out = _run_stream(spark, ev, F.col("seq"), "st1", stateful.assemble_responses)
-    return stateful.latest(out, ["response_id"])
+    """JSON event files through the streaming reader and the live log, assembled from the log."""
+    base = scratch_path(spark, "st1")
 
+    def run():
+        live = stateful.live_responses(readers.read_response_events(spark, f"{base}/in", "json", streaming=True))
+        harness.run_available_now(live.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck")
+                                  .option("path", f"{base}/live"))
 
-def st2_incremental_intake(spark, sf):
+    harness.replay(fx.response_events(spark, sf), f"{base}/in", F.col("seq"), run, fmt="json")
+    return responses.assemble(spark.read.parquet(f"{base}/live"))
+
+
+def _shipments(spark, sf):
     r = ingest.detect_change(fx.requests(spark, sf)).where(F.col("needs_update"))
-    pairs = filters.match_requests(r, fx.announcements(spark, sf)).select("session_id", "ticker", "key", "ts", "request_id")
+    return filters.match_requests(r, fx.announcements(spark, sf)).select("session_id", "ticker", "key", "ts", "request_id")
+
+
+def _by_time():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def st2_incremental_intake(spark, sf):
+    pairs = _shipments(spark, sf)
     base = scratch_path(spark, "st2")
-    src = harness.stage_files(pairs, f"{base}/in", F.unix_micros(F.col("ts").cast("timestamp")))
-    ledger = f"{base}/ledger"
-    w = (harness.read_staged(spark, src, pairs.schema).writeStream
-         .foreachBatch(windows.intake_batch(spark, ledger)).option("checkpointLocation", f"{base}/ck"))
-    harness.run_available_now(w)
-    return spark.read.parquet(ledger).select("session_id", "ticker", "key", "request_id")
+    body = windows.intake_batch(spark, f"{base}/ledger")
+
+    def run():
+        harness.run_available_now(harness.read_staged(spark, f"{base}/in", pairs.schema).writeStream
+                                  .foreachBatch(body).option("checkpointLocation", f"{base}/ck"))
+
+    harness.replay(pairs, f"{base}/in", _by_time(), run)
+    return spark.read.parquet(f"{base}/ledger").select("session_id", "ticker", "key", "request_id")
+
+
+def st2_watermark_intake(spark, sf):
+    """Keys seen first within a horizon of 400 days, longer than the table's span: every key once."""
+    pairs = _shipments(spark, sf)
+    out = _run_stream(spark, pairs, _by_time(), "st2w", lambda s: windows.dedupe_within_watermark(s, "400 days"))
+    return out.select("session_id", "ticker", "key")
 
 
 def st3_rolling_history(spark, sf):
@@ -544,19 +577,14 @@ def st3_rolling_history(spark, sf):
 
 def st4_detect_change(spark, sf):
     r = fx.requests(spark, sf).drop("event_type")
-    return _run_stream(spark, r, F.unix_micros(F.col("ts").cast("timestamp")), "st4", stateful.detect_change)
+    return _run_stream(spark, r, _by_time(), "st4", stateful.detect_change)
 
 
 def st5_store_lifetimes(spark, sf):
-    """Append-mode session windows emit a lifetime once the watermark passes its end; a final
-    end-of-stream marker row (far in the future, own store name) closes every real lifetime."""
-    import datetime as _dt
+    """Lifetimes that the stream has closed (the watermark passed their end), and those still open."""
     act = fx.store_activity(spark, sf)
-    base = scratch_path(spark, "st5")
-    src = harness.stage_files(act, f"{base}/in", F.unix_micros(F.col("ts").cast("timestamp")))
-    spark.createDataFrame([(windows.END_MARKER, _dt.datetime(2999, 12, 31))], act.schema).write.mode("append").parquet(src)
-    out = _run_stream_from(spark, src, act.schema, "st5", windows.store_lifetimes)
-    return out.where(F.col("ticker") != windows.END_MARKER)
+    closed = _run_stream(spark, act, _by_time(), "st5", windows.store_lifetimes)
+    return closed.unionByName(windows.open_lifetimes(act, closed))
 
 
 def st5_batch_lifetimes(spark, sf):
@@ -566,17 +594,19 @@ def st5_batch_lifetimes(spark, sf):
 def st6_conversation_log(spark, sf):
     rec = fx.conversation_records(spark, sf)
     base = scratch_path(spark, "st6")
-    src = harness.stage_files(rec, f"{base}/in", F.col("vector_store.num_of_docs"))
-    log = f"{base}/log"
-    w = (harness.read_staged(spark, src, rec.schema).writeStream
-         .foreachBatch(windows.log_batch(log)).option("checkpointLocation", f"{base}/ck"))
-    harness.run_available_now(w)
-    return sinks.read_conversation_log(spark, log)
+
+    def run():
+        harness.run_available_now(harness.read_staged(spark, f"{base}/in", rec.schema).writeStream
+                                  .foreachBatch(windows.log_batch(f"{base}/log")).option("checkpointLocation", f"{base}/ck"))
+
+    harness.replay(rec, f"{base}/in", F.col("vector_store.num_of_docs"), run)
+    return sinks.read_conversation_log(spark, f"{base}/log")
 
 
 QUERIES.update({
     "st1_assemble_stream": st1_assemble_stream,
     "st2_incremental_intake": st2_incremental_intake,
+    "st2_watermark_intake": st2_watermark_intake,
     "st3_rolling_history": st3_rolling_history,
     "st4_detect_change": st4_detect_change,
     "st5_store_lifetimes": st5_store_lifetimes,

@@ -454,6 +454,9 @@ SQL.update({
                                  "FROM announcements", "announcements"),
     "src3_documents_by_key": _q("""
 SELECT doc_id, cast(doc_id AS varchar) || '_' || source || '.md' AS key, n_chars, text FROM documents
+WHERE cast(doc_id AS varchar) || '_' || source || '.md' IN (SELECT filename FROM hits WHERE score >= 0.9)""", "hits"),
+    "src3_document_files": _q("""
+SELECT cast(doc_id AS varchar) || '_' || source || '.md' AS key, text FROM documents
 WHERE cast(doc_id AS varchar) || '_' || source || '.md' IN (SELECT filename FROM hits WHERE score >= 0.9)""", "hits"),
     "src4_response_events": _q("SELECT * FROM response_events", "response_events"),
     "snk1_conversation_log": "WITH " + QA.strip() + f"""
@@ -493,6 +496,8 @@ GROUP BY ticker, sid"""
 SQL.update({
     "st1_assemble_stream": SQL["agg7_assemble"],
     "st2_incremental_intake": SQL["win7_ledger_grow"],
+    "st2_watermark_intake": _q("SELECT DISTINCT session_id, ticker, key FROM ledger", "announcements", "requests",
+                               extra=MARKED + "," + LEDGER),
     "st3_rolling_history": SQL["agg10_history_block"],
     "st4_detect_change": SQL["win4_detect_change"],
     "st5_store_lifetimes": _q(_LIFETIMES, "store_activity"),

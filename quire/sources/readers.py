@@ -119,6 +119,31 @@ def read_documents(docs: DataFrame, keys: DataFrame, key_col: str = "key") -> Da
     return docs.join(keys.select(key_col).distinct(), key_col, "left_semi")
 
 
+def write_document_files(docs: DataFrame, path: str, key_col: str = "key", text_col: str = "text") -> str:
+    """Document bodies as UTF-8 files that end in a line break, a folder for every key under ``path``.
+
+    A null text is an empty body, a null key has no file.  Bodies of a repeated
+    key stand in one file.
+    """
+    (docs.where(F.col(key_col).isNotNull())
+     .select(F.col(key_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("value"))
+     .repartition("key").write.partitionBy("key").option("lineSep", "\n").text(path))
+    return path
+
+
+def read_document_files(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "key") -> DataFrame:
+    """SRC-3 from files: (key, text) of the wanted keys only; files of other keys are listed, not opened.
+
+    The key is the folder, a partition column, so the semi join on it prunes
+    folders while the query runs.  A key without a file has no row.
+    """
+    files = (spark.read.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary, key string").load(path))
+    wanted = keys.select(F.col(key_col).alias("key")).where("key is not null").distinct()
+    text = F.decode("content", "utf-8")
+    return files.join(wanted, "key", "left_semi").select("key", text.substr(F.lit(1), F.length(text) - 1).alias("text"))
+
+
 def read_response_events(spark: SparkSession, path: str, fmt: str = "json", streaming: bool = False) -> DataFrame:
     """SRC-4: response event files with the fixed event schema (batch or streaming)."""
     if streaming:

@@ -1,30 +1,28 @@
 """Stateful streams built on ``applyInPandasWithState`` (ST-1, ST-3, ST-4).
 
 Rows of one key are processed in their order column within each micro-batch;
-state carries what the next batch needs.  Functions emit versioned rows in
-append mode, so any file sink works; the latest version per key is the
-result (``latest``).  State is JSON text and bounded per key: the pieces of
-one response until its end and a mark after it (ST-1), five summaries (ST-3),
-one fingerprint (ST-4).  No timeout by default, so results equal the batch
-twins.  With ``timeout`` (a duration such as "1 day") a key that is silent so
-long, in processing time, loses its state; what comes later begins anew.
+state carries what the next batch needs, in typed columns, and is bounded per
+key: a mark that a response has ended (ST-1), a ticker and five summaries
+(ST-3), one fingerprint (ST-4).  All of them append rows, so any file sink
+works.  No timeout by default, so results equal the batch twins.  With
+``timeout`` (a duration such as "1 day") a key that is silent so long, in
+processing time, loses its state; what comes later begins anew.
+
+``transformWithState`` has lists and timers of its own, but in Python its state
+is served over a socket by a process that the library does not start.
 """
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quire.functions.hashing import query_hash
 from quire.operators.history import HISTORY_BULLET, HISTORY_HEADER, HISTORY_LEN
 from quire.operators.ingest import CHANGED, INITIAL, NO_TICKER, SAME
-from quire.operators.responses import CANCELLED, COMPLETED, FAILED, INCOMPLETE, piece_col
-
-_STATE = "s string"
+from quire.operators.responses import CANCELLED, COMPLETED, FAILED
 
 
 def _with_timeout(fn, timeout: str | None):
@@ -48,80 +46,49 @@ def _with_timeout(fn, timeout: str | None):
     return timed, GroupStateTimeout.ProcessingTimeTimeout
 
 
-def latest(df: DataFrame, keys: list, version: str = "version") -> DataFrame:
-    """Keep the highest version per key (the current state of each key)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(version).desc())
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", version)
-
-
 # ------------------------------------------------------------------ ST-1 responses
-def _response_fn(key, pdfs, state):
-    st = json.loads(state.get[0]) if state.exists else {"p": [], "stop": None, "stype": None, "inc": [], "done": [], "v": 0}
-    if st.get("ended"):
+def _live_fn(key, pdfs, state):
+    """The events of a response as they came, until the batch that ends it."""
+    if state.exists:
         return                                  # the answer was final
+    ended = False
     for pdf in pdfs:
-        for seq, typ, piece in zip(pdf["seq"], pdf["type"], pdf["piece"]):
-            seq = int(seq)
-            if typ in (FAILED, CANCELLED) and (st["stop"] is None or seq < st["stop"]):
-                st["stop"], st["stype"] = seq, typ
-            if piece is not None and not (isinstance(piece, float) and pd.isna(piece)):
-                st["p"].append([seq, piece])
-            if typ == INCOMPLETE:
-                st["inc"].append(seq)
-            if typ == COMPLETED:
-                st["done"].append(seq)
-    stop = st["stop"]
-
-    def live(s):
-        return stop is None or s <= stop
-
-    answer = "".join(p for s, p in sorted(st["p"], key=lambda x: x[0]) if live(s))
-    if st["stype"] == FAILED:
-        status = "failed"
-    elif st["stype"] == CANCELLED:
-        status = "cancelled"
-    elif any(live(s) for s in st["inc"]):
-        status = "incomplete"
-    elif any(live(s) for s in st["done"]):
-        status = "completed"
-    else:
-        status = "open"
-    version = st["v"] = st["v"] + 1
-    if status in ("failed", "cancelled") or st["done"]:
-        st = {"ended": True}
-    state.update((json.dumps(st),))
-    yield pd.DataFrame({"response_id": [key[0]], "version": [version], "answer": [answer], "status": [status]})
-
-
-def assemble_responses(events: DataFrame, timeout: str | None = None) -> DataFrame:
-    """ST-1: streaming response assembly (twin: ``operators.responses.assemble``).
-
-    A response ends with its stopping or completing event: its pieces leave
-    the state, and events of later micro-batches are ignored.  Within a
-    micro-batch events may come in any order.
+        ended = ended or bool(pdf["type"].isin([FAILED, CANCELLED, COMPLETED]).any())
+        yield pdf
+    if ended:
+        state.update((True,))
+
+
+def live_responses(events: DataFrame, timeout: str | None = None) -> DataFrame:
+    """ST-1: the live events of streamed responses, as an append-only log of the same columns.
+
+    A response ends with its stopping or completing event: events of later
+    micro-batches are ignored.  Within a micro-batch events may come in any
+    order.  An event is read and appended once, and the state of a response is
+    the mark that it has ended, so the work is linear in its events however
+    many batches they span.  ``operators.responses.assemble`` and
+    ``plans.answer_report`` give the answers of the log at any time.
     """
-    fn, kind = _with_timeout(_response_fn, timeout)
-    prepared = events.select("response_id", "seq", "type", piece_col().alias("piece"))
-    return prepared.groupBy("response_id").applyInPandasWithState(
-        fn, "response_id bigint, version bigint, answer string, status string", _STATE, "append", kind)
+    fn, kind = _with_timeout(_live_fn, timeout)
+    return events.groupBy("response_id").applyInPandasWithState(fn, events.schema, "ended boolean", "append", kind)
 
 
 # ------------------------------------------------------------------ ST-3 history
 def _history_fn(key, pdfs, state):
-    st = json.loads(state.get[0]) if state.exists else {"seen": False, "ticker": None, "hist": []}
+    seen, (last, held) = state.exists, state.get if state.exists else (None, [])
+    held = list(held)
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values("turn")
     out_turn, out_hist = [], []
     for turn, ticker, summary in zip(rows["turn"], rows["ticker"], rows["summary"]):
         ticker = None if ticker is None or (isinstance(ticker, float) and pd.isna(ticker)) else ticker
-        if not st["seen"] or ticker != st["ticker"]:
-            st["hist"] = []
-        st["seen"], st["ticker"] = True, ticker
-        h = st["hist"]
+        if not seen or ticker != last:
+            held = []
+        seen, last = True, ticker
         out_turn.append(int(turn))
-        out_hist.append(HISTORY_HEADER + "\n".join(HISTORY_BULLET + s for s in h) if h else "")
+        out_hist.append(HISTORY_HEADER + "\n".join(HISTORY_BULLET + s for s in held) if held else "")
         if summary is not None and not (isinstance(summary, float) and pd.isna(summary)):
-            st["hist"] = (h + [summary])[-HISTORY_LEN:]
-    state.update((json.dumps(st),))
+            held = (held + [summary])[-HISTORY_LEN:]
+    state.update((last, held))
     yield pd.DataFrame({"session_id": [key[0]] * len(out_turn), "turn": out_turn, "history": out_hist})
 
 
@@ -129,12 +96,12 @@ def rolling_history(summaries: DataFrame, timeout: str | None = None) -> DataFra
     """ST-3: history block visible to each prompt (twin: WIN-5/6 + AGG-10)."""
     fn, kind = _with_timeout(_history_fn, timeout)
     return summaries.select("session_id", "turn", "ticker", "summary").groupBy("session_id").applyInPandasWithState(
-        fn, "session_id bigint, turn bigint, history string", _STATE, "append", kind)
+        fn, "session_id bigint, turn bigint, history string", "ticker string, held array<string>", "append", kind)
 
 
 # ------------------------------------------------------------------ ST-4 change detection
 def _change_fn(key, pdfs, state):
-    prev = json.loads(state.get[0]) if state.exists else None
+    prev = state.get[0] if state.exists else None
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "request_id"])
     reasons = []
     for h in rows["query_hash"]:
@@ -143,8 +110,8 @@ def _change_fn(key, pdfs, state):
             continue
         reasons.append(INITIAL if prev is None else (CHANGED if h != prev else SAME))
         prev = h
-    if key[1] is not None:
-        state.update((json.dumps(prev),))
+    if key[1]:
+        state.update((prev,))
     yield pd.DataFrame({"request_id": rows["request_id"].astype("int64"), "session_id": rows["session_id"].astype("int64"),
                         "ticker": rows["ticker"], "query_hash": rows["query_hash"], "reason": reasons})
 
@@ -152,9 +119,10 @@ def _change_fn(key, pdfs, state):
 def detect_change(requests: DataFrame, timeout: str | None = None) -> DataFrame:
     """ST-4: per (session, ticker) fingerprint change reasons (twin: ``ingest.detect_change``)."""
     fn, kind = _with_timeout(_change_fn, timeout)
-    h = F.when(F.col("ticker").isNotNull(), query_hash(F.col("ticker"), F.col("date_from"), F.col("date_to"),
+    has_ticker = F.coalesce(F.col("ticker"), F.lit("")) != ""       # an empty ticker is no ticker, as in the batch twin
+    h = F.when(has_ticker, query_hash(F.col("ticker"), F.col("date_from"), F.col("date_to"),
                                                          F.col("types"), F.col("price_sensitive")))
     prepared = requests.select("request_id", "session_id", "ticker", "ts", h.alias("query_hash"))
     return prepared.groupBy("session_id", "ticker").applyInPandasWithState(
         fn, "request_id bigint, session_id bigint, ticker string, query_hash string, reason string",
-        _STATE, "append", kind)
+        "query_hash string", "append", kind)

@@ -1,6 +1,5 @@
 """Citation shapes, searches within a store, and state that ends."""
 
-import json
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -53,22 +52,31 @@ class _State:
 
 
 def _events(*rows):
-    return iter([pd.DataFrame(rows, columns=["seq", "type", "piece"])])
+    return iter([pd.DataFrame(rows, columns=["seq", "type", "delta"])])
 
 
 def test_response_state_ends_with_the_response():
-    fn, _ = stateful._with_timeout(stateful._response_fn, None)
+    fn, _ = stateful._with_timeout(stateful._live_fn, None)
     st = _State()
     out = list(fn((1,), _events((1, "d", "a"), (2, stateful.COMPLETED, None)), st))
-    assert out[0]["answer"][0] == "a" and out[0]["status"][0] == "completed"
-    assert json.loads(st.value[0]) == {"ended": True}
+    assert [len(x) for x in out] == [2] and st.value == (True,)
     assert list(fn((1,), _events((3, "d", "late")), st)) == []
 
 
+def test_open_response_has_no_state():
+    """100,000 events in 50 batches: each is passed on once, and nothing is kept of them."""
+    fn, _ = stateful._with_timeout(stateful._live_fn, None)
+    st, passed = _State(), 0
+    for b in range(50):
+        passed += sum(len(x) for x in fn((1,), _events(*((2000 * b + i, "d", "a") for i in range(2000))), st))
+        assert not st.exists
+    assert passed == 100_000
+
+
 def test_silent_state_times_out():
-    fn, kind = stateful._with_timeout(stateful._response_fn, "1 hour")
+    fn, kind = stateful._with_timeout(stateful._live_fn, "1 hour")
     st = _State()
-    list(fn((1,), _events((1, "d", "a")), st))
+    list(fn((1,), _events((1, stateful.FAILED, None)), st))
     assert st.duration == 3_600_000 and st.exists and "ProcessingTime" in kind
     st.hasTimedOut = True
     assert list(fn((1,), iter([]), st)) == [] and not st.exists

@@ -41,7 +41,7 @@ def test_csv_log_round_trip(spark, tmp_path):
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_log_keeps_different_records_of_one_timestamp(spark, tmp_path, fmt):
-    one = fx.conversation_records(spark, SF).limit(1).localCheckpoint()
+    one = fx.conversation_records(spark, SF).limit(1).checkpoint()
 
     def record(text, ts):
         return one.withColumn("message", F.struct(F.lit(text).alias("message_text"),
