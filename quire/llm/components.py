@@ -1,9 +1,12 @@
 """Connected components of a graph given as rows of edges.
 
-Each round takes the least label among a node's neighbours and itself, then
-follows the label's own label (pointer jumping), so chains shorten by half a
-round.  Rounds are written to the shared folder: the plan stays short and a
-lost executor costs only its own tasks.  The driver sees one count a round.
+Each round points every node to the least of its neighbours and itself, and
+from there one step further (pointer jumping), so chains halve.  Then the edges
+are contracted: both ends are replaced by what they point to, and loops and
+repeated edges go, so a round has fewer edges than the one before it.  A node
+that others point to stays joined to what it points to itself, as the edges
+that led there are contracted too.  Rounds are written to the shared folder: the
+plan stays short and a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
@@ -22,17 +25,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
     both = materialize(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other")))
                        .distinct(), "edges")
-    labels = materialize(both.groupBy("node").agg(F.min("other").alias("low"))
-                         .select("node", F.least("node", "low").alias("label")), "labels")
+    labels = None
     while True:
-        near = (both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("far")), "other")
-                .groupBy("node").agg(F.min("far").alias("far")))
-        step = (labels.join(near, "node")
-                .select("node", F.col("label").alias("was"), F.least("label", "far").alias("label")))
-        step = materialize(step, "labels-step")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = materialize(step.join(jump, "label")
-                          .select("node", "was", F.least("label", "root").alias("label")), "labels")
-        if new.where("label <> was").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        low = materialize(both.groupBy("node").agg(F.min("other").alias("low"))
+                          .select("node", F.least("node", "low").alias("label")), "labels-low")
+        far = low.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        step = materialize(low.join(far, "label").select("node", F.col("far").alias("label")), "labels-step")
+        if labels is None:
+            labels = step
+        else:
+            next_ = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = materialize(labels.join(next_, "label", "left")
+                                 .select("node", F.coalesce("next", "label").alias("label")), "labels")
+        both = materialize(both.join(step, "node").select("other", F.col("label").alias("from"))
+                           .join(step.withColumnRenamed("node", "other"), "other")
+                           .select(F.col("from").alias("node"), F.col("label").alias("other"))
+                           .where("node <> other").distinct(), "edges")
+        if both.isEmpty():
+            return labels

@@ -191,8 +191,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = classes.select("class", F.explode("bands").alias("band"))
     shared = (entries.groupBy("band").agg(F.min("class").alias("star"), F.count("*").alias("n"))
               .where("n > 1").select("band", "star"))
-    groups = components(entries.join(shared, "band").where("class <> star").select("class", "star").distinct(),
-                        "class", "star")
+    # a class is linked to the least of its bands' stars, and so are these: an edge a class, and one for each two stars
+    stars = (entries.join(shared, "band").groupBy("class").agg(F.collect_set("star").alias("stars"))
+             .withColumn("least", F.array_min("stars")))
+    edges = (stars.select("class", "least")
+             .unionByName(stars.select(F.explode("stars").alias("class"), "least").distinct()))
+    groups = components(edges.where("class <> least"), "class", "least")
 
     members = groups.join(classes.select(F.col("class").alias("node"), "id", "n_shingles"), "node")
     blocks = (members.groupBy("label").agg(F.sum("n_shingles").alias("total"))
