@@ -191,12 +191,12 @@ def _candidates(text: str) -> set[str]:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many toxic and other documents hold each candidate; those of a single document stay out of the sum."""
+    """How many toxic and other documents of the partition hold each candidate, of whichever label."""
     toxic, other = Counter(), Counter()
     for rows in batches:
         for text, label in zip(rows["text"], rows["label"], strict=True):
             (toxic if label else other).update(_candidates(text or ""))
-    entries = list(toxic)
+    entries = list(toxic.keys() | other.keys())
     for at in range(0, len(entries), 10_000):
         part = entries[at:at + 10_000]
         yield pd.DataFrame({"entry": part, "toxic": [toxic[e] for e in part], "other": [other[e] for e in part]})
