@@ -64,7 +64,7 @@ def subwords(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool(_NOT_LETTERS.sub("", text))
+    return any(map(str.isalpha, text or ""))        # numerals such as "²" are word characters, but no letters
 
 
 def pieces(text: str) -> list[str]:
