@@ -6,8 +6,10 @@ linked.  Everything is products of sparse incidence matrices (:class:`Csr`,
 row products after Gustavson):
 
 * token x byte matrices A and B: ``A . Bt`` holds a link for every two tokens
-  that overlap, with the bytes they share.  Both token lists run in byte
-  order, so a group begins with the first link of a new token on both sides;
+  that overlap, with the bytes they share.  Bytes that no token's end separates
+  have equal columns; those are kept once, weighted by their number.  Both
+  token lists run in byte order, so a group begins with the first link of a new
+  token on both sides;
 * (document, id) x group matrices with occurrences: their product holds, for
   every two ids of a document, the number of occurrence pairs that share a
   group.  Ids instead of occurrences keep a long group of repeated tokens small.
@@ -30,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ from quire.llm.token_shards import Encoder
 from quire.session import materialize
 
 COMMON_PAIRS = 1 << 20      # id pairs that are broadcast: 17 bytes each
-BLOCK_BYTES = 1 << 20       # bytes of text whose matrices are built together
+BLOCK_BYTES = 1 << 19       # bytes of text whose matrices are built together
 PRODUCTS = 1 << 22          # scalar products that a row product expands at a time
 KEPT_PAIRS = 1 << 21        # counted pairs that a task holds before it hands them on
 SPACE = "▁"            # how pieces spell a space
@@ -60,13 +63,13 @@ class Csr:
         keys = rows.astype(np.int64) * max(n_columns, 1) + columns
         if (keys[1:] < keys[:-1]).any():
             order = np.argsort(keys, kind="stable")
-            keys, values = keys[order], values[order]
+            keys, rows, columns, values = keys[order], rows[order], columns[order], values[order]
         fresh = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
         if not fresh.all():
             first = np.flatnonzero(fresh)
-            keys, values = keys[first], np.add.reduceat(values, first)
-        per_row = np.bincount(keys // max(n_columns, 1), minlength=n_rows)
-        return cls(np.concatenate((np.zeros(1, np.int64), np.cumsum(per_row))), keys % max(n_columns, 1), values, n_columns)
+            rows, columns, values = rows[first], columns[first], np.add.reduceat(values, first)
+        starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(rows, minlength=n_rows))))
+        return cls(starts, columns, values, n_columns)
 
     @property
     def n_rows(self) -> int:
@@ -107,9 +110,20 @@ class PlainEncoder(Encoder):
     """The byte-level model, for which the strings of added tokens are ordinary text."""
 
     def __init__(self, model: str):
-        super().__init__(model, memo_limit=600_000)
+        super().__init__(model, memo_limit=200_000)
         self.model.encode_special_tokens = True
         self.added = []
+        self.bytes = _byte_level_tokens(self)
+        self.faithful = True                    # every pre-token learned so far is spelled by its ids
+
+    def _learn(self, pieces: set[str]) -> None:
+        super()._learn(pieces)
+        order = list(pieces)
+        self.faithful &= _all_spelled([self.memo[p] for p in order], self.bytes, order)
+
+    def trusted(self, text: str) -> bool:
+        """Whether the text's ids are put together from faithful pre-tokens, so that they spell it."""
+        return self.faithful and self.splitter.is_latin(text)
 
 
 class PieceEncoder:
@@ -121,7 +135,7 @@ class PieceEncoder:
     A text that holds the sign for a space goes to the library whole.
     """
 
-    def __init__(self, model: bytes, memo_limit: int = 400_000):
+    def __init__(self, model: bytes, memo_limit: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -132,28 +146,51 @@ class PieceEncoder:
         self.memo: dict[str, bytes] = {}
         self.memo_limit = memo_limit
         self.lead = len(self.model.encode("\n"))
+        self.faithful = True                    # every unit learned so far is spelled by its ids
 
     def _learn(self, units: list[str]) -> None:
         """A word after a space goes without it, as the library adds one; other units follow a line break."""
-        plain = [u[0] == " " and len(u) > 1 for u in units]
-        coded = self.model.encode([u[1:] if p else "\n" + u for u, p in zip(units, plain, strict=True)], num_threads=1)
-        self.memo.update((u, np.array(ids if p else ids[self.lead:], "<u4").tobytes())
-                         for u, p, ids in zip(units, plain, coded, strict=True))
+        words = [u for u in units if u[0] == " " and len(u) > 1]
+        others = [u for u in units if u[0] != " " or len(u) == 1]
+        coded = self.model.encode([u[1:] for u in words], num_threads=1)
+        coded += [ids[self.lead:] for ids in self.model.encode(["\n" + u for u in others], num_threads=1)]
+        ends = (4 * np.cumsum(list(map(len, coded)))).tolist()
+        flat = np.fromiter(chain.from_iterable(coded), "<u4").tobytes()
+        packed = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        self.memo.update(zip(words + others, packed, strict=True))
+        self.faithful &= _all_spelled(packed, self.bytes, words + others)
+
+    def trusted(self, text: str) -> bool:
+        """Whether the text's ids are put together from faithful units, so that they spell it."""
+        return self.faithful and self.units and SPACE not in text
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, as the library gives them with the space it adds."""
+        """Packed ids of texts, each given with the space that the library adds."""
         if len(self.memo) > self.memo_limit:
             self.memo.clear()
-        split = [self.split(" " + t) if self.units and t and SPACE not in t else None for t in texts]
+        split = [self.split(t) if self.units and SPACE not in t else None for t in texts]
         new = set().union(*(u for u in split if u)).difference(self.memo)
         if new:
             self._learn(list(new))
         look = self.memo.__getitem__
         return [b"".join(map(look, units)) if units is not None
-                else np.array(self.model.encode(t, num_threads=1), "<u4").tobytes()
+                else np.array(self.model.encode(t[1:], num_threads=1), "<u4").tobytes()
                 for t, units in zip(texts, split, strict=True)]
 
 
+def _spells(ids: bytes, table: list[bytes], raw: bytes) -> bool:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())) == raw
+
+
+def _all_spelled(packed: list[bytes], table: list[bytes], texts: list[str]) -> bool:
+    """Whether each text is spelled by its ids: all of them one after another, and each to its length."""
+    tokens = list(map(table.__getitem__, np.frombuffer(b"".join(packed), "<u4").tolist()))
+    raw = [t.encode() for t in texts]
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(list(map(len, tokens)), dtype=np.int64)))
+    last = np.cumsum(list(map(len, packed)), dtype=np.int64) // 4
+    return b"".join(tokens) == b"".join(raw) and bool((ends[last] == np.cumsum(list(map(len, raw)))).all())
+
+
 def _piece_bytes(piece: str) -> bytes:
     byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
     return bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode()
@@ -185,84 +222,87 @@ class Aligner:
 
     def __init__(self, byte_model: str, piece_model: bytes):
         self.a, self.b = PlainEncoder(byte_model), PieceEncoder(piece_model)
-        self.bytes_a, self.bytes_b = _byte_level_tokens(self.a), self.b.bytes
+        self.bytes_a, self.bytes_b = self.a.bytes, self.b.bytes
         self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
         n_a, n_b = len(self.bytes_a), len(self.bytes_b)
-        self.text_a = [f"{i}{end}" for end in ",|" for i in range(n_a)]
-        self.text_b = [f"{i}{end}" for end in ",;" for i in range(n_b)]
-        self.texts = self.text_a + self.text_b
-
-    def _spells(self, ids: np.ndarray, table: list[bytes], raw: bytes) -> bool:
-        return b"".join(map(table.__getitem__, ids.tolist())) == raw
-
-    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids A and B of each text; none if either does not spell a space and the text."""
-        spaced = [" " + t for t in texts if t]
-        coded = iter(zip(self.a.encode(spaced), self.b.encode([t for t in texts if t]), spaced, strict=True))
-        out = []
-        for t in texts:
-            a = b = np.empty(0, np.uint32)
-            if t:
-                packed_a, packed_b, text = next(coded)
-                a, b = np.frombuffer(packed_a, "<u4"), np.frombuffer(packed_b, "<u4")
-                raw = text.encode()
-                if not (self._spells(a, self.bytes_a, raw) and self._spells(b, self.bytes_b, raw)):
-                    a = b = np.empty(0, np.uint32)
-            out.append((a, b))
-        return out
-
-    def align(self, tokens: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
-        """For every document: n_a, n_b, n_groups, n_links, digest, and its id pairs with their links."""
-        n_docs = len(tokens)
-        n_a, n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-        a, b = (np.concatenate([t[k] for t in tokens]).astype(np.int64) for k in (0, 1))
+        # an id before another of its side, as the last of its side in a group, and (B) as the last of a document
+        self.texts = [f"{i}{end}" for end in ",|" for i in range(n_a)] + [f"{i}{end}" for end in ",;\n" for i in range(n_b)]
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids A of a space and each text and how many it has, and the same of B; none where either does not spell that."""
+        spaced = [" " + t if t else "" for t in texts]
+        packed_a, packed_b = self.a.encode(spaced), self.b.encode(spaced)
+        for i, text in enumerate(spaced):
+            if not ((self.a.trusted(text) or _spells(packed_a[i], self.bytes_a, text.encode()))
+                    and (self.b.trusted(text) or _spells(packed_b[i], self.bytes_b, text.encode()))):
+                packed_a[i] = packed_b[i] = b""
+        a, b = (np.frombuffer(b"".join(p), "<u4").astype(np.int64) for p in (packed_a, packed_b))
+        return a, np.array(list(map(len, packed_a)), np.int64) // 4, b, np.array(list(map(len, packed_b)), np.int64) // 4
+
+    def documents(self, texts: list[str | None]) -> list[dict]:
+        """Numbers, groups, id pairs and links of every text; null and empty texts have no tokens."""
+        table, written, pairs, links, edges = self.align(*self.tokens(texts))
+        return [_found(table[d], written[d], pairs[edges[d]:edges[d + 1]], links[edges[d]:edges[d + 1]])
+                for d in range(len(texts))]
+
+    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple:
+        """Of texts with ``n_a`` ids of A and ``n_b`` of B: numbers, written groups, id pairs with their links, and where each text's start.
+
+        The numbers are n_a, n_b, n_groups and n_links.
+        """
+        n_docs = len(n_a)
         group_a, group_b = _groups(self.sizes_a[a], self.sizes_b[b])
         doc_a, doc_b = np.repeat(np.arange(n_docs), n_a), np.repeat(np.arange(n_docs), n_b)
         n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
         doc_of_group = np.zeros(n_groups, np.int64)
         doc_of_group[group_a] = doc_a
-        per_doc = np.bincount(doc_of_group, minlength=n_docs)
 
         # occurrences of ids of A in groups, a row for every (document, id); and of ids of B, by group
-        keys, row_a = np.unique(doc_a * len(self.bytes_a) + a, return_inverse=True)
-        left = Csr.of(row_a, group_a, np.ones(len(a), np.int64), len(keys), n_groups)
+        own = doc_a * len(self.bytes_a) + a
+        order = np.argsort(own, kind="stable")          # groups stay in order within a row
+        fresh = np.concatenate((np.ones(min(1, len(own)), bool), own[order][1:] != own[order][:-1]))
+        keys, row_a = own[order][fresh], np.cumsum(fresh) - 1
+        left = Csr.of(row_a, group_a[order], np.ones(len(a), np.int64), len(keys), n_groups)
         right = Csr.of(group_b, b, np.ones(len(b), np.int64), n_groups, len(self.bytes_b))
         found = list(left.dot(right))
         rows, columns, links = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
         pairs = (keys[rows] % len(self.bytes_a)) << 32 | columns
-        edges = np.searchsorted(keys[rows] // len(self.bytes_a), np.arange(n_docs + 1))
-
-        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
-        out = []
-        for d in range(n_docs):
-            own_a, own_b = slice(ends_a[d] - n_a[d], ends_a[d]), slice(ends_b[d] - n_b[d], ends_b[d])
-            own = slice(edges[d], edges[d + 1])
-            text = self._written(a[own_a], b[own_b], group_a[own_a], group_b[own_b])
-            out.append({"n_a": int(n_a[d]), "n_b": int(n_b[d]), "n_groups": int(per_doc[d]),
-                        "n_links": int(links[own].sum()), "groups": text, "pairs": pairs[own], "links": links[own]})
-        return out
-
-    def _written(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3`` for the groups of one document."""
-        if not len(a):
-            return ""
-        last_a = np.append(group_a[1:] != group_a[:-1], True)
-        last_b = np.append(group_b[1:] != group_b[:-1], True)
+        doc = keys[rows] // len(self.bytes_a)
+        edges = np.searchsorted(doc, np.arange(n_docs + 1))
+        n_links = np.bincount(doc, weights=links, minlength=n_docs).astype(np.int64)
+        table = np.stack((n_a, n_b, np.bincount(doc_of_group, minlength=n_docs), n_links), axis=1)
+        return table, self._written(a, doc_a, group_a, b, doc_b, group_b, n_a > 0), pairs, links, edges
+
+    def _written(self, a, doc_a, group_a, b, doc_b, group_b, filled: np.ndarray) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` for the groups of every document."""
+        last_a = np.append(group_a[1:] != group_a[:-1], True)[:len(a)]
+        last_b = np.append(group_b[1:] != group_b[:-1], True)[:len(b)]
+        final = np.append(doc_b[1:] != doc_b[:-1], True)[:len(b)]
         # a token stands after its own side's earlier ones and the other side's in the groups before (B: and in its own)
-        at_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, side="left")
-        at_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        at_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+        at_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
         codes = np.empty(len(a) + len(b), np.int64)
         codes[at_a] = a + last_a * len(self.bytes_a)
-        codes[at_b] = b + last_b * len(self.bytes_b) + len(self.text_a)
-        return "".join(map(self.texts.__getitem__, codes.tolist()))[:-1]
+        codes[at_b] = b + (last_b.astype(np.int64) + final) * len(self.bytes_b) + 2 * len(self.bytes_a)
+        texts = iter("".join(map(self.texts.__getitem__, codes.tolist())).split("\n"))
+        return [next(texts) if f else "" for f in filled.tolist()]
+
+
+def _found(numbers: np.ndarray, written: str, pairs: np.ndarray, links: np.ndarray) -> dict:
+    n_a, n_b, n_groups, n_links = numbers.tolist()
+    return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": written, "pairs": pairs, "links": links}
 
 
 def _groups(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group of every token, for two token lists over the same bytes, from the links of their overlap product."""
-    n = int(sizes_a.sum())
-    a, b = (Csr(np.concatenate((np.zeros(1, np.int64), np.cumsum(s))), np.arange(n), np.ones(n, np.int32), n)
-            for s in (sizes_a, sizes_b))
+    ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+    ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")         # a merge of two runs
+    ends = ends[np.concatenate((np.ones(min(1, len(ends)), bool), ends[1:] != ends[:-1]))]
+    width = np.diff(ends, prepend=0)
+    a, b = (Csr(np.concatenate((np.zeros(1, np.int64), np.searchsorted(ends, e) + 1)), np.arange(len(ends)), values, len(ends))
+            for e, values in ((ends_a, width), (ends_b, np.ones_like(width))))
     found = list(a.dot(b.transposed()))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -297,14 +337,14 @@ def align(docs: DataFrame, byte_model_path: str, piece_model_path: str, id_col:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            tokens = aligner.tokens(batch.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
             low = 0
             while low < len(ids):
                 high, size = low, 0
-                while high < len(ids) and size < BLOCK_BYTES:       # 6 bytes a token or so
-                    size += 6 * len(tokens[high][0])
+                while high < len(ids) and size < BLOCK_BYTES:
+                    size += len(texts[high] or "")
                     high += 1
-                found = aligner.align(tokens[low:high])
+                found = aligner.documents(texts[low:high])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(row, row + high - low), pa.int64()), pa.array(ids[low:high], pa.int64()),
                     *[pa.array([f[c] for f in found], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")],
@@ -373,7 +413,7 @@ def _common(counts: DataFrame, limit: int) -> DataFrame:
         if total > limit:
             break
         least = r.grade
-    return counts.where(F.col("n") >= F.lit(1 << least))
+    return counts.where(F.col("n") >= F.lit(1 << least) if least < 63 else F.lit(False))
 
 
 def link_counts(docs: DataFrame, byte_model_path: str, piece_model_path: str, id_col: str = "doc_id",

@@ -14,14 +14,15 @@ def test_empty_tables(spark, empty_dir, name):
     assert out.columns and out.collect() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op6_decontaminate"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op6_decontaminate", "op11_packing", "op12_phrases"}))
 def test_a_row_for_every_row(spark, odd_dir, name):
     got = QUERIES[name](spark, odd_dir).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2, 2, 3, 4, 5, 6, 7]
 
 
 def test_defined_results(spark, odd_dir):
-    rows = {n: {r.doc_id: r for r in QUERIES[n](spark, odd_dir).collect()} for n in QUERIES if n != "op6_decontaminate"}
+    rows = {n: {r.doc_id: r for r in QUERIES[n](spark, odd_dir).collect()} for n in QUERIES
+            if n not in ("op6_decontaminate", "op12_phrases")}
     nothing = hashlib.sha256(b"").hexdigest()
     for i in (3, 4):
         assert rows["op1_language_id"][i].lang_pred == "und" and rows["op1_language_id"][i].score == 0
@@ -31,6 +32,10 @@ def test_defined_results(spark, odd_dir):
         assert rows["op5_quality_rules"][i].base_failed and not rows["op5_quality_rules"][i].kept
         assert rows["op9_secret_scan"][i].base_sha256 == nothing
         assert rows["op10_pii"][i].spans == ""
+        assert (rows["op11_packing"][i].length, rows["op11_packing"][i].doc_tokens) == (1, 1)
+    for i in (3, 4):
+        assert tuple(rows["op13_alignment"][i])[1:] == (0,) * 6 + ("",)
+    assert rows["op13_alignment"][5].n_a > 0 and rows["op13_alignment"][7].n_groups > 1
     assert rows["op2_minmax_near_dup"][2].component_id == 1 and not rows["op2_minmax_near_dup"][2].kept
     assert rows["op2_minmax_near_dup"][None].component_id is None
     assert rows["op2_minmax_near_dup"][6].n_shingles == 3
@@ -38,6 +43,21 @@ def test_defined_results(spark, odd_dir):
     assert rows["op7_toxicity"][3].predicted in (0, 1)
 
 
+def test_packing_of_odd_documents(spark, odd_dir):
+    """Repeated rows and null ids are documents of their own, and a very long one is cut into full windows."""
+    rows = QUERIES["op11_packing"](spark, odd_dir).collect()
+    assert sum(r.start == 0 for r in rows) == 9 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    long = [r for r in rows if r.doc_id == 6]
+    assert sum(r.length for r in long) == long[0].doc_tokens and sum(r.length == 2048 for r in long) >= long[0].doc_tokens // 2048
+    assert sum(r.length for r in rows if r.doc_id == 2) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 2)
+
+
+def test_phrases_of_odd_documents(spark, odd_dir):
+    got = {(r.lang, r.phrase): r for r in QUERIES["op12_phrases"](spark, odd_dir).collect()}
+    assert {k[0] for k in got} == {"de"} and got["de", "lorem ipsum dolor lorem"].n == 60_000
+    assert got["de", "lorem ipsum dolor lorem"].a == 19_999 and ("de", "lorem ipsum") not in got
+
+
 def test_decontamination_of_odd_items(spark, odd_dir):
     got = QUERIES["op6_decontaminate"](spark, odd_dir).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (2, 1)]
