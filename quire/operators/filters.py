@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.taxonomy import label_mask, known_mask, type_predicate
 from quire.functions.text import selected_types
-from quire.operators.cover import PIECE, cover, holders
+from quire.operators.cover import LEVELS, PIECE, cover, holders, levels_for
 from quire.session import materialize
 
 ANN_COLUMNS = ["ticker", "url", "key", "announcement_types"]
@@ -153,9 +153,9 @@ def matching(flag: str = "ps", mask: str = "kmask") -> Column:
             & ((F.col(mask) == 0) | (F.col("amask").bitwiseAND(F.col(mask)) != 0)))
 
 
-def with_pieces(classes: DataFrame) -> DataFrame:
+def with_pieces(classes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """A row for every piece that holds the class's segment."""
-    return classes.select("*", F.inline(holders(F.col("seg"))))
+    return classes.select("*", F.inline(holders(F.col("seg"), levels)))
 
 
 @dataclass
@@ -164,6 +164,7 @@ class MatchPlan:
     requests: DataFrame      # requests with spec columns
     ann: DataFrame           # announcements with class columns
     specs: DataFrame         # SPEC + seg_from, seg_end: the segments of the window are seg_from .. seg_end - 1
+    levels: int = LEVELS     # of pieces
 
     def classes(self, *more: str) -> DataFrame:
         """CLASS and further columns with ``n``, the announcements of each."""
@@ -171,7 +172,7 @@ class MatchPlan:
 
     def spec_pieces(self) -> DataFrame:
         """SPEC + PIECE: the pieces of each spec's window."""
-        return self.specs.select(*SPEC, F.inline(cover(F.col("seg_from"), F.col("seg_end"))))
+        return self.specs.select(*SPEC, F.inline(cover(F.col("seg_from"), F.col("seg_end"), self.levels)))
 
     def counts(self, *more: str) -> DataFrame:
         """SPEC (and ``more`` columns of announcements) with ``n``, the matching announcements.
@@ -180,14 +181,14 @@ class MatchPlan:
         every piece of a spec and kind of announcement in it, whatever their number.
         """
         kind = [*MEET, "aps", "amask", *more]
-        pieces = with_pieces(self.classes(*more)).groupBy(*kind).agg(F.sum("n").alias("n"))
+        pieces = with_pieces(self.classes(*more), self.levels).groupBy(*kind).agg(F.sum("n").alias("n"))
         return (self.spec_pieces().join(pieces, MEET).where(matching())
                 .groupBy(*SPEC, *more).agg(F.sum("n").alias("n")))
 
     @cached_property
     def spec_class(self) -> DataFrame:
         """SPEC + CLASS + n: the classes that each spec matches, each once."""
-        return (self.spec_pieces().join(with_pieces(self.classes()), MEET).where(matching())
+        return (self.spec_pieces().join(with_pieces(self.classes(), self.levels), MEET).where(matching())
                 .select(*SPEC, *CLASS[1:], "n"))
 
 
@@ -217,7 +218,8 @@ def plan_matches(requests: DataFrame, ann: DataFrame, write: bool = True) -> Mat
              .withColumn("amask", label_mask(F.col("announcement_types"))))
     if write:
         ann_c, numbered = materialize(ann_c, "ann-classes"), materialize(numbered, "specs")
-    return MatchPlan(req, ann_c, numbered)
+    segments = numbered.agg(F.max("seg_end")).first()[0] or 1
+    return MatchPlan(req, ann_c, numbered, levels_for(segments))
 
 
 def expand_classes(rows: DataFrame, members: DataFrame, sizes: DataFrame,

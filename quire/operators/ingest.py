@@ -99,7 +99,7 @@ class KeyPlan:
 
     def in_pieces(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with SPEC) copied to the pieces of their windows."""
-        return rows.join(self.plan.specs, SPEC).select(*rows.columns, F.inline(cover(F.col("seg_from"), F.col("seg_end"))))
+        return rows.join(self.plan.specs, SPEC).select(*rows.columns, F.inline(cover(F.col("seg_from"), F.col("seg_end"), self.plan.levels)))
 
 
 def plan_keys(p: MatchPlan) -> KeyPlan:
@@ -109,7 +109,7 @@ def plan_keys(p: MatchPlan) -> KeyPlan:
             .agg(F.sort_array(F.collect_set("cls")).alias("classes")))
     keys = materialize(sets.withColumn("kg", F.md5(F.to_json("classes"))), "keys")
     groups = keys.groupBy("ticker", "kg").agg(F.count(F.lit(1)).alias("n"), F.first("classes").alias("classes"))
-    pieces = with_pieces(groups.select("ticker", "kg", F.inline("classes"))).select(*MEET, "aps", "amask", "kg")
+    pieces = with_pieces(groups.select("ticker", "kg", F.inline("classes")), p.levels).select(*MEET, "aps", "amask", "kg")
     return KeyPlan(keys.select("ticker", "kg", "key"), groups.select("ticker", "kg", "n"), pieces, p)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.operators import filters, ingest, stats
-from quire.operators.cover import FANOUT, LEVELS, cover, holders
+from quire.operators.cover import FANOUT, LEVELS, cover, holders, levels_for
 
 ANN = "ticker string, url string, key string, announcement_types string, date date, is_price_sensitive boolean"
 REQ = ("request_id bigint, session_id bigint, ts timestamp, ticker string, date_from date, date_to date, "
@@ -32,6 +32,13 @@ def test_every_segment_of_a_window_lies_in_exactly_one_piece(spark):
         assert len(spans) <= 6 * LEVELS + max(0, r.b - r.a) // top
 
 
+def test_fewer_levels_cover_as_well(spark):
+    assert [levels_for(n) for n in (1, 3, 4, 15, 16, 10**9)] == [1, 1, 2, 2, 3, LEVELS]
+    rows = spark.createDataFrame([(a, b) for a in range(20) for b in range(20)], "a int, b int")
+    for r in rows.select("a", "b", cover(F.col("a"), F.col("b"), 2).alias("p")).collect():
+        assert sorted(q for x in r.p for q in range(x.ix * FANOUT ** x.lv, (x.ix + 1) * FANOUT ** x.lv)) == list(range(r.a, r.b))
+
+
 def test_holders_are_the_pieces_above_a_segment(spark):
     for r in spark.range(0, 70000, 997).select("id", holders(F.col("id")).alias("h")).collect():
         assert [(x.lv, x.ix) for x in r.h] == [(lv, r.id // FANOUT ** lv) for lv in range(LEVELS)]
