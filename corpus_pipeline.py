@@ -14,25 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, minmax_dedup, quality, secret_scan
-from quire.llm.common import bounded_batches
+from quire.llm.common import bounded_batches, free_name
 from quire.session import materialize, scratch_path
 from quire.sources.tables import read_table
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have, in any case."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the base rules or the certified cutoffs reject go."""
     bounded_batches(spark)
     measured = materialize(quality.measure_documents(docs), "measures")
     thresholds = quality.fit(measured, read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
-    m = _free(docs, "quality_measures")
+    m = free_name(docs, "quality_measures")
     return (docs.withColumn(m, quality.measures("text"))
             .where(~quality.base_failed(m) & ~thresholds.rejects(F.coalesce("lang", F.lit(quality.POOLED)), m))
             .drop(m))
@@ -41,7 +33,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates: the document of least id of each group stays."""
     found = minmax_dedup.near_duplicates(docs).where("doc_id is not null")
-    name = _free(docs, "dropped_id")
+    name = free_name(docs, "dropped_id")
     dropped = found.groupBy(F.col("doc_id").alias(name)).agg(F.max("kept").alias("kept")).where("not kept")
     return docs.join(dropped.select(name).hint("merge"), docs["doc_id"] == F.col(name), "left_anti")
 
@@ -54,7 +46,7 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every span is replaced by a mark, and n_chars follows the text."""
     formats = secret_scan.fit(docs)
-    name = _free(docs, "secrets")
+    name = free_name(docs, "secrets")
     out = secret_scan.scan(docs, formats, redacted=True, out_col=name).withColumn("text", F.col(f"{name}.redacted"))
     if "n_chars" in docs.columns:
         changed = F.col(f"{name}.spans") != ""

@@ -4,7 +4,8 @@ Conventions that hold for every operator here:
 
 * a null text counts as the empty text;
 * working columns are chosen by the operator, so extra columns of the input,
-  whatever their names, are never read and never clash;
+  whatever their names, are never read and never clash; an output column whose
+  name the input has already takes the next free one (:func:`free_name`);
 * repeated rows are treated one by one, as rows of their own;
 * an empty table gives an empty result with the same schema.
 """
@@ -47,6 +48,14 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes for ``docs`` not to have it, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def read_local(path: str, limit: int = 64 << 20) -> bytes:
     """A model or vocabulary file of bounded size, read once on the driver."""
     size = os.path.getsize(path)

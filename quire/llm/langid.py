@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches
+from quire.llm.common import bounded_batches, free_name
 from quire.session import materialize
 
 BUCKETS = 1 << 15
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``language``: lang_pred, score, accepted."""
+    """``docs`` with a struct column ``language`` (or the next free name): lang_pred, score, accepted."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)   # BUCKETS x languages numbers
 
@@ -205,4 +205,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "accepted"])
 
-    return docs.withColumn("language", predicted(F.col(text_col)))
+    return docs.withColumn(free_name(docs, "language"), predicted(F.col(text_col)))

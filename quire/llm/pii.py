@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches
+from quire.llm.common import bounded_batches, free_name
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "id")
@@ -173,7 +173,7 @@ _OUT = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``pii``: counts of the base kinds, digest and list of spans, their scores."""
+    """``docs`` with a struct column ``pii`` (or the next free name): counts of the base kinds, digest and list of spans, their scores."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(_OUT)
@@ -187,4 +187,4 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                              hashlib.sha256(base.encode()).hexdigest(), spans_text(spans, KINDS), [s[3] for s in spans]))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"])
 
-    return docs.withColumn("pii", scanned(F.col(text_col)))
+    return docs.withColumn(free_name(docs, "pii"), scanned(F.col(text_col)))

@@ -13,7 +13,9 @@ and better than the ordinary ones, are set aside first (``_unlabelled``).
 Every candidate token is then scored by the best format's log likelihood against
 the ordinary one; the threshold is ``MARGIN`` above all but ``FALSE_POSITIVES`` of
 the ordinary tokens of a held-back fold.  Tokens above it become spans of kind
-``format`` unless they overlap a base span.
+``format`` unless they overlap a base span.  Candidates have ``MIN_CANDIDATE``
+characters or more: below that a format and an ordinary word differ by too few
+characters to tell, so shorter credentials are found by the base patterns alone.
 
 Positions are code points, ends exclusive.  Null and empty texts have no span;
 without any credential in the corpus no format is learned and base spans stay.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.automata import Automaton, infer
-from quire.llm.common import bounded_batches
+from quire.llm.common import bounded_batches, free_name
 from quire.session import materialize
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -227,8 +229,8 @@ _OUT = ("n_assign long, n_access long, n_hex long, base_sha256 string, spans str
 
 
 def scan(docs: DataFrame, formats: Formats, text_col: str = "text", redacted: bool = False,
-         out_col: str = "secrets") -> DataFrame:
-    """``docs`` with a struct column ``out_col``: counts, digest of the base spans, all spans, and the redacted text.
+         out_col: str | None = None) -> DataFrame:
+    """``docs`` with a struct column ``out_col`` (``secrets`` or the next free name): counts, digest of the base spans, all spans, and the redacted text.
 
     ``redacted`` False leaves the last field null.
     """
@@ -250,4 +252,4 @@ def scan(docs: DataFrame, formats: Formats, text_col: str = "text", redacted: bo
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format",
                                               "redacted"])
 
-    return docs.withColumn(out_col, scanned(F.col(text_col)))
+    return docs.withColumn(out_col or free_name(docs, "secrets"), scanned(F.col(text_col)))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches
+from quire.llm.common import bounded_batches, free_name
 from quire.llm.transducers import Transducer
 from quire.session import materialize
 
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``toxicity``: score, predicted, n_clauses, clause (the strongest)."""
+    """``docs`` with a struct column ``toxicity`` (or the next free name): score, predicted, n_clauses, clause (the strongest)."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.entries, model.coef, model.bias))
 
@@ -291,4 +291,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame({"score": [r[0] for r in rows], "predicted": [int(r[0] >= CUTOFF) for r in rows],
                                 "n_clauses": [r[1] for r in rows], "clause": [r[2] for r in rows]})
 
-    return docs.withColumn("toxicity", scored(F.col(text_col)))
+    return docs.withColumn(free_name(docs, "toxicity"), scored(F.col(text_col)))
