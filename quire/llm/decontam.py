@@ -17,8 +17,9 @@ together, each widened by the item's length, so that a copy lies whole in them;
 its score is the mean of its pieces' best, by their lengths.
 
 The index is cut into shards of about ``SHARD_ITEMS`` pieces of bounded length,
-the pieces of an item in one, broadcast one at a time; the documents are read
-once per shard and never shuffled.
+the pieces of an item in one (equal rows of an item count once), broadcast one at a
+time: what a shard gives is written, and its index released, before the next one
+comes.  The documents are read once per shard and never shuffled.
 
 Defined results: words split at ASCII white space, A-Z lower-cased, with signs
 at their ends removed.  Items that are null, or without a word, match nothing;
@@ -343,9 +344,9 @@ def index_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                  threshold: float = RETRIEVE) -> Iterator[Index]:
     """The index in shards, one at a time: each is a bounded number of pieces of bounded length."""
     pieces = materialize(
-        items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"),
-                                                      F.monotonically_increasing_id().alias("row"),
-                                                      F.col(text_col).alias("text"))
+        items.where(F.col(id_col).isNotNull())
+        .select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).dropDuplicates()
+        .select("item", F.monotonically_increasing_id().alias("row"), "text")
         .mapInPandas(_pieces, "item long, row long, piece int, text string, words array<string>"), "benchmark-pieces")
     total = pieces.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     if not total.n:
@@ -377,7 +378,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out: DataFrame | None = None
+    part, shared = None, None
     for index in index_shards(items, threshold=threshold):
+        if part is not None:
+            part, out = None, _joined(out, _written(part, shared))
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -394,18 +398,33 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                                                   "answer_overlap"])
 
         part = texts.mapInArrow(search, _FOUND)
-        out = part if out is None else out.unionByName(part)
-    return texts.sparkSession.createDataFrame([], _FOUND) if out is None else out
+    return spark.createDataFrame([], _FOUND) if part is None else _joined(out, part)
+
+
+def _joined(out: DataFrame | None, part: DataFrame) -> DataFrame:
+    return part if out is None else out.unionByName(part)
+
+
+def _written(part: DataFrame, shared) -> DataFrame:
+    """What a shard gave, written, so that its index can leave the executors before the next comes."""
+    done = materialize(part, "shard")
+    shared.unpersist()
+    return done
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                          threshold: float = RETRIEVE) -> DataFrame:
-    """``docs`` without the rows whose text holds an item; no join, one filter per index shard."""
+    """``docs`` without the rows whose text holds an item; no join, one filter per index shard.
+
+    With several shards, what each but the last leaves is written before the next.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
+    shared = None
     for index in index_shards(items, threshold=threshold):
+        if shared is not None:
+            docs = _written(docs, shared)
         shared = spark.sparkContext.broadcast(index)
-
         docs = docs.where(_clean(shared, threshold)(F.col(text_col)))
     return docs
 
