@@ -78,3 +78,55 @@ def test_counts_of_both_labels_in_every_partition(spark):
 
 def test_numerals_are_no_letters():
     assert [langid.has_letter(t) for t in (None, "", "²", "½ 3", "①", "Ⅷ", "_ 1!", "a", "¹ß", "中")] == [False] * 7 + [True] * 3
+
+
+def test_outputs_beside_columns_of_the_same_name(spark):
+    from quire.llm import licenses, pii, secret_scan
+    taken = ["language", "license", "paragraphs", "PII", "toxicity", "secrets"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", *[F.lit(c).alias(c) for c in taken])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    few = docs.where("doc_id < 20")
+    outs = [langid.identify(few, langid.fit(docs, F.lit(True))), licenses.scan(few, licenses.fit(docs)), pii.scan(few),
+            toxicity.score(few, toxicity.fit(docs, labels, F.lit(True))), secret_scan.scan(few, secret_scan.fit(docs))]
+    assert [o.columns[9:] for o in outs] == [["language_"], ["paragraphs_", "license_"], ["pii_"], ["toxicity_"], ["secrets_"]]
+    for o in outs:
+        assert o.select(*taken).distinct().collect() == [tuple(taken)] and o.select(o.columns[-1] + ".*").count() == few.count()
+
+
+def test_licences_whatever_the_words_of_the_corpus(spark):
+    """Notices are found in a corpus whose ordinary sentences use their words."""
+    from quire.llm import licenses
+    rows = [(i, f"members have rights in house {i}\nseats are reserved for {i}, all of them\nthe license of driver {i} was "
+                f"renewed\nshe was released on day {i}\na professor at mit wrote {i}") for i in range(119)]
+    rows += [(1000, "All rights reserved."), (1001, "Released under the MIT License."), (1002, "MIT License")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license.family for r in licenses.scan(docs, licenses.fit(docs)).collect()}
+    assert [got.pop(i) for i in (1000, 1001, 1002)] == ["reserved", "mit", "mit"]
+    assert set(got.values()) == {"none"}
+
+
+def test_licence_notices_held_back(spark):
+    """Notices that training has not seen: most are told from ordinary text, few take another family's name."""
+    from quire.llm import licenses
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = licenses.held_out_recall(docs).collect()
+    total = sum(r.notices for r in got)
+    assert total == sum(map(len, licenses.fold(True).values()))
+    assert sum(r.named + r.unknown for r in got) >= 0.5 * total and sum(r.named for r in got) >= 0.4 * total
+
+
+def test_decontamination_one_shard_at_a_time(spark, monkeypatch):
+    """The same results from many shards, of which a plan holds one."""
+    from quire.llm import decontam
+    text = {i: " ".join(f"q{i}w{j}" for j in range(40)) for i in range(8)}
+    items = spark.createDataFrame([*text.items(), (3, text[3]), (3, text[3])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {text[i]} after" if i < 8 else f"plain text number {i}") for i in range(12)] * 2,
+                                 "doc_id long, text string")
+    want = sorted(decontam.contaminated(docs, items).select("doc_id", "item_id").collect())
+    assert want == sorted([(i, i) for i in range(8)] * 2)
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", 2)
+    out, clean = decontam.contaminated(docs, items), decontam.without_contaminated(docs, items)
+    assert sorted(out.select("doc_id", "item_id").collect()) == want
+    assert sorted(r.doc_id for r in clean.collect()) == sorted([8, 9, 10, 11] * 2)
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1
