@@ -2,11 +2,12 @@
 
 A paragraph is a line, or the lines between two without a letter or digit, taken
 together, as notices are often wrapped.  Its features are the distinct words and
-word pairs that the model knows.  The model is a sparse multinomial logistic
-regression (L1) over licence families and ``none``, trained on the notices below
-against paragraphs of a bounded sample of the corpus (``SAMPLE`` documents, those
-of least hash in as many buckets) that hold no distinctive pair.  Distinctive are
-the word pairs of one family's notices alone, without a word of ``COMMON``.
+word pairs of the notices, save those of ``COMMON`` words only.  The model is a sparse
+multinomial logistic regression (L1) over licence families and ``none``, trained on the
+notices below against the paragraphs of the whole corpus that hold no distinctive pair:
+every distinct set of their features is a row, which weighs as much as a notice, or less
+where all rows would weigh more than ``BACKGROUND_WEIGHT``.  Distinctive are the word pairs of one family's notices alone,
+without a word of ``COMMON``.
 
 A paragraph is read only if it has an anchor: a word pair that only one family's
 notices have (of a notice without a distinctive pair, any pair of its own family's
@@ -23,8 +24,9 @@ held back, and the threshold lies half-way between the highest probability of
 a background paragraph and that which all but ``MISSED`` of the held-back notices
 that the model knows at all reach.  ``held_out_recall`` reports their recall by family.
 
-Everything per document is one projection: no shuffle, and a text of any
-length is one row.  Only model coefficients reach the driver.
+The scan of a document is one projection: no shuffle, and a text of any length is one
+row.  Training shuffles the distinct sets of features and sums over them in as many
+tasks as they fill.  Only model coefficients reach the driver.
 
 Defined results: null and empty texts, and texts without an anchor, are
 ``none`` with score 0; of several families the most probable paragraph's
@@ -44,13 +46,14 @@ from quire.llm.common import free_name
 from quire.llm.notices import NOTICES
 from quire.session import materialize
 
-SAMPLE = 2048
 CONFIRM = 0.6
 MIN_PROBABILITY, MAX_PROBABILITY = 0.5, 0.95    # bounds of the threshold
 MISSED = 0.05
 HELD_EVERY = 3
 REG = 5e-4
 NOTICE_WEIGHT = 50.0
+BACKGROUND_WEIGHT = 10_000.0                    # of all background rows; a row weighs as much as a notice at most
+DIGITS = 6                                      # of coefficients, so that the order of sums does not show
 NONE, UNKNOWN = "none", "unknown"
 
 # Fixed words that make no pair distinctive.
@@ -60,7 +63,7 @@ COMMON = set("a an the this that of to in on at by for from with without and or
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def pairs(own: Column) -> Column:
@@ -73,12 +76,23 @@ def features(own: Column) -> Column:
     return F.array_distinct(F.concat(own, pairs(own)))
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a notice, in order."""
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
 def pairs_of(text: str) -> list[str]:
     """Word pairs of a notice."""
-    ws = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
+    ws = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)})
 
 
+def vocabulary(notices: dict[str, list[str]]) -> list[str]:
+    """The words and word pairs of the notices that are not of common words only."""
+    return sorted({x for ts in notices.values() for t in ts for x in (*words_of(t), *pairs_of(t))
+                   if not set(x.split()) <= COMMON})
+
+
 def distinctive(family: str, text: str, notices: dict[str, list[str]] = NOTICES, plain: bool = False) -> list[str]:
     """A notice's pairs that no other family's notices have and that hold no common word, nor only numbers.
 
@@ -124,7 +138,7 @@ class Model:
 def rows_of(spark: SparkSession, notices: dict[str, list[str]]) -> DataFrame:
     """The notices as rows (family, paragraph)."""
     rows = [F.struct(F.lit(f).alias("family"), F.lit(t).alias("paragraph")) for f, ts in notices.items() for t in ts]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def fold(held: bool) -> dict[str, list[str]]:
@@ -132,21 +146,19 @@ def fold(held: bool) -> dict[str, list[str]]:
     return {f: [t for i, t in enumerate(ts) if (i % HELD_EVERY == HELD_EVERY - 1) == held] for f, ts in NOTICES.items()}
 
 
-def _background(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Paragraphs without a distinctive pair of a bounded sample: wrapped, own (features), held."""
+def _background(docs: DataFrame, text_col: str) -> DataFrame:
+    """Distinct sets of known features of all paragraphs without a distinctive pair: own (features), held."""
     telling_pairs = _strings(sorted({p for f, ts in NOTICES.items() for t in ts for p in distinctive(f, t)}))
-    keyed = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
-    chosen = keyed.groupBy(F.pmod("h", F.lit(SAMPLE))).agg(F.min("h").alias("h")).select("h")
-    return (keyed.join(F.broadcast(chosen), "h")      # at most SAMPLE rows of a number each
-            .select(F.explode(F.concat(F.transform(F.split("text", "\n"), lambda p: _kind(p, False)),
-                                       F.transform(blocks(F.col("text")), lambda p: _kind(p, True)))).alias("x"))
-            .select("x.wrapped", F.xxhash64("x.paragraph").alias("key"),
-                    features(words(F.col("x.paragraph"))).alias("own"))
-            .where(F.size("own") > 0).dropDuplicates(["wrapped", "key"])
-            .where(~F.arrays_overlap("own", telling_pairs))
-            .groupBy("wrapped", F.pmod("key", F.lit(4 * SAMPLE)).alias("bucket"))
-            .agg(F.min_by("own", "key").alias("own"))
-            .select("wrapped", "own", (F.pmod("bucket", F.lit(3)) == 0).alias("held")))
+    known = vocabulary(NOTICES)
+    text = F.col(text_col)
+    paragraphs = docs.select(F.explode(F.concat(F.split(text, "\n"), blocks(text))).alias("paragraph"))
+    own = F.array_sort(F.array_intersect(F.col("all"), _strings(known)))
+    return (paragraphs.select(words(F.col("paragraph")).alias("ws")).where(F.size("ws") > 0)
+            # pairs are built only where a word of a known feature is
+            .select(F.when(F.arrays_overlap("ws", _strings(t for t in known if " " not in t)), features(F.col("ws")))
+                    .otherwise(F.array().cast("array<string>")).alias("all"))
+            .select(own.alias("own")).where(~F.arrays_overlap("own", telling_pairs)).distinct()
+            .select("own", (F.pmod(F.xxhash64("own"), F.lit(3)) == 0).alias("held")))
 
 
 def _train(background: DataFrame, notices: dict[str, list[str]]) -> Model:
@@ -154,20 +166,20 @@ def _train(background: DataFrame, notices: dict[str, list[str]]) -> Model:
     families = [NONE, *sorted(notices)]
     index = F.array(*[F.lit(f) for f in families])
     known = rows_of(background.sparkSession, notices).select("family", features(words(F.col("paragraph"))).alias("own"))
-    vocabulary = sorted(r.term for r in known.select(F.explode("own").alias("term")).distinct().collect())
+    plain = background.where("not held").select("own", F.lit(0.0).alias("label"))
+    weight = min(NOTICE_WEIGHT, BACKGROUND_WEIGHT / max(plain.count(), 1))
     rows = (known.select("own", (F.array_position(index, F.col("family")) - 1).cast("double").alias("label"),
                          F.lit(NOTICE_WEIGHT).alias("weight"))
-            .unionByName(background.where("not held").select("own", F.lit(0.0).alias("label"),
-                                                             F.lit(1.0).alias("weight"))))
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="own", outputCol="x")
+            .unionByName(plain.withColumn("weight", F.lit(weight))))
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary(notices), inputCol="own", outputCol="x")
     vectors.setBinary(True)
     fitted = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial",
                                 regParam=REG, elasticNetParam=1.0, maxIter=60, standardization=False,
-                                ).fit(vectors.transform(rows).coalesce(1))
-    matrix = fitted.coefficientMatrix.toArray()
+                                ).fit(vectors.transform(rows))
+    matrix = fitted.coefficientMatrix.toArray().round(DIGITS)
     weights = {t: [float(v) for v in matrix[:, i]] for i, t in enumerate(vectors.vocabulary)
                if abs(matrix[:, i]).max() > 1e-6}
-    return Model(families, weights, [float(b) for b in fitted.interceptVector.toArray()], anchor_pairs(notices),
+    return Model(families, weights, [float(b) for b in fitted.interceptVector.toArray().round(DIGITS)], anchor_pairs(notices),
                  MIN_PROBABILITY, notices)
 
 
@@ -186,7 +198,7 @@ def _calibrated(model: Model, background: DataFrame) -> float:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on the notices and on background paragraphs of ``docs``, which are written once for both trainings."""
-    background = materialize(_background(docs, id_col, text_col), "licence-background")
+    background = materialize(_background(docs, text_col), "licence-background")
     threshold = _calibrated(_train(background, fold(False)), background)
     model = _train(background, NOTICES)
     model.threshold = threshold
@@ -195,7 +207,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
 
 def held_out_recall(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """By family: the notices held back, and how many of them a model of the others names rightly or as ``unknown``."""
-    background = materialize(_background(docs, id_col, text_col), "licence-background")
+    background = materialize(_background(docs, text_col), "licence-background")
     model = _train(background, fold(False))
     model.threshold = _calibrated(model, background)
     found = scan(rows_of(docs.sparkSession, fold(True)), model, "paragraph")

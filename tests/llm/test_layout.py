@@ -105,6 +105,18 @@ def test_licences_whatever_the_words_of_the_corpus(spark):
     assert set(got.values()) == {"none"}
 
 
+def test_licence_training_reads_every_document(spark, monkeypatch):
+    """Every document has a set of notice words of its own, and all of them are trained on, not a sample."""
+    from quire.llm import licenses
+    own = ["software", "license", "permission", "copyright", "public", "rights", "general", "files", "conditions",
+           "documentation", "person", "copies"]
+    rows = [(i, " plain ".join(w for j, w in enumerate(own) if i >> j & 1) or "plain") for i in range(1 << len(own))]
+    seen, train = [], licenses._train
+    monkeypatch.setattr(licenses, "_train", lambda background, notices: seen.append(background.count()) or train(background, notices))
+    licenses.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert seen == [len(rows)] * 2
+
+
 def test_licence_notices_held_back(spark):
     """Notices that training has not seen: most are told from ordinary text, few take another family's name."""
     from quire.llm import licenses
