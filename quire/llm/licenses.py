@@ -148,16 +148,22 @@ def fold(held: bool) -> dict[str, list[str]]:
 
 def _background(docs: DataFrame, text_col: str) -> DataFrame:
     """Distinct sets of known features of all paragraphs without a distinctive pair: own (features), held."""
-    telling_pairs = _strings(sorted({p for f, ts in NOTICES.items() for t in ts for p in distinctive(f, t)}))
+    telling_pairs = sorted({p for f, ts in NOTICES.items() for t in ts for p in distinctive(f, t)})
     known = vocabulary(NOTICES)
+    single = [t for t in known if " " not in t]
     text = F.col(text_col)
-    paragraphs = docs.select(F.explode(F.concat(F.split(text, "\n"), blocks(text))).alias("paragraph"))
-    own = F.array_sort(F.array_intersect(F.col("all"), _strings(known)))
-    return (paragraphs.select(words(F.col("paragraph")).alias("ws")).where(F.size("ws") > 0)
-            # pairs are built only where a word of a known feature is
-            .select(F.when(F.arrays_overlap("ws", _strings(t for t in known if " " not in t)), features(F.col("ws")))
-                    .otherwise(F.array().cast("array<string>")).alias("all"))
-            .select(own.alias("own")).where(~F.arrays_overlap("own", telling_pairs)).distinct()
+    none = F.array().cast("array<string>")
+
+    def own(ws: Column) -> Column:
+        """Words are looked up one by one, and pairs are built only where a word of a known feature is."""
+        kept = F.filter(F.concat(ws, pairs(ws)), lambda x: x.isin(known))
+        return F.when(F.exists(ws, lambda w: w.isin(single)), F.array_sort(F.array_distinct(kept))).otherwise(none)
+
+    # sets are made before they become rows, so that no filter on rows makes them again
+    paragraphs = F.transform(F.concat(F.split(text, "\n"), blocks(text)), words)
+    sets = F.transform(F.filter(paragraphs, lambda ws: F.size(ws) > 0), own)
+    return (docs.select(F.explode(sets).alias("own"))
+            .where(~F.exists("own", lambda x: x.isin(telling_pairs))).distinct()
             .select("own", (F.pmod(F.xxhash64("own"), F.lit(3)) == 0).alias("held")))
 
 
