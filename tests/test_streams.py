@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,56 @@ def test_change_stream_equals_batch_with_empty_tickers(spark, tmp_path):
     assert {r.reason for r in got if not r.ticker} == {ingest.NO_TICKER} and all(r.query_hash is None for r in got if not r.ticker)
 
 
+def test_change_stream_keeps_a_session_s_tickers_apart(spark, tmp_path):
+    """One state for a session: a ticker's change is told from its own last fingerprint, also over null ids."""
+    schema = ("request_id long, session_id long, ts timestamp, ticker string, date_from date, date_to date, "
+              "price_sensitive boolean, types array<string>")
+    d = dt.date(2024, 1, 1)
+    rows = [(None if i == 9 else i, None if i % 3 == 2 else 1, DAY + dt.timedelta(seconds=i), "ABC"[i * 7 % 5 % 3], d,
+             d + dt.timedelta(i // 6 % 2), False, []) for i in range(40)]
+    cols = ["request_id", "session_id", "ticker", "query_hash", "reason"]
+    got = _feed(spark, str(tmp_path), schema, [rows[:13], rows[13:14], rows[14:]], stateful.detect_change).select(*cols).collect()
+    want = ingest.detect_change(spark.createDataFrame(rows, schema)).select(*cols).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_change_state_forgets_silent_tickers_alone():
+    """With a timeout each ticker of a session has its own: what is silent so long begins anew, the others go on."""
+    class State:
+        exists, hasTimedOut, get, timer, now = False, False, None, None, 0
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutDuration(self, ms):
+            self.timer = self.now + ms
+
+    state, calls = State(), []
+    step = stateful._change_fn(100)
+
+    def rows(now, *pairs):
+        state.now, state.hasTimedOut = now, not pairs
+        pdf = pd.DataFrame([(i, 1, t, pd.Timestamp(now + i, unit="ms"), h) for i, (t, h) in enumerate(pairs)],
+                           columns=["request_id", "session_id", "ticker", "ts", "query_hash"])
+        calls.append([r for out in step((1,), iter([pdf] if pairs else []), state) for r in out["reason"]])
+
+    rows(0, ("A", "x"), ("B", "x"))
+    rows(60, ("B", "y"))
+    assert state.timer == 100
+    rows(110)                                   # A is forgotten, B is not
+    assert state.get[0] == ["B"] and state.timer == 160
+    rows(120, ("A", "x"), ("B", "y"))
+    rows(300)
+    assert not state.exists
+    assert calls == [[ingest.INITIAL] * 2, [ingest.CHANGED], [], [ingest.INITIAL, ingest.SAME], []]
+
+
 def test_open_lifetimes_complete_the_closed_ones(spark, tmp_path):
     schema = "ticker string, ts timestamp"
     hours = {"S1": [0, 5, 29, 60, 200, 201], "S2": [3], "S3": [0, 24, 48, 73, 300], "S4": [299]}
