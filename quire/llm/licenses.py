@@ -72,6 +72,16 @@ def pairs(own: Column) -> Column:
                       F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def pairs_among(own: Column, wanted: list[str]) -> Column:
+    """The word pairs of a word array that are ``wanted``; a pair is built only where a word may begin one and the next end it.
+
+    ``own`` is looked into word by word: a variable of a lambda function, or it is made again for every word.
+    """
+    begin, end = (sorted({p.split()[i] for p in wanted}) for i in (0, 1))
+    built = F.transform(own, lambda w, i: F.when(w.isin(begin) & F.get(own, i + 1).isin(end), F.concat_ws(" ", w, F.get(own, i + 1))))
+    return F.filter(built, lambda p: p.isin(wanted))
+
+
 def features(own: Column) -> Column:
     return F.array_distinct(F.concat(own, pairs(own)))
 
@@ -151,12 +161,13 @@ def _background(docs: DataFrame, text_col: str) -> DataFrame:
     telling_pairs = sorted({p for f, ts in NOTICES.items() for t in ts for p in distinctive(f, t)})
     known = vocabulary(NOTICES)
     single = [t for t in known if " " not in t]
+    double = [t for t in known if " " in t]
     text = F.col(text_col)
     none = F.array().cast("array<string>")
 
     def own(ws: Column) -> Column:
         """Words are looked up one by one, and pairs are built only where a word of a known feature is."""
-        kept = F.filter(F.concat(ws, pairs(ws)), lambda x: x.isin(known))
+        kept = F.concat(F.filter(ws, lambda w: w.isin(single)), pairs_among(ws, double))
         return F.when(F.exists(ws, lambda w: w.isin(single)), F.array_sort(F.array_distinct(kept))).otherwise(none)
 
     # sets are made before they become rows, so that no filter on rows makes them again
@@ -253,14 +264,9 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     lines, number from 0 (among the lines, or the stretches of lines), family,
     score and similarity.
     """
-    anchors = _strings(model.anchors)
-    first = _strings(sorted({p.split()[0] for p in model.anchors}))
-    second = _strings(sorted({p.split()[1] for p in model.anchors}))
-
     def anchored_by(ws: Column) -> Column:
-        """Whether the words hold an anchor; pairs are built only where both of its words may be."""
-        return F.when(F.arrays_overlap(ws, first) & F.arrays_overlap(ws, second), F.arrays_overlap(pairs(ws), anchors)
-                      ).otherwise(False)
+        """Whether the words hold an anchor."""
+        return F.size(pairs_among(ws, model.anchors)) > 0
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     def numbered(parts: Column, wrapped: bool) -> Column:
@@ -268,7 +274,8 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                                                         words(p).alias("ws")))
 
     lines = F.concat(numbered(F.split(text, "\n"), False), numbered(blocks(text), True))
-    anchored = F.when(anchored_by(words(text)), F.filter(lines, lambda x: anchored_by(x.ws)))
+    # the words of the text are the variable of a lambda function, so that they are made once
+    anchored = F.when(F.exists(F.array(words(text)), anchored_by), F.filter(lines, lambda x: anchored_by(x.ws)))
     none = F.array().cast("array<struct<wrapped:boolean,n:int,own:array<string>,p:array<double>>>")
     scored = F.coalesce(F.transform(anchored, lambda x: F.struct(
         x.wrapped.alias("wrapped"), x.n.alias("n"), features(x.ws).alias("own"), probabilities(features(x.ws), model).alias("p"))), none)

@@ -220,6 +220,23 @@ def test_licences_of_planted_notices(spark):
     assert {r.doc_id: r.license.family for r in got} == {r[0]: r[2] for r in rows}
 
 
+def test_licence_scan_makes_the_words_of_a_text_once(spark):
+    from pyspark.sql import functions as F
+    from quire.llm import licenses
+    model = licenses.Model(["none", "mit"], {"mit": [0.0, 1.0]}, [0.0, 0.0], licenses.anchor_pairs(licenses.NOTICES), 0.5,
+                           {"mit": licenses.NOTICES["mit"]})
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, body string")
+    plan = licenses.scan(docs, model, "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(coalesce(body") == 1
+
+    rows = [(["a", "b", "a", "b", "c"],), ([],), (["b"],), (["a", "c", "b", "a"],), (None,)]
+    wanted = ["a b", "b a", "c d"]
+    ws = spark.createDataFrame(rows, "ws array<string>")
+    got = ws.select(licenses.pairs_among(F.col("ws"), wanted).alias("p"),
+                    F.filter(licenses.pairs(F.col("ws")), lambda p: p.isin(wanted)).alias("q")).collect()
+    assert [r.p for r in got] == [r.q for r in got] == [["a b", "b a", "a b"], [], [], ["b a"], None]
+
+
 def test_licence_scan_runs_without_python(spark):
     from quire.llm import licenses
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
