@@ -8,6 +8,11 @@ The source files use display headers (``Company Name``, ``announcementTypes``,
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,15 +124,50 @@ def read_documents(docs: DataFrame, keys: DataFrame, key_col: str = "key") -> Da
     return docs.join(keys.select(key_col).distinct(), key_col, "left_semi")
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain name of ``path`` if it lies in a file system that every machine mounts, else nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return full.getPath() if full.getScheme() == "file" else None
+
+
+def _key_folder(key: str) -> str:
+    """The folder of a key, as Spark names the folders of a partition column."""
+    escaped = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", key)
+    return f"key={escaped or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def write_bodies(rows: Iterator, folder: str) -> None:
+    """Rows (key, value) sorted by key, each key's values in one file that takes its name when it is whole."""
+    for key, same in groupby(rows, lambda r: r.key):
+        at = os.path.join(folder, _key_folder(key))
+        os.makedirs(at, exist_ok=True)
+        begun = os.path.join(at, f"_begun-{os.urandom(8).hex()}")       # a task may run twice at once
+        with open(begun, "wb") as out:
+            for r in same:
+                out.write(r.value)
+                out.write(b"\n")
+        os.replace(begun, os.path.join(at, "body.txt"))
+
+
 def write_document_files(docs: DataFrame, path: str, key_col: str = "key", text_col: str = "text") -> str:
     """Document bodies as UTF-8 files that end in a line break, a folder for every key under ``path``.
 
     A null text is an empty body, a null key has no file.  Bodies of a repeated
-    key stand in one file.
+    key stand in one file.  Scale: in a mounted folder the tasks write their
+    files themselves, as Spark's writer starts several programs (chmod) for
+    every file there and moves every folder once more in the driver.
     """
-    (docs.where(F.col(key_col).isNotNull())
-     .select(F.col(key_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("value"))
-     .repartition("key").write.partitionBy("key").option("lineSep", "\n").text(path))
+    rows = (docs.where(F.col(key_col).isNotNull())
+            .select(F.col(key_col).cast("string").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("value"))
+            .repartition("key"))
+    folder = _local_folder(docs.sparkSession, path)
+    if folder is None:
+        rows.write.partitionBy("key").option("lineSep", "\n").text(path)
+    else:
+        os.makedirs(folder)
+        (rows.select("key", F.col("value").cast("binary").alias("value")).sortWithinPartitions("key")
+         .foreachPartition(lambda part: write_bodies(part, folder)))
     return path
 
 

@@ -162,6 +162,19 @@ def test_staging_spreads_over_files(spark, tmp_path):
     assert all(p.rdd.getNumPartitions() > 1 for p in parts)
 
 
+def test_document_files_are_written_by_the_tasks(spark, tmp_path):
+    import os
+    keys = ["a/b=c%d", "x:\"[1]^{2}\\ ?#*'", "é 1.md", "e\tf", "_g", ".h", "i,j&k~!@$+;<>|()}`"]
+    rows = [(k, f"text of {k}\n") for k in keys] + [("r", "s"), ("r", "t"), ("", "no key"), ("n", None)]
+    docs = spark.createDataFrame(rows, "key string, text string")
+    docs.where("key is not null").write.partitionBy("key").text(str(tmp_path / "spark"))
+    path = readers.write_document_files(docs, str(tmp_path / "files"))
+    assert sorted(d for d in os.listdir(path)) == sorted(d for d in os.listdir(tmp_path / "spark") if d.startswith("key="))
+    assert {n for d in os.listdir(path) for n in os.listdir(os.path.join(path, d))} == {"body.txt"}     # no staged copies, no checksums
+    got = {r.key: r.text for r in readers.read_document_files(spark, path, docs).collect()}
+    assert got.pop("r") in ("s\nt", "t\ns") and got == {**{k: f"text of {k}\n" for k in keys}, "n": ""}
+
+
 def test_document_files_by_key(spark, tmp_path):
     rows = [("1_a.md", "one\ntwo\n"), ("2_b/ü %.md", "  "), ("3", None), (None, "lost"), ("4", "")]
     path = readers.write_document_files(spark.createDataFrame(rows, "key string, text string"), str(tmp_path / "files"))
