@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.taxonomy import labels_array
-from quire.operators.filters import SPEC, MatchPlan, plan_matches
+from quire.operators import cells
+from quire.operators.filters import with_spec
+from quire.session import materialize
 
 
 def type_counts_matched(matched: DataFrame, by=("request_id",)) -> DataFrame:
@@ -14,21 +18,20 @@ def type_counts_matched(matched: DataFrame, by=("request_id",)) -> DataFrame:
     return matched.groupBy(*by, "announcement_types").agg(F.count(F.lit(1)).alias("n"))
 
 
-def type_counts(requests: DataFrame, ann: DataFrame, plan: MatchPlan | None = None) -> DataFrame:
+def type_counts(requests: DataFrame, ann: DataFrame) -> DataFrame:
     """AGG-1 for many requests without materialising request x announcement pairs.
 
-    Counts are taken per (piece, type string), summed over the pieces of each
-    spec, then attached to each request by its spec.
+    Announcements are counted per (ticker, day, flag, labels, type string); in
+    cells (:mod:`quire.operators.cells`) sums up to each day give the counts of any window.
     """
-    p = plan or plan_matches(requests, ann)
-    return p.requests.join(p.counts("announcement_types"), SPEC).select("request_id", "announcement_types", "n")
-
-
-def matched_counts(requests: DataFrame, ann: DataFrame, plan: MatchPlan | None = None) -> DataFrame:
-    """Number of matched announcements per request (0 for requests matching none)."""
-    p = plan or plan_matches(requests, ann)
-    return (p.requests.join(p.counts().withColumnRenamed("n", "n_matched"), SPEC, "left")
-            .select("request_id", F.coalesce(F.col("n_matched"), F.lit(0)).cast("bigint").alias("n_matched")))
+    asked = (with_spec(requests).where(F.col("ticker").isNotNull() & F.col("date_from").isNotNull() & F.col("date_to").isNotNull())
+             .select("request_id", "ticker", *cells.WINDOW))
+    found = materialize(cells.members(ann, "announcement_types").groupBy("ticker", "date", "aps", "amask", "announcement_types")
+                        .agg(F.count(F.lit(1)).alias("n")), "type-days")
+    schema = T.StructType([asked.schema["request_id"], T.StructField("announcement_types", T.StringType()),
+                           T.StructField("n", T.LongType())])
+    make = cells.kind_counts("announcement_types", to_arrow_schema(schema))
+    return cells.meet(asked, found, [], make, schema, ["request_id"], whole=True)
 
 
 def label_counts(ann: DataFrame, by=("ticker",)) -> DataFrame:
