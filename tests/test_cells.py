@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import cells, filters, ingest
+from quire.operators import cells, filters, ingest, stats
 from quire.plans import refresh
 
 ANN = "ticker string, url string, key string, announcement_types string, date date, is_price_sensitive boolean"
@@ -92,6 +92,7 @@ def test_pairs_are_no_rows_of_a_ledger(spark):
     req, ann = _tables(spark, 3)
     found = (ingest.load_ledger(req, ann), ingest.load_ledger(req, ann, ack_col="ack"), ingest.load_ledger(req, ann, mode="faithful"),
              ingest.new_counts(req, ann), ingest.load_ledger(req, ann, max_keys=5))
+    found += (stats.type_counts(req, ann), filters.match_requests(req, ann))
     for df in found:
         text = df._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("RepartitionByExpression") == 1 and "MapInArrow" in text
@@ -118,3 +119,16 @@ def test_manifests_of_a_plan_are_those_of_its_ledger(spark):
         got = refresh.refresh_manifests(r, ann, max_keys=4).collect()
         assert {(m.request_id, m.batch_no, m.n_keys) for m in got} == {(m.request_id, m.batch_no, m.n_keys) for m in want}
         assert sum(m.n_keys for m in got) == sum(m.n_keys for m in want)
+
+
+def test_new_and_loaded_keys_meet_as_groups(spark):
+    """JN-3 by key group: the same rows as by key, as often as they stand; a key that is null is never loaded."""
+    req, ann = _tables(spark, 13)
+    old, late = req.where("request_id < 70"), req.where("request_id >= 70")
+    names = ["request_id", "session_id", "ticker", "key"]
+    want = ingest.incremental_keys(filters.match_requests(late, ann), ingest.load_ledger(old, ann)).select(*names)
+    k = ingest.plan_keys(filters.plan_matches(req, ann))
+    new = filters.match_requests(late, ann, names[:-1], groups=k)
+    left = ingest.incremental_keys(new, ingest.load_ledger(old, ann, groups=k), on=("session_id", "ticker", "kg"))
+    got = k.expand(left).select(*names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("key is null").count()
