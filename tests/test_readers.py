@@ -31,3 +31,15 @@ def test_staging_keeps_rows_without_order(spark, tmp_path):
     df = spark.range(10).select("id", F.when(F.col("id") != 4, F.col("id")).alias("o"))
     path = harness.stage_files(df, str(tmp_path / "in"), F.col("o"))
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(10))
+
+
+def test_only_the_wanted_folders_are_looked_at(spark, tmp_path):
+    """Folders of other keys are not even listed; a key may have several files, or only unfinished ones."""
+    rows = [("a/1.md", "one\ntwo"), ("b", ""), ("c", "x"), ("", "of the empty key")]
+    path = readers.write_document_files(spark.createDataFrame(rows, "key string, text string"), str(tmp_path / "files"))
+    (tmp_path / "files" / "key=b" / "more.txt").write_bytes("ü\n".encode())
+    (tmp_path / "files" / "key=c" / "body.txt").rename(tmp_path / "files" / "key=c" / "_begun-1")
+    wanted = spark.createDataFrame([("a/1.md",), ("a/1.md",), ("b",), ("c",), ("",), (None,), ("absent",)], "key string")
+    got = readers.read_document_files(spark, path, wanted)
+    assert sorted(map(tuple, got.collect())) == [("a/1.md", "one\ntwo"), ("b", ""), ("b", "ü")]
+    assert "binaryFile" not in got._jdf.queryExecution().optimizedPlan().toString()
